@@ -1,6 +1,12 @@
 """Imports every plan module so that its queries are registered."""
 
-from quirework.plans import layout_plans, page_plans, quality_plans, text_plans
+from quirework.plans import (
+    layout_plans,
+    page_plans,
+    quality_plans,
+    registry_plans,
+    text_plans,
+)
 from quirework.plans.catalog import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "layout_plans", "page_plans", "quality_plans", "text_plans"]
+__all__ = ["ORACLES", "QUERIES", "layout_plans", "page_plans", "quality_plans", "registry_plans", "text_plans"]
