@@ -1,6 +1,6 @@
 """From reranked passages to a served answer or a refusal."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirework.functions import replies as R
 from quirework.functions.common import materialize
@@ -116,6 +116,23 @@ def resolve_attempts(
     )
 
 
+def judged_verdicts(evaluated: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """(question_id, verdicts) of the judge calls made: attempts with citations, up to the
+    first final one. At most ``max_attempts`` rows per question are gathered."""
+    first_final = F.min(F.when(_final(F.col("state")), F.col("attempt"))).over(
+        Window.partitionBy("question_id")
+    )
+    in_order = F.array_sort(F.collect_list(F.struct("attempt", "verdict")))
+    return (
+        evaluated.filter(F.col("attempt") <= max_attempts)
+        .withColumn("last", F.coalesce(first_final, F.lit(max_attempts)))
+        .filter(F.col("attempt") <= F.col("last"))
+        .filter(~F.col("state").isin("invalid", "refused"))
+        .groupBy("question_id")
+        .agg(F.transform(in_order, lambda a: a["verdict"]).alias("verdicts"))
+    )
+
+
 def answer(
     questions: DataFrame,
     kept: DataFrame,
