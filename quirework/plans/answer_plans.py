@@ -453,7 +453,7 @@ def _judge(prompt):
     "|| chr(10) || chr(10) || 'Answer: see ' || h) AS jh FROM c), "
     "s AS (SELECT q.question_id, "
     f"CASE WHEN {_kinds_sql('q.question')} <> '' THEN 'pii' WHEN h < '3' THEN 'refused' WHEN h < '6' THEN 'refused' WHEN jh < '4' THEN 'refused' "
-    "ELSE 'answered' END AS state, h FROM questions q JOIN j USING (question_id)) "
+    f"WHEN {_kinds_sql("'see ' || h")} <> '' THEN 'pii' ELSE 'answered' END AS state, h FROM questions q JOIN j USING (question_id)) "
     "SELECT question_id, state, CASE state WHEN 'answered' THEN 'see ' || h "
     f"WHEN 'pii' THEN '{R.PII_REFUSAL_TEXT}' ELSE '{R.REFUSAL_TEXT}' END AS text, "
     "CASE state WHEN 'answered' THEN '1' ELSE '' END AS citations FROM s",

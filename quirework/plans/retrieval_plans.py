@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quirework.functions import text as T, vectors as V
+from quirework.functions import vectors as V
+from quirework.functions.common import materialize
 from quirework.operators import chunks as C, dense as D, lexical as L, rerank as K, retrieval as H
 from quirework.operators.supersede import searchable_chunks
 from quirework.plans import fixtures as X
@@ -179,11 +180,11 @@ passages AS (
 
 
 def searchable(spark, sf_dir):
-    """Passages of active documents with their vectors, and the registry."""
+    """The stored passage table of active documents with their vectors, and the registry."""
     registry = X.registry(spark, sf_dir)
     chunks = searchable_chunks(X.line_chunks(spark, sf_dir), registry)
-    embedder = V.hashing_embedder(X.DIMENSION)
-    return chunks.withColumn("embedding", embedder(T.tokenize(F.col("content")))), registry
+    embedded = C.embed_chunks(chunks, V.hashing_embedder(X.DIMENSION), X.DIMENSION)
+    return materialize(embedded, "chunks"), registry
 
 
 def hybrid(spark, sf_dir):

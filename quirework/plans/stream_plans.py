@@ -23,7 +23,7 @@ placed AS (
   SELECT e.user_id, e.event_id, e.ts, w.opened FROM events e
   ASOF JOIN (SELECT * FROM windows WHERE opened IS NOT NULL) w ON w.user_id = e.user_id AND e.ts >= w.opened)
 SELECT event_id, user_id AS "key", allowed, CASE WHEN NOT allowed THEN
-         ({_DAY} * 1000000 - (epoch_us(ts) - epoch_us(opened))) / 1000000 END AS retry_after
+         ({_DAY} * CAST(1000000 AS BIGINT) - (epoch_us(ts) - epoch_us(opened))) / 1000000 END AS retry_after
 FROM (SELECT *, row_number() OVER (PARTITION BY user_id, opened ORDER BY ts, event_id) <= {_LIMIT} AS allowed FROM placed)"""
 
 

@@ -24,7 +24,7 @@ def mark_quota_stream(
     window = window_seconds * 1_000_000
     key_type = dict(events.dtypes)["key"]
     out_schema = (
-        f"key {key_type}, event_id bigint, ts timestamp, allowed boolean, retry_after double"
+        f"key {key_type}, event_id bigint, ts timestamp, allowed boolean, wait_micros bigint"
     )
 
     def mark(
@@ -35,14 +35,14 @@ def mark_quota_stream(
             return
         rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         opened, used = state.get if state.exists else (None, 0)
-        allowed, retry = [], []
+        allowed, wait = [], []
         for t in rows["t"]:
             if opened is None or t - opened >= window:
                 opened, used = int(t), 0
             granted = used < limit
             used += granted
             allowed.append(granted)
-            retry.append(None if granted else (window - (t - opened)) / 1e6)
+            wait.append(0 if granted else window - (t - opened))
         state.update((opened, used))
         ends_ms = (opened + window) // 1000 + 1
         state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
@@ -52,7 +52,7 @@ def mark_quota_stream(
                 "event_id": rows["event_id"].to_numpy(),
                 "ts": rows["ts"].to_numpy(),
                 "allowed": allowed,
-                "retry_after": pd.Series(retry, dtype="float64").to_numpy(),
+                "wait_micros": wait,
             }
         )
 
@@ -61,6 +61,8 @@ def mark_quota_stream(
         .withColumn("t", F.unix_micros("ts"))
         .withWatermark("ts", lateness)
     )
-    return timed.groupBy("key").applyInPandasWithState(
+    marked = timed.groupBy("key").applyInPandasWithState(
         mark, out_schema, "opened bigint, used int", "append", GroupStateTimeout.EventTimeTimeout
     )
+    retry_after = F.when(~F.col("allowed"), F.col("wait_micros") / 1e6)
+    return marked.withColumn("retry_after", retry_after).drop("wait_micros")
