@@ -17,6 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+from quirework.functions.common import materialize
+
 # Allowed requests and window length.
 LIMIT = 10
 WINDOW_SECONDS = 60
@@ -71,14 +73,16 @@ def mark_quota(
     timed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
         "bucket", ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("bigint")
     )
-    times = timed.select("key", "bucket", "t").distinct()
+    times = materialize(timed.select("key", "bucket", "t").distinct(), "quota-times")
+    span = times.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
+    low, n_buckets = (span["low"], span["high"] - span["low"] + 1) if span["low"] is not None else (0, 1)
 
     def bucket_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         t = np.sort(pdf["t"].to_numpy())
         bucket = int(pdf["bucket"].iat[0])
         n = np.searchsorted(t, bucket * width + window) + 1
         return pd.DataFrame(
-            {"key": pdf["key"].iat[0], "node": bucket, "entry": t[:n], "exit": _last_start(t, window)[:n]}
+            {"key": pdf["key"].iat[0], "node": bucket - low, "entry": t[:n], "exit": _last_start(t, window)[:n]}
         )
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -119,32 +123,35 @@ def mark_quota(
     piece_schema = f"key {key_type}, node bigint, entry bigint, exit bigint"
     entry_schema = f"key {key_type}, node bigint, earliest bigint"
 
-    span = times.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
-    low, high = (span["low"], span["high"]) if span["low"] is not None else (0, 0)
-    levels = [times.groupBy("key", "bucket").applyInPandas(bucket_pieces, piece_schema)]
-    factor = fan_in
-    while low // factor != high // factor:
-        below = levels[-1].withColumnRenamed("node", "child")
-        above = below.withColumn("node", F.floor(F.col("child") / F.lit(fan_in)).cast("bigint"))
-        levels.append(above.groupBy("key", "node").applyInPandas(merge, piece_schema))
-        factor *= fan_in
+    def with_parent(level: DataFrame) -> DataFrame:
+        child = F.col("node")
+        parent = (child - F.pmod(child, F.lit(fan_in))) / F.lit(fan_in)
+        return level.withColumn("child", child).withColumn("node", parent.cast("bigint"))
+
+    # each level is written once: it is merged upwards and read again on the way down
+    pieces = times.groupBy("key", "bucket").applyInPandas(bucket_pieces, piece_schema)
+    levels = [materialize(pieces, "quota-level")]
+    nodes = n_buckets
+    while nodes > fan_in:
+        merged = with_parent(levels[-1]).groupBy("key", "node").applyInPandas(merge, piece_schema)
+        levels.append(materialize(merged, "quota-level"))
+        nodes = -(-nodes // fan_in)
 
     known = times.select("key").distinct().select(
-        "key", F.lit(low // factor).cast("bigint").alias("node"), F.lit(_NEVER).alias("earliest")
+        "key", F.lit(0).cast("bigint").alias("node"), F.lit(_NEVER).alias("earliest")
     )
     for level in reversed(levels):
-        pieces = level.withColumnRenamed("node", "child").withColumn(
-            "node", F.floor(F.col("child") / F.lit(fan_in)).cast("bigint")
-        )
         known = (
-            pieces.groupBy("key", "node")
+            with_parent(level)
+            .groupBy("key", "node")
             .cogroup(known.groupBy("key", "node"))
             .applyInPandas(hand_down, entry_schema)
         )
+    known = known.withColumn("bucket", F.col("node") + F.lit(low)).drop("node")
 
     starts = (
         times.groupBy("key", "bucket")
-        .cogroup(known.withColumnRenamed("node", "bucket").groupBy("key", "bucket"))
+        .cogroup(known.groupBy("key", "bucket"))
         .applyInPandas(bucket_windows_of, f"key {key_type}, bucket bigint, starts array<bigint>")
     )
     opened = F.array_max(F.filter("starts", lambda s: s <= F.col("t")))
