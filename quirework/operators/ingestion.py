@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from quirework.functions.common import materialize
 from quirework.operators import chunks as C, pages as P, quality as Q, registry as G, supersede as S
 from quirework.sources.schemas import ALLOWED_SCOPES
 
@@ -26,26 +27,28 @@ def ingest(
 
     ``files`` has document_id, source, title_th, edition_year_be, scopes, file_hash and
     page_count; the document_id of a file follows from its hash. Files whose hash is active or archived are refused; a failing document stays
-    pending with its record and has no chunks.
+    pending with its record and has no chunks. Steps used more than once are written to the
+    shared folder, so the gate runs once and each passage is embedded once.
     """
     unique = G.first_of_each_hash(files, "document_id")
     decided = unique.join(registry.select("file_hash", "status"), "file_hash", "left").withColumn(
         "action", G.admission_action(F.col("status"))
     )
-    admitted = decided.filter(F.col("action") != "refuse")
+    admitted = materialize(decided.filter(F.col("action") != "refuse"), "admitted")
     keys = admitted.select("document_id")
-    qa = Q.qa_gate(
+    gate = Q.qa_gate(
         pages.join(keys, "document_id", "left_semi"),
         admitted.select("document_id", "page_count", "scopes"),
         tables.join(keys, "document_id", "left_semi"),
         **(gate_options or {}),
     )
+    qa = materialize(gate, "qa")
     inserted = G.pending_rows(admitted.filter("action = 'insert'"), qa, at, parser)
     documents = G.overwrite_qa(registry, qa).unionByName(inserted)
     kept_chunks = G.clear_pending_chunks(stored_chunks, registry, keys)
 
     passed = Q.passed_documents(admitted.select("document_id"), qa)
-    new_chunks = C.embed_chunks(
+    embedded = C.embed_chunks(
         C.chunk_documents(
             blocks.join(passed, "document_id", "left_semi"),
             tables.join(passed, "document_id", "left_semi"),
@@ -55,7 +58,8 @@ def ingest(
         embedder,
         dimension,
     )
-    documents = G.chunk_statistics(documents, new_chunks, model)
+    new_chunks = materialize(embedded, "chunks")
+    documents = materialize(G.chunk_statistics(documents, new_chunks, model), "documents")
     documents, chunks = S.promote(
         documents, kept_chunks.unionByName(new_chunks), passed, at, allowed
     )

@@ -139,7 +139,7 @@ def test_ingest_lifecycle(spark):
         "chunk_id", "document_id", "page_number", "kind_rank", "position", "part", "section", "kind", "content",
         "content_sha256", "embedding",
     )
-    good, broken = ("a", THAI, 2565, [F_], 1), ("b", "no thai here", 2566, [F_], 1)
+    good, broken = ("a", THAI, 2565, [F_], 1), ("b", "no thai here", 2566, [I_], 1)
     registry, chunks, states, held = run_ingest(spark, registry, chunks, good, broken)
     assert states == {"a": ("active", 1), "b": ("pending", None)} and held == {"a"}
     assert S.check_corpus(registry, chunks, 8).isEmpty()
