@@ -6,12 +6,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F
 
 from quirework.functions.common import fits_broadcast
 from quirework.operators.lexical import top_k
 
 QUERY_BLOCK = 4_096
+QUERY_SLICE = 256
 CHUNK_BLOCK = 65_536
 
 
@@ -20,19 +22,27 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
     return np.divide(vectors, norms, out=np.full_like(vectors, np.nan), where=norms > 0)
 
 
-def _best(scores: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row and column indices of every score at least as high as its row's k-th best.
+def _best(
+    asked: np.ndarray, stored: np.ndarray, k: int, digits: int
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(question row, chunk row, score) of each question's best k chunks in a block.
 
-    Equal scores all survive, so the final ranking can break ties by id.
+    ``stored`` is in id order, so among equal scores the smallest ids are taken and a
+    passage stored a million times still yields k rows. Questions go in slices to bound
+    the score matrix.
     """
-    scores = np.round(scores, digits)
-    scores[np.isnan(scores)] = -np.inf
-    if scores.shape[1] > k:
-        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
-    else:
-        floor = np.full((scores.shape[0], 1), -np.inf)
-    q, c = np.nonzero((scores >= floor) & (scores > -np.inf))
-    return q, c, scores[q, c]
+    for start in range(0, len(asked), QUERY_SLICE):
+        scores = np.round(asked[start : start + QUERY_SLICE] @ stored.T, digits)
+        scores[np.isnan(scores)] = -np.inf
+        if scores.shape[1] > k:
+            floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, -k][:, None]
+            above, level = scores > floor, scores == floor
+            room = k - above.sum(axis=1, keepdims=True)
+            taken = above | (level & (np.cumsum(level, axis=1) <= room))
+        else:
+            taken = np.ones(scores.shape, dtype=bool)
+        q, c = np.nonzero(taken & (scores > -np.inf))
+        yield q + start, c, scores[q, c]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -69,39 +79,50 @@ def dense_topk(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            similarity = vectors @ _unit(_matrix(batch.column("embedding"))).T
-            q, c, values = _best(similarity, k, digits)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(q)), batch.column("chunk_id").take(pa.array(c)), pa.array(values)],
-                names=["question_id", "chunk_id", "score"],
-            )
+            order = pc.sort_indices(batch.column("chunk_id"))
+            chunk_ids = batch.column("chunk_id").take(order)
+            stored_vectors = _unit(_matrix(batch.column("embedding").take(order)))
+            for q, c, values in _best(vectors, stored_vectors, k, digits):
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(values)],
+                    names=["question_id", "chunk_id", "score"],
+                )
 
     return top_k(stored.mapInArrow(score, schema), k)
 
 
+def _blocks(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _blocked(asked: DataFrame, stored: DataFrame, k: int, digits: int, schema: str) -> DataFrame:
     """Both sides hashed into blocks of bounded size; one product per pair of blocks."""
     n_q = math.ceil(asked.count() / QUERY_BLOCK)
     n_c = max(1, math.ceil(stored.count() / CHUNK_BLOCK))
     q_side = asked.withColumn("q_block", F.pmod(F.xxhash64("question_id"), F.lit(n_q))).withColumn(
-        "c_block", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1))).cast("bigint")
+        "c_block", F.explode(_blocks(n_c))
     )
     c_side = stored.withColumn("c_block", F.pmod(F.xxhash64("chunk_id"), F.lit(n_c))).withColumn(
-        "q_block", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).cast("bigint")
+        "q_block", F.explode(_blocks(n_q))
     )
 
     def product(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"question_id": [], "chunk_id": [], "score": []})
+        right = right.sort_values("chunk_id")
         a = _unit(np.stack(left["embedding"].to_numpy()).astype(np.float64))
         b = _unit(np.stack(right["embedding"].to_numpy()).astype(np.float64))
-        q, c, values = _best(a @ b.T, k, digits)
-        return pd.DataFrame(
-            {
-                "question_id": left["question_id"].to_numpy()[q],
-                "chunk_id": right["chunk_id"].to_numpy()[c],
-                "score": values,
-            }
+        return pd.concat(
+            [
+                pd.DataFrame(
+                    {
+                        "question_id": left["question_id"].to_numpy()[q],
+                        "chunk_id": right["chunk_id"].to_numpy()[c],
+                        "score": values,
+                    }
+                )
+                for q, c, values in _best(a, b, k, digits)
+            ]
         )
 
     keys = ["q_block", "c_block"]

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, functions as F
 
 from quirework.functions import text as T
-from quirework.functions.common import BROADCAST_MAX_ROWS, fits_broadcast
+from quirework.functions.common import BROADCAST_MAX_ROWS, fits_broadcast, materialize
 from quirework.operators.dense import dense_topk
 from quirework.operators.lexical import lexical_topk, top_k
 
@@ -56,7 +56,7 @@ def hydrate(
 
 def hits_fit(questions: DataFrame, k: int) -> bool:
     """At most k hits per question, so the question count bounds the hits."""
-    return fits_broadcast(questions.select("question_id"), max_rows=BROADCAST_MAX_ROWS // (10 * k))
+    return fits_broadcast(questions.select("question_id"), max_rows=BROADCAST_MAX_ROWS // k)
 
 
 def retrieve(
@@ -70,11 +70,14 @@ def retrieve(
     """Passages for every question; ``chunks`` carries content and embedding.
 
     No status or edition filter belongs here: promotion removed what must not be found.
+    Embedded questions are written once, so the model sees each of them once.
     """
-    asked = (
-        questions.withColumn("normalized", T.normalize_query(F.col("question")))
+    asked = materialize(
+        questions.select("question_id", "question")
+        .withColumn("normalized", T.normalize_query(F.col("question")))
         .filter(F.col("normalized") != "")
-        .withColumn("embedding", embedder(T.tokenize(F.col("normalized"))))
+        .withColumn("embedding", embedder(T.tokenize(F.col("normalized")))),
+        "questions",
     )
     dense = dense_topk(asked, chunks, k)
     lexical = lexical_topk(asked, chunks, k, lexical_rank)
