@@ -1,7 +1,9 @@
 """Request quota over a log: fixed windows anchored at a key's first counted request.
 
 A window opens at the first request at or after the end of the former one, so windows of a
-key form a chain. The chain is found without putting a key's whole history into one task:
+key form a chain. Keys with few requests are hashed into slots of bounded size and all
+chains of a slot advance together. The chain of a heavy key is found without putting its
+history into one task:
 
 1. Time is cut into buckets no shorter than a window. Inside one bucket the last window start
    reached from each possible first start is worked out for (key, bucket) alone.
@@ -13,11 +15,13 @@ key form a chain. The chain is found without putting a key's whole history into
 A key with a third of all rows is spread over its buckets in every step.
 """
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quirework.functions.common import materialize
+from quirework.functions.common import broadcast_within_bound, materialize
 
 # Allowed requests and window length.
 LIMIT = 10
@@ -25,6 +29,8 @@ WINDOW_SECONDS = 60
 
 BUCKET_WINDOWS = 16
 FAN_IN = 64
+LIGHT_ROWS = 20_000
+SLOT_ROWS = 100_000
 _NEVER = np.iinfo(np.int64).min // 2
 
 
@@ -53,26 +59,89 @@ def _children(pdf: pd.DataFrame):
         yield child, part["entry"].to_numpy(), part["exit"].to_numpy()
 
 
+def _mark_light(keys: np.ndarray, t: np.ndarray, window: int) -> np.ndarray:
+    """Row at which the window of each row opened; rows are sorted by key code, then time."""
+    n = len(t)
+    # rows before (key, t + window) in one joint order: the first row past each window
+    is_row = np.repeat([0, 1], n)
+    order = np.lexsort((is_row, np.concatenate([t + window, t]), np.concatenate([keys, keys])))
+    past = np.empty(n, dtype=np.int64)
+    before = np.cumsum(is_row[order])
+    targets = order < n
+    past[order[targets]] = before[targets]
+
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    opens = np.zeros(n, dtype=bool)
+    while len(at):
+        opens[at] = True
+        to = past[at]
+        stays = to < n
+        stays[stays] = keys[to[stays]] == keys[at[stays]]
+        at = to[stays]
+    return np.maximum.accumulate(np.where(opens, np.arange(n), 0))
+
+
 def mark_quota(
     events: DataFrame,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
     bucket_windows: int = BUCKET_WINDOWS,
     fan_in: int = FAN_IN,
+    light_rows: int = LIGHT_ROWS,
 ) -> DataFrame:
-    """Add ``allowed`` and ``retry_after`` (seconds, null when allowed) to (key, ts, event_id) rows.
+    """(key, event_id, ts, allowed, retry_after) of (key, ts, event_id) rows; ``retry_after``
+    is in seconds and null when allowed.
 
     Requests of a key are taken in order of ts, then event_id. Denied requests are not
     counted and do not extend the window.
     """
     window = window_seconds * 1_000_000
-    width = window * bucket_windows
-    key_type = dict(events.dtypes)["key"]
+    timed = events.select("key", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    counts = timed.groupBy("key").agg(F.count("*").alias("n"))
+    is_heavy = F.col("n") > light_rows
+    sizes = counts.agg(
+        F.count_if(is_heavy).alias("heavy_keys"),
+        F.sum(F.when(~is_heavy, F.col("n"))).alias("light_rows"),
+    ).first()
+
+    light = timed
+    if sizes["heavy_keys"]:
+        heavy_keys = broadcast_within_bound(counts.filter(is_heavy).select("key"))
+        light = timed.join(heavy_keys, "key", "left_anti")
+    slots = max(1, math.ceil((sizes["light_rows"] or 0) / SLOT_ROWS))
+    schema = f"key {dict(events.dtypes)['key']}, event_id bigint, t bigint, opened bigint, turn bigint"
+
+    def mark_slot(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["key", "t", "event_id"])
+        t = pdf["t"].to_numpy()
+        opened_at = _mark_light(pd.factorize(pdf["key"])[0], t, window)
+        return pdf[["key", "event_id", "t"]].assign(
+            opened=t[opened_at], turn=np.arange(1, len(t) + 1) - opened_at
+        )
 
-    t = F.col("t")
-    timed = events.withColumn("t", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn(
-        "bucket", ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("bigint")
+    slot = F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot")
+    placed = light.groupBy(slot).applyInPandas(mark_slot, schema)
+    if sizes["heavy_keys"]:
+        heavy = timed.join(heavy_keys, "key", "left_semi")
+        turn = Window.partitionBy("key", "opened").orderBy("t", "event_id")
+        chained = _place_heavy(heavy, window, bucket_windows, fan_in)
+        placed = placed.unionByName(chained.withColumn("turn", F.row_number().over(turn).cast("bigint")))
+    allowed = F.col("turn") <= limit
+    return placed.select(
+        "key",
+        "event_id",
+        F.timestamp_micros("t").alias("ts"),
+        allowed.alias("allowed"),
+        F.when(~allowed, (F.lit(window) - (F.col("t") - F.col("opened"))) / 1e6).alias("retry_after"),
     )
+
+
+def _place_heavy(timed: DataFrame, window: int, bucket_windows: int, fan_in: int) -> DataFrame:
+    """Add ``opened``, the start of the window each request falls into."""
+    width = window * bucket_windows
+    key_type = dict(timed.dtypes)["key"]
+    t = F.col("t")
+    timed = timed.withColumn("bucket", ((t - F.pmod(t, F.lit(width))) / F.lit(width)).cast("bigint"))
     times = materialize(timed.select("key", "bucket", "t").distinct(), "quota-times")
     span = times.agg(F.min("bucket").alias("low"), F.max("bucket").alias("high")).first()
     low, n_buckets = (span["low"], span["high"] - span["low"] + 1) if span["low"] is not None else (0, 1)
@@ -155,14 +224,4 @@ def mark_quota(
         .applyInPandas(bucket_windows_of, f"key {key_type}, bucket bigint, starts array<bigint>")
     )
     opened = F.array_max(F.filter("starts", lambda s: s <= F.col("t")))
-    turn = Window.partitionBy("key", "opened").orderBy("t", "event_id")
-    return (
-        timed.join(starts, ["key", "bucket"])
-        .withColumn("opened", opened)
-        .withColumn("allowed", F.row_number().over(turn) <= limit)
-        .withColumn(
-            "retry_after",
-            F.when(~F.col("allowed"), (F.lit(window) - (F.col("t") - F.col("opened"))) / 1e6),
-        )
-        .drop("t", "bucket", "starts", "opened")
-    )
+    return timed.join(starts, ["key", "bucket"]).select("key", "event_id", "t", opened.alias("opened"))

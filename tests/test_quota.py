@@ -42,13 +42,14 @@ def test_against_brute_force_with_a_hot_key(spark, bucket_windows, fan_in):
     rng = np.random.default_rng(5)
     rows = [("hot", int(s)) for s in rng.integers(0, 4000, 1500)]
     rows += [(f"k{rng.integers(0, 9)}", int(s)) for s in rng.integers(-2000, 6000, 600)]
-    got = marks(mark_quota(log(spark, rows), 3, 60, bucket_windows, fan_in))
-    assert got == expected(rows, 3, 60)
+    for light_rows in (10_000, 100):  # no key, or only the hot one, takes the bucketed path
+        got = marks(mark_quota(log(spark, rows), 3, 60, bucket_windows, fan_in, light_rows))
+        assert got == expected(rows, 3, 60)
 
 
 def test_evenly_spaced_requests_never_merge_chains(spark):
     rows = [("a", s) for s in range(0, 3000, 7)]
-    assert marks(mark_quota(log(spark, rows), 2, 60, 2, 3)) == expected(rows, 2, 60)
+    assert marks(mark_quota(log(spark, rows), 2, 60, 2, 3, 0)) == expected(rows, 2, 60)
 
 
 def test_empty_log(spark):
