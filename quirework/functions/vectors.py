@@ -22,11 +22,6 @@ def wrong_dimension(embedding: Column, dimension: int) -> Column:
     return embedding.isNull() | (F.size(embedding) != dimension)
 
 
-@lru_cache(maxsize=1 << 16)
-def _slot(token: str, dimension: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:6], 16) % dimension
-
-
 def hashing_embedder(dimension: int = 64):
     """Column function from a token array to a token-count vector by hashed slot.
 
@@ -36,12 +31,16 @@ def hashing_embedder(dimension: int = 64):
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @lru_cache(maxsize=1 << 16)
+        def slot(token: str) -> int:
+            return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:6], 16) % dimension
+
         for batch in batches:
             rows = []
             for tokens in batch:
                 vector = np.zeros(dimension, dtype=np.float32)
                 for token in tokens:
-                    vector[_slot(token, dimension)] += 1.0
+                    vector[slot(token)] += 1.0
                 rows.append(vector)
             yield pd.Series(rows, index=batch.index, dtype=object)
 

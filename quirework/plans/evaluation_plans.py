@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quirework.functions.common import materialize
 from quirework.operators import evaluation as E
 from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
@@ -113,7 +114,7 @@ def threshold_candidates(spark, sf_dir):
 
 
 def _sweep(spark, sf_dir):
-    scored = flagged(spark, sf_dir)
+    scored = materialize(flagged(spark, sf_dir), "scored")  # scored once, cut at every threshold
     return E.threshold_sweep(scored, gold(spark, sf_dir), E.candidate_thresholds(scored))
 
 
@@ -149,9 +150,10 @@ def label_threshold_sweep(spark, sf_dir):
     labels = X.load(spark, sf_dir, "labels").select(
         F.col("doc_id").alias("question_id"), (F.col("quality") == 1).alias("answerable")
     )
-    scored = texts.join(labels, F.col("doc_id") == F.col("question_id")).select(
+    joined = texts.join(labels, F.col("doc_id") == F.col("question_id")).select(
         "question_id", "score", F.lit(1).alias("rank"), F.col("answerable").alias("hit")
     )
+    scored = materialize(joined, "scored")
     return E.threshold_sweep(scored, labels, E.candidate_thresholds(scored))
 
 
