@@ -178,10 +178,46 @@ def section_asof(spark, sf_dir):
     return labelled.select("document_id", "page_number", "ordinal", "section")
 
 
-@query("prose_chunks")
+# pieces are stretches of the text: lines, then words of long lines, then letters of long words;
+# a run of short pieces is cut by its running lengths, each cut starting inside the former one
+_SIZE, _OVERLAP = 600, 60
+_PROSE = f"""WITH RECURSIVE
+p1 AS (
+  SELECT doc_id, n, len(line) + CASE WHEN n > 1 THEN 1 ELSE 0 END AS size FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+           generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents)),
+l1 AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p1),
+p2 AS (
+  SELECT doc_id, n, base, m, len(word) + CASE WHEN m > 1 THEN 1 ELSE 0 END AS size FROM (
+    SELECT doc_id, n, off AS base, unnest(string_split(piece, ' ')) AS word, generate_subscripts(string_split(piece, ' '), 1) AS m
+    FROM (SELECT l1.*, substr(text, CAST(off + 1 AS BIGINT), size) AS piece FROM l1 JOIN documents USING (doc_id) WHERE size >= {_SIZE}))),
+l2 AS (SELECT *, base + coalesce(sum(size) OVER (PARTITION BY doc_id, n ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM p2),
+l3 AS (SELECT doc_id, n, m, off + unnest(range(size)) AS off FROM l2 WHERE size >= {_SIZE}),
+pieces AS (
+  SELECT doc_id, 0 AS n, 0 AS m, sum(CASE WHEN size >= {_SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY off) AS run, off, size FROM l1 WHERE size > 0
+  UNION ALL
+  SELECT doc_id, n, 0, sum(CASE WHEN size >= {_SIZE} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, n ORDER BY off), off, size FROM l2 WHERE size > 0
+  UNION ALL
+  SELECT doc_id, n, m, 0, off, 1 FROM l3),
+runs AS (
+  SELECT doc_id, min(off) AS a, list_append(list(CAST(off AS BIGINT) ORDER BY off), CAST(max(off + size) AS BIGINT)) AS p
+  FROM pieces WHERE size < {_SIZE} GROUP BY doc_id, n, m, run),
+cuts AS (
+  SELECT doc_id, p, CAST(1 AS BIGINT) AS i, len(list_filter(p, lambda x: x <= p[1] + {_SIZE})) AS e FROM runs
+  UNION ALL
+  SELECT doc_id, p, j, len(list_filter(p, lambda x: x <= p[j] + {_SIZE})) FROM (
+    SELECT doc_id, p, len(list_filter(p, lambda x: x < p[e] - least({_OVERLAP}, {_SIZE} - (p[e + 1] - p[e])))) + 1 AS j
+    FROM cuts WHERE e < len(p))),
+chunks AS (
+  SELECT doc_id, p[i] AS start, {X.sql_strip('substr(text, p[i] + 1, p[e] - p[i])')} AS content FROM cuts JOIN documents USING (doc_id))
+SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS part, content
+FROM chunks WHERE content <> ''"""
+
+
+@query("prose_chunks", _PROSE)
 def prose_chunks(spark, sf_dir):
     """Whole document texts cut at 600 characters with an overlap of 60."""
-    parts = C.split_prose(F.col("text"), 600, 60)
+    parts = C.split_prose(F.col("text"), _SIZE, _OVERLAP)
     return X.documents(spark, sf_dir).select("document_id", F.posexplode(parts).alias("part", "content"))
 
 
