@@ -159,6 +159,7 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = documents(spark, sf_dir).select(
         "document_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line")
     )
+    lines = lines.filter(~T.is_blank(F.col("line")))
     return keep_first_copies(
         lines.select(
             (F.col("document_id") * 100000 + F.col("n")).alias("chunk_id"),
@@ -166,9 +167,7 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.floor(F.col("n") / LINES_PER_PAGE) + 1).cast("int").alias("page_number"),
             F.when(F.col("n") % 2 == 1, "odd line").alias("section"),
             T.collapse_whitespace(F.col("line")).alias("content"),
-        )
-        .filter("content <> ''")
-        .withColumn("content_sha256", T.sha256(F.col("content"))),
+        ).withColumn("content_sha256", T.sha256(F.col("content"))),
         ["chunk_id"],
     )
 

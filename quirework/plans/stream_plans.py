@@ -77,9 +77,9 @@ def _process(batch):
     lines = batch.filter(passed).select(
         "document_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line")
     )
-    passages = lines.select(
+    passages = lines.filter(~T.is_blank(F.col("line"))).select(
         "document_id", "n", T.collapse_whitespace(F.col("line")).alias("content")
-    ).filter("content <> ''")
+    )
     hashed = passages.withColumn("content_sha256", T.sha256(F.col("content")))
     return rows, keep_first_copies(hashed, ["n"])
 
