@@ -4,13 +4,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import exact_dedup, line_dedup
+from quirework.llm import exact_dedup, language_id, licenses, line_dedup
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify_languages(documents(spark, sf_dir))
+
+
+def op5_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(documents(spark, sf_dir)).drop("detections")
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(documents(spark, sf_dir))
 
@@ -20,6 +28,8 @@ def op10_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_context_trees": op2_context_trees,
+    "op5_signature_rules": op5_signature_rules,
     "op7_line_windows": op7_line_windows,
     "op10_tree_merge": op10_tree_merge,
 }
