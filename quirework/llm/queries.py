@@ -2,9 +2,12 @@
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quirework.llm import exact_dedup, language_id, licenses, line_dedup
+from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, quality
+
+TOKENIZER = "word_bpe_49k.json"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +18,14 @@ def op2_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(documents(spark, sf_dir))
 
 
+def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op4_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), public_tokenizers.path(TOKENIZER))
+
+
 def op5_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir)).drop("detections")
 
@@ -29,6 +40,8 @@ def op10_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_context_trees": op2_context_trees,
+    "op3_rule_ensemble": op3_rule_ensemble,
+    "op4_sum_of_squares": op4_sum_of_squares,
     "op5_signature_rules": op5_signature_rules,
     "op7_line_windows": op7_line_windows,
     "op10_tree_merge": op10_tree_merge,
