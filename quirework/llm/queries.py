@@ -3,9 +3,9 @@
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, quality
+from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, passage_dedup, quality
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -34,6 +34,11 @@ def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(documents(spark, sf_dir))
 
 
+def op9_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = passage_dedup.dedup_passages(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_words", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op10_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
@@ -44,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_signature_rules": op5_signature_rules,
     "op7_line_windows": op7_line_windows,
+    "op9_token_windows": op9_token_windows,
     "op10_tree_merge": op10_tree_merge,
 }
 ORACLES: dict[str, str] = {
