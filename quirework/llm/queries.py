@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, passage_dedup, quality
+from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, passage_dedup, quality, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_bucket_pointers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = suffix_dedup.dedup_substrings(documents(spark, sf_dir))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_languages(documents(spark, sf_dir))
 
@@ -44,6 +49,7 @@ def op10_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bucket_pointers": op1_bucket_pointers,
     "op2_context_trees": op2_context_trees,
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_sum_of_squares": op4_sum_of_squares,
