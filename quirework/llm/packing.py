@@ -16,7 +16,10 @@ document may span many windows, and lies in memory one at a time; an empty table
 other columns are not read.
 """
 
+import os
 import struct
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -28,37 +31,73 @@ from pyspark.sql import DataFrame, functions as F
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 TASK_BITS = 40
-BLANKS = str.maketrans({"\n": " ", "\t": " ", "\r": " "})
+SIGNS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+DIVIDERS = "★☆→•"
+STORE = "packing_word_store"
 
 
 class WordTokens:
     """Token ids of whole texts, as little-endian 32-bit numbers, from the ids of their words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are the ids of its words in
-    order; every distinct word is encoded once per task while the store has room.
+    order. A run of ASCII signs at the end of a word is a token sequence of its own, so a word's ids are
+    those of its stem and of that tail. Distinct stems and tails are encoded once; many go into one call,
+    divided by a sign that is one token. The store belongs to the worker process, not to the task, and is
+    emptied when full.
     """
 
-    def __init__(self, path: str, max_words: int = 300_000) -> None:
+    def __init__(self, path: str, max_words: int = 400_000, max_parts: int = 800_000) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
-        self.known: dict[str, bytes] = {"": b""}
+        self.max_words, self.max_parts = max_words, max_parts
+        store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__  # functions are sent by value, so globals end with the task
+        if path not in store:
+            store[path] = (Tokenizer.from_file(path), {"": b""}, {"": b""})
+        self.tokenizer, self.words, self.parts = store[path]
+        single = [self.tokenizer.encode(sign, add_special_tokens=False).ids for sign in DIVIDERS]
+        self.divider, self.divider_id = next(((sign, ids[0]) for sign, ids in zip(DIVIDERS, single) if len(ids) == 1), (None, None))
+
+    def encode(self, parts: list[str]) -> None:
+        """Add the ids of ``parts`` to the store."""
+        together = [p for p in parts if self.divider and self.divider not in p and "<|" not in p]
+        alone = set(parts).difference(together)
+        for part in alone:
+            self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        chunks = [together[i : i + 256] for i in range(0, len(together), 256)]
+        joined = self.tokenizer.encode_batch_fast([f" {self.divider} ".join(c) for c in chunks], add_special_tokens=False)
+        for chunk, found in zip(chunks, joined):
+            ids = np.array(found.ids, "<u4")
+            raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.divider_id) * 4).tolist()
+            for part, a, b in zip(chunk, [-4, *cuts], [*cuts, len(raw)]):
+                self.parts[part] = raw[a + 4 : b]
 
     def learn(self, texts: list[str]) -> list[list[str]]:
-        words = [text.translate(BLANKS).split(" ") if not text.isascii() else text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        if len(self.known) > self.max_words:
-            self.known = {"": b""}
-        known = self.known
-        new = list(dict.fromkeys(w for ws in words for w in ws if w not in known))
-        for at in range(0, len(new), 2000):
-            part = new[at : at + 2000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids = found.ids
-                known[word] = struct.pack(f"<{len(ids)}I", *ids)
-        return words
+        """Words of each text; all of them are in the store until the next call."""
+        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
+        if len(self.words) > self.max_words:
+            self.words.clear()
+            self.words[""] = b""
+        if len(self.parts) > self.max_parts:
+            self.parts.clear()
+            self.parts[""] = b""
+        known, parts = self.words, self.parts
+        new = {word: stem_and_tail(word) for own in split for word in own if word not in known}
+        missing = {p: None for pair in new.values() for p in pair if p not in parts}
+        self.encode(list(missing))
+        for word, (stem, tail) in new.items():
+            known[word] = parts[stem] + parts[tail]
+        return split
 
     def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.known.__getitem__, words))
+        return b"".join(map(self.words.__getitem__, words))
+
+
+def stem_and_tail(word: str) -> tuple[str, str]:
+    stem = word.rstrip(SIGNS)
+    if "<|" in word:  # may hold a special token
+        return word, ""
+    return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
 
 
 class Packer:
