@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from quirework.llm.text_bytes import utf8
+from quirework.llm.text_bytes import bounded, utf8
 
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 
@@ -36,7 +36,7 @@ def count_strings(docs: DataFrame, order: int) -> DataFrame:
     """``lang, gram, n``: occurrences of every byte string of 1 to ``order`` + 1 bytes, summed per batch first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in bounded(batches, 1):
             langs = batch.column(0).to_pylist()
             data, offsets = utf8(batch.column(1))
             for lang in sorted(set(langs)):
@@ -183,7 +183,7 @@ def identify_languages(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        for batch in batches:
+        for batch in bounded(batches, 2):
             texts = batch.column(2)
             data, offsets = utf8(texts)
             lengths = np.diff(offsets)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from quirework.llm import license_rules
-from quirework.llm.text_bytes import utf8, word_spans
+from quirework.llm.text_bytes import bounded, utf8, word_spans
 
 # Phrase and label.
 PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -109,7 +109,7 @@ def scan_licenses(
         scanner = Scanner(rules)
         is_word = np.ones(256, bool)
         is_word[0x00:0x30] = is_word[0x3A:0x41] = is_word[0x5B:0x61] = is_word[0x7B:0x80] = False
-        for batch in batches:
+        for batch in bounded(batches, 1):
             words = np.diff(word_spans(*utf8(batch.column(1)), is_word)[2])
             rows = [scanner.row(lower_ascii(text or "")) for text in batch.column(1).to_pylist()]
             columns = [batch.column(0).cast(pa.int64()), pa.array(words, pa.int64())]

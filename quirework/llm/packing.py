@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from quirework.llm.text_bytes import bounded
+
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 TASK_BITS = 40
@@ -195,12 +197,10 @@ def pack_documents(
             columns = list(zip(*rows)) or [[]] * len(COLUMNS)
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], COLUMNS)
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                words = tokens.learn([t or "" for t in part.column(1).to_pylist()])
-                for doc, own in zip(part.column(0).to_pylist(), words):
-                    packer.add(doc, tokens.ids(own) + end)
+        for batch in bounded(batches, 1):
+            words = tokens.learn([t or "" for t in batch.column(1).to_pylist()])
+            for doc, own in zip(batch.column(0).to_pylist(), words):
+                packer.add(doc, tokens.ids(own) + end)
             yield finished()
         packer.flush(True)
         yield finished()

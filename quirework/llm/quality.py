@@ -28,7 +28,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
 
 from quirework.functions.common import materialize
-from quirework.llm.text_bytes import NOT_SPACE, SPACES, Rolling, BASES, utf8, word_spans
+from quirework.llm.text_bytes import BASES, NOT_SPACE, SPACES, Rolling, bounded, utf8, word_spans
 
 STATISTICS = [
     "bytes", "words", "lines", "mean_word", "long_words", "upper_share", "lower_share", "digit_share", "other_ascii_share",
@@ -96,7 +96,7 @@ def text_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFram
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
-        for batch in batches:
+        for batch in bounded(batches, len(keep)):
             values = statistics_of(*utf8(batch.column(len(keep))), rolling)
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(c)) for c in values.T]
             yield pa.RecordBatch.from_arrays(columns, keep + STATISTICS)

@@ -1,5 +1,7 @@
 """Numpy helpers over the UTF-8 bytes of an Arrow string column: words, polynomial hashes, windows."""
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,18 @@ def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def bounded(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in slices of at most ``max_bytes`` of text, or of one row."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        reach, at = np.cumsum(lengths, dtype=np.int64), 0
+        while at < batch.num_rows:
+            before = reach[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(reach, before + max_bytes, "right")))
+            yield batch.slice(at, stop - at)
+            at = stop
+
+
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of maximal runs of word bytes inside each value, and each value's first word."""
     inside = is_word[data]
