@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import exact_dedup, language_id, licenses, line_dedup, packing, passage_dedup, quality, suffix_dedup
+from quirework.llm import exact_dedup, language_id, licenses, line_dedup, near_dedup, packing, passage_dedup, quality, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -39,6 +39,10 @@ def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(documents(spark, sf_dir))
 
 
+def op8_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(documents(spark, sf_dir), shingle=2)
+
+
 def op9_token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = passage_dedup.dedup_passages(documents(spark, sf_dir))
     return kept.select("doc_id", "n_words", "n_removed", "n_spans", F.sha2("text", 256).alias("kept_sha256"))
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_signature_rules": op5_signature_rules,
     "op7_line_windows": op7_line_windows,
+    "op8_circulant_minhash": op8_circulant_minhash,
     "op9_token_windows": op9_token_windows,
     "op10_tree_merge": op10_tree_merge,
 }
