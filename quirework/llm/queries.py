@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import exact_dedup, language_id, licenses, line_dedup, near_dedup, packing, passage_dedup, quality, suffix_dedup
+from quirework.llm import decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, packing, passage_dedup, quality, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -35,6 +35,10 @@ def op5_signature_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(documents(spark, sf_dir)).drop("detections")
 
 
+def op6_block_max_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op7_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup_digest(documents(spark, sf_dir))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_rule_ensemble": op3_rule_ensemble,
     "op4_sum_of_squares": op4_sum_of_squares,
     "op5_signature_rules": op5_signature_rules,
+    "op6_block_max_wand": op6_block_max_wand,
     "op7_line_windows": op7_line_windows,
     "op8_circulant_minhash": op8_circulant_minhash,
     "op9_token_windows": op9_token_windows,
