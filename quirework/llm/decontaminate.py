@@ -82,28 +82,47 @@ class Shard:
             weight = {
                 t: math.log(1 + (n - seen[t] + 0.5) / (seen[t] + 0.5)) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean)) for t, tf in own.items()
             }
-            missing = sum(len(s) - math.ceil(overlap * max(1, len(s) - SHINGLE + 1)) for s in sides[2 * kept[i] : 2 * kept[i] + 2] if len(s))
+            missing = sum(may_miss(s, overlap, rolling) for s in sides[2 * kept[i] : 2 * kept[i] + 2])
             low = sum(sorted(weight.values())[: max(1, len(weight) - missing)])
             for t, w in weight.items():
                 self.impact[place[t], i] = w / low * 1.0001  # rounding must not lose a score at the threshold
+        full = [found for pair in self.shingles for width, found in pair if width == SHINGLE]
+        self.full = np.unique(np.concatenate(full)) if full else np.zeros(0, np.uint64)
+        self.tiny = np.array([all(width < SHINGLE for width, _ in pair) for pair in self.shingles], bool)
+        self.term_filter, self.full_filter = prefix_filter(self.terms), prefix_filter(self.full)
         self.block = block
         self.highest = self.impact.max(1) if n else np.zeros(0, np.float32)
         self.blocks = self.impact.reshape(len(place), blocks, block).max(2)
 
-    def search(self, passage: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def term_numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """Index of each word among the indexed terms, -1 for other words."""
+        out = np.full(len(hashes), -1, np.int64)
+        maybe = np.flatnonzero(self.term_filter[hashes >> np.uint64(48)])
+        at = np.minimum(np.searchsorted(self.terms, hashes[maybe]), len(self.terms) - 1)
+        same = self.terms[at] == hashes[maybe]
+        out[maybe[same]] = at[same]
+        return out
+
+    def full_shingle_places(self, windows: np.ndarray) -> np.ndarray:
+        """Places of the five-word windows that occur in some item."""
+        maybe = np.flatnonzero(self.full_filter[windows >> np.uint64(48)])
+        return maybe[np.isin(windows[maybe], self.full)]
+
+    def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passages, items and scores that reach the threshold. Words of one passage may repeat."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
-        if not len(self.ids) or not len(hashes):
-            return none
-        term = np.minimum(np.searchsorted(self.terms, hashes), len(self.terms) - 1)
-        known = self.terms[term] == hashes
-        both = np.unique(passage[known] * np.int64(len(self.terms)) + term[known])
-        passage, term = both // len(self.terms), both % len(self.terms)
-        if not len(both):
-            return none
-        reach = np.bincount(passage, weights=self.highest[term]) >= 1
-        keep = reach[passage]
-        passage, term = passage[keep], term[keep]
+        known = term >= 0
+        for distinct in (False, True):  # first with words that repeat, which can only raise the sum
+            if distinct:
+                both = np.sort(passage * np.int64(len(self.terms)) + term)
+                both = both[np.r_[True, both[1:] != both[:-1]]]
+                passage, term = both // len(self.terms), both % len(self.terms)
+            else:
+                passage, term = passage[known], term[known]
+            if not len(passage):
+                return none
+            keep = (np.bincount(passage, weights=self.highest[term]) >= 1)[passage]
+            passage, term = passage[keep], term[keep]
         if not len(passage):
             return none
         cuts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
@@ -121,6 +140,23 @@ class Shard:
         return tuple(np.concatenate(x) for x in zip(*found)) if found else none
 
 
+def prefix_filter(hashes: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 16, bool)
+    out[hashes >> np.uint64(48)] = True
+    return out
+
+
+def may_miss(words: np.ndarray, overlap: float, rolling: Rolling) -> int:
+    """Most words of a part that a passage can lack which holds the required share of the part's shingles.
+
+    Windows at k places cover at least k + 4 words, so no more words are missing than places.
+    """
+    if len(words) < SHINGLE:
+        return 0
+    places = np.sort(np.unique(rolling.windows(words, SHINGLE), return_counts=True)[1])[::-1]
+    return int(places[: len(places) - math.ceil(overlap * len(places))].sum())
+
+
 def shingles(words: np.ndarray, rolling: Rolling) -> tuple[int, np.ndarray]:
     """Shingle length of a part and its distinct shingles."""
     width = min(SHINGLE, len(words))
@@ -147,18 +183,28 @@ class Searcher:
         base = np.r_[0, np.cumsum(last + 1)]
         row = np.repeat(np.arange(len(counts)), counts)
         step = (np.arange(len(hashes)) - first[:-1][row]) // stride
-        passages, words = [], []
-        for shift in (0, 1):  # a word lies in the passage that starts at its step and in the one before
-            ok = (step >= shift) & (step - shift <= last[row])
-            passages.append((base[row] + step - shift)[ok])
-            words.append(hashes[ok])
-        passages, words = np.concatenate(passages), np.concatenate(words)
         out: dict[tuple[int, int], tuple[float, float, float]] = {}
+        windows = self.rolling.windows(hashes, SHINGLE)
         for shard in self.shards:
-            for p, i, score in zip(*(x.tolist() for x in shard.search(passages, words))):
-                r = int(np.searchsorted(base, p, "right")) - 1
-                start = first[r] + (p - base[r]) * stride
-                own = hashes[start : min(start + self.passage, first[r + 1])]
+            if not len(shard.ids) or not len(hashes):
+                continue
+            term = shard.term_numbers(hashes)
+            known = np.flatnonzero(term >= 0)
+            own_row, own_step, own_term = row[known], step[known], term[known]
+            passages, terms = [], []
+            for shift in (0, 1):  # a word lies in the passage that starts at its step and in the one before
+                ok = (own_step >= shift) & (own_step - shift <= last[own_row])
+                passages.append((base[own_row] + own_step - shift)[ok])
+                terms.append(own_term[ok])
+            p, i, scores = shard.search(np.concatenate(passages), np.concatenate(terms))
+            rows = np.searchsorted(base, p, "right") - 1
+            starts = first[rows] + (p - base[rows]) * stride
+            stops = np.minimum(starts + self.passage, first[rows + 1])
+            places = shard.full_shingle_places(windows)
+            touched = np.searchsorted(places, stops) > np.searchsorted(places, starts)
+            chosen = touched | shard.tiny[i]  # without any of the items' windows nothing can be confirmed
+            for r, start, stop, i, score in zip(*(x[chosen].tolist() for x in (rows, starts, stops, i, scores))):
+                own = hashes[start:stop]
                 overlaps = [self.held(own, part) for part in shard.shingles[i]]
                 if min(overlaps) >= self.overlap:
                     key = r, shard.ids[i]

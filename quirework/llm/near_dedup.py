@@ -50,9 +50,10 @@ def shingle_sets(column: pa.Array, width: int, rolling: Rolling) -> tuple[np.nda
     full = counts[owner] >= width
     for k in range(width):
         hashes[full] = hashes[full] * np.uint64(BASES[1]) + words[at[full] + k]
-    for i in np.flatnonzero(~full):  # one shingle of fewer words
-        for k in range(int(counts[owner[i]])):
-            hashes[i] = hashes[i] * np.uint64(BASES[0]) + words[at[i] + k] + np.uint64(1)
+    short = np.flatnonzero(~full)
+    for k in range(width - 1):  # one shingle of fewer words
+        more = short[counts[owner[short]] > k]
+        hashes[more] = hashes[more] * np.uint64(BASES[0]) + words[at[more] + k] + np.uint64(1)
     hashes = mix(hashes) >> np.uint64(64 - 8 * SET_BYTES)
     order = np.lexsort((hashes, owner))
     hashes, owner = hashes[order], owner[order]

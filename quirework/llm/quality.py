@@ -13,11 +13,10 @@ of the id; this is the documented bound of the sample. Everything else covers al
 Cases: null and empty texts have zero statistics and a score like any other; rows without a label are
 only scored; several labels of one id count as several rows; with labels of one class only the score is
 that class's share everywhere, and 0.5 without labels; an empty table gives an empty result; other
-columns are not read.
+columns pass through.
 """
 
 import re
-import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -26,6 +25,7 @@ import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quirework.functions.common import materialize
 from quirework.llm.text_bytes import BASES, NOT_SPACE, SPACES, Rolling, bounded, utf8, word_spans
@@ -91,19 +91,20 @@ def statistics_of(data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> np
     return np.column_stack(columns)
 
 
-def text_statistics(docs: DataFrame, keep: list[str], text_col: str) -> DataFrame:
-    """The columns ``keep`` and one double column per statistic."""
+def text_statistics(docs: DataFrame, keep: list[str], text_col: str, prefix: str = "") -> DataFrame:
+    """The columns ``keep`` and one double column per statistic, its name after ``prefix``."""
+    names = [prefix + s for s in STATISTICS]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rolling = Rolling(BASES[0])
         for batch in bounded(batches, len(keep)):
             values = statistics_of(*utf8(batch.column(len(keep))), rolling)
             columns = [batch.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(c)) for c in values.T]
-            yield pa.RecordBatch.from_arrays(columns, keep + STATISTICS)
+            yield pa.RecordBatch.from_arrays(columns, keep + names)
 
-    kinds = dict(docs.dtypes)
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in keep] + [f"{s} double" for s in STATISTICS])
-    return docs.select(*keep, text_col).mapInArrow(measure, schema)
+    rows = docs.select(*keep, F.col(text_col).alias(f"{prefix}text"))
+    schema = StructType(rows.schema.fields[:-1] + [StructField(n, DoubleType()) for n in names])
+    return rows.mapInArrow(measure, schema)
 
 
 def tree_paths(description: str) -> list[str]:
@@ -142,12 +143,38 @@ def fit_rules(
     return [(r, float(w)) for r, w in zip(rules, weights) if w], float(model.intercept)
 
 
-def compile_rules(rules: list[tuple[str, float]], intercept: float) -> Column:
+def compile_rules(rules: list[tuple[str, float]], intercept: float, prefix: str = "") -> Column:
     """The ensemble as one column expression: a probability from the sum of the weights of rules that hold."""
-    terms = [F.when(F.expr(rule), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in rules]
+    terms = [F.when(F.expr(re.sub(r"\b([a-z_]+)\b", rf"`{prefix}\1`", rule)), F.lit(weight)).otherwise(F.lit(0.0)) for rule, weight in rules]
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, terms, F.lit(intercept))))
 
 
+def learn_rules(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_col: str,
+    text_col: str,
+    label_col: str,
+    folds: int,
+    held_fold: int,
+    max_rows: int,
+    trees: int,
+    depth: int,
+    penalty: float,
+    seed: int,
+) -> tuple[list[tuple[str, float]], float]:
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"))
+    usable = ~held_out("doc_id", folds, held_fold) & F.col("doc_id").isNotNull() & F.col("label").isin(0.0, 1.0)
+    sample = marks.where(usable).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
+    training = materialize(text_statistics(rows.join(F.broadcast(sample), "doc_id"), ["label"], "text"), "labelled")
+    return fit_rules(training, trees, depth, penalty, seed)
+
+
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds == fold, F.lit(False))
+
+
 def score_quality(
     docs: DataFrame,
     labels: DataFrame,
@@ -162,22 +189,13 @@ def score_quality(
     depth: int = 3,
     penalty: float = 0.002,
     seed: int = 7,
+    prefix: str = "stat_",
 ) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` per row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == held_fold, F.lit(False))
-    marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("label"))
-    sample = marks.where(~held & F.col("doc_id").isNotNull() & F.col("label").isin(0.0, 1.0)).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(max_rows)
-    training = materialize(text_statistics(rows.join(F.broadcast(sample), "doc_id"), ["label"], "text"), "labelled")
-    rules, intercept = fit_rules(training, trees, depth, penalty, seed)
-    score = compile_rules(rules, intercept)
-    return (
-        text_statistics(rows, ["doc_id"], "text")
-        .select("doc_id", held.alias("held_out"), score.alias("score"))
-        .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    """All columns of ``docs`` with ``held_out, score, predicted``, which replace columns of these names."""
+    rules = learn_rules(docs, labels, id_col, text_col, label_col, folds, held_fold, max_rows, trees, depth, penalty, seed)
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    scored = text_statistics(docs, docs.columns, text_col, prefix).withColumns(
+        {"held_out": held_out(id_col, folds, held_fold), "score": compile_rules(*rules, prefix)}
     )
-
-
-def id_fold(doc_id: int, folds: int) -> int:
-    """The fold of an id, as tests compute it."""
-    return zlib.crc32(str(doc_id).encode()) % folds
+    return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int")).drop(*[prefix + s for s in STATISTICS])

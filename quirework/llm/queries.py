@@ -24,7 +24,9 @@ def op2_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality.score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
 
 
 def op4_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
