@@ -108,21 +108,19 @@ class Shard:
         maybe = np.flatnonzero(self.full_filter[windows >> np.uint64(48)])
         return maybe[np.isin(windows[maybe], self.full)]
 
+    def reaching(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words of the passages whose highest impacts sum up to a threshold."""
+        keep = (np.bincount(passage, weights=self.highest[term]) >= 1)[passage]
+        return passage[keep], term[keep]
+
     def search(self, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Passages, items and scores that reach the threshold. Words of one passage may repeat."""
         none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)
         known = term >= 0
-        for distinct in (False, True):  # first with words that repeat, which can only raise the sum
-            if distinct:
-                both = np.sort(passage * np.int64(len(self.terms)) + term)
-                both = both[np.r_[True, both[1:] != both[:-1]]]
-                passage, term = both // len(self.terms), both % len(self.terms)
-            else:
-                passage, term = passage[known], term[known]
-            if not len(passage):
-                return none
-            keep = (np.bincount(passage, weights=self.highest[term]) >= 1)[passage]
-            passage, term = passage[keep], term[keep]
+        passage, term = self.reaching(passage[known], term[known])  # words that repeat only raise the sum
+        both = np.sort(passage * np.int64(len(self.terms)) + term)
+        both = both[np.flatnonzero(np.diff(both, prepend=-1))]
+        passage, term = self.reaching(both // len(self.terms), both % len(self.terms))
         if not len(passage):
             return none
         cuts = np.flatnonzero(np.r_[True, passage[1:] != passage[:-1]])
