@@ -37,6 +37,8 @@ _MARKED_SQL = (
     + _CHECK_DIGIT.format(d="CAST(100000000000 + doc_id * 7919 AS VARCHAR)")
     + " + doc_id % 3) % 10 AS VARCHAR) END || '.'"
 )
+# some identity numbers are written in the digits of another script, which changes no kind
+_SCRIPTS = {1: "٠١٢٣٤٥٦٧٨٩", 2: "０１２３４５６７８９", 3: "๐๑๒๓๔๕๖๗๘๙"}
 
 
 @query(
@@ -72,6 +74,8 @@ def pii_marked_documents(spark, sf_dir):
     check = ((G.id_check_digit(twelve) + key % 3) % 10).cast("int").cast("string")
     phone = F.concat(F.lit(" call 081-234-"), F.lpad((key % 10000).cast("string"), 4, "0"))
     number = F.concat(F.lit(" id "), twelve, F.lit("-"), check)
+    for k, digits in _SCRIPTS.items():
+        number = F.when(key % 5 == k, F.translate(number, "0123456789", digits)).otherwise(number)
     text = F.concat("text", F.when(key % 3 == 2, phone).otherwise(number), F.lit("."))
     docs = X.load(spark, sf_dir, "documents")
     return docs.select("doc_id", F.array_join(G.find_pii(text), ",").alias("kinds"))
@@ -88,6 +92,8 @@ def pii_conversations(spark, sf_dir):
 
 # -- questions are user turns, passages the first five turns, replies the assistant turn after
 
+_GOOD_REPLY = "CAST(to_json({'answer': c.text, 'citations': [1]}) AS VARCHAR)"
+
 _TALK = f"""
 questions AS (
   SELECT conv_id * 1000 + turn AS question_id, conv_id, turn,
@@ -100,29 +106,37 @@ kept AS (
 sizes AS (SELECT question_id, count(*) AS n_passages FROM kept GROUP BY 1),
 attempts AS (
   SELECT q.question_id, a.attempt, n_passages,
-         CASE (q.conv_id * 3 + q.turn * 5 + a.attempt) % 7
+         CASE (q.conv_id * 3 + q.turn * 5 + a.attempt) % 11
            WHEN 0 THEN c.text
            WHEN 1 THEN CAST(to_json({{'answer': c.text, 'citations': CAST([] AS INTEGER[])}}) AS VARCHAR)
            WHEN 2 THEN CAST(to_json({{'answer': c.text, 'citations': [1, 9]}}) AS VARCHAR)
            WHEN 3 THEN CAST(to_json({{'answer': c.text, 'citations': [1, 1]}}) AS VARCHAR)
            WHEN 4 THEN CAST(to_json({{'answer': c.text, 'citations': [3, 1]}}) AS VARCHAR)
            WHEN 5 THEN CAST(to_json({{'answer': c.text || ' a.b@example.org', 'citations': [1]}}) AS VARCHAR)
-           ELSE CAST(to_json({{'answer': c.text, 'citations': [1]}}) AS VARCHAR) END AS reply,
-         CASE (q.conv_id + q.turn + a.attempt) % 6
+           WHEN 6 THEN {_GOOD_REPLY} || ' and more'
+           WHEN 7 THEN '```json' || chr(10) || {_GOOD_REPLY} || chr(10) || '```'
+           WHEN 8 THEN replace({_GOOD_REPLY}, '"', chr(39))
+           WHEN 9 THEN '{{"answer": 5, "citations": [1]}}'
+           ELSE {_GOOD_REPLY} END AS reply,
+         CASE (q.conv_id + q.turn + a.attempt) % 9
            WHEN 0 THEN '{{"unsupported": ["x"], "grounded": false}}'
            WHEN 1 THEN '{{"grounded": "maybe"}}'
            WHEN 2 THEN 'The answer looks fine.'
+           WHEN 3 THEN '{{"grounded": true}} trailing'
+           WHEN 4 THEN '{{"grounded": false}}' || chr(10) || '```'
+           WHEN 5 THEN '{{''grounded'': true}}'
            ELSE '{{"unsupported": [], "grounded": true}}' END AS judge_reply
   FROM questions q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn = q.turn + 1 AND c.role = 'assistant'
   JOIN sizes USING (question_id), (VALUES (1), (2)) a(attempt)),
 numbered AS (
   SELECT *, CASE WHEN json_valid(reply) THEN TRY_CAST(json_extract(reply, '$.citations') AS INTEGER[]) END AS numbers,
-         CASE WHEN json_valid(reply) THEN json_extract_string(reply, '$.answer') END AS said,
+         CASE WHEN json_valid(reply) AND json_type(reply, '$.answer') = 'VARCHAR' THEN json_extract_string(reply, '$.answer') END AS said,
          CASE WHEN json_valid(judge_reply) AND json_type(judge_reply, '$.grounded') = 'BOOLEAN'
               THEN CAST(json_extract_string(judge_reply, '$.grounded') AS BOOLEAN) END AS verdict
   FROM attempts),
 parsed AS (
-  SELECT *, coalesce(len(list_filter(numbers, lambda x: x < 1 OR x > n_passages)) = 0, false) AS valid,
+  SELECT *, coalesce(len(list_filter(numbers, lambda x: x < 1 OR x > n_passages)) = 0
+                     AND (len(numbers) = 0 OR said IS NOT NULL), false) AS valid,
          CASE WHEN numbers = [1, 1] THEN [1] ELSE numbers END AS cited FROM numbered),
 evaluated AS (
   SELECT *, CASE WHEN NOT valid THEN 'invalid' WHEN len(numbers) = 0 THEN 'refused' WHEN verdict IS NULL THEN 'undecided'
@@ -186,7 +200,7 @@ def attempts(spark, sf_dir):
         .withColumn("attempt", F.explode(F.array(F.lit(1), F.lit(2))))
     )
     conv, turn, attempt = F.col("conv_id"), F.col("turn"), F.col("attempt")
-    kind, mood = (conv * 3 + turn * 5 + attempt) % 7, (conv + turn + attempt) % 6
+    kind, mood = (conv * 3 + turn * 5 + attempt) % 11, (conv + turn + attempt) % 9
     numbers = (
         F.when(kind == 1, F.array().cast("array<int>"))
         .when(kind == 2, F.array(F.lit(1), F.lit(9)))
@@ -200,10 +214,19 @@ def attempts(spark, sf_dir):
         "question_id",
         "attempt",
         "n_passages",
-        F.when(kind == 0, F.col("said")).otherwise(reply).alias("reply"),
+        F.when(kind == 0, F.col("said"))
+        .when(kind == 6, F.concat(reply, F.lit(" and more")))
+        .when(kind == 7, F.concat(F.lit("```json\n"), reply, F.lit("\n```")))
+        .when(kind == 8, F.translate(reply, '"', "'"))
+        .when(kind == 9, '{"answer": 5, "citations": [1]}')
+        .otherwise(reply)
+        .alias("reply"),
         F.when(mood == 0, '{"unsupported": ["x"], "grounded": false}')
         .when(mood == 1, '{"grounded": "maybe"}')
         .when(mood == 2, "The answer looks fine.")
+        .when(mood == 3, '{"grounded": true} trailing')
+        .when(mood == 4, '{"grounded": false}\n```')
+        .when(mood == 5, "{'grounded': true}")
         .otherwise('{"unsupported": [], "grounded": true}')
         .alias("judge_reply"),
     )

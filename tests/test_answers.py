@@ -46,11 +46,24 @@ def test_parse_reply(evaluate):
         (True, R.REFUSAL_TEXT, []),
         *[(False, None, None)] * 5,
     ]
+    good = reply([1])
+    wrong = [good + " x", f"```json\n{good}\n```", good.replace('"', "'"), good + good, good[:-1], "", None, reply(["1"]), reply([True]), reply([1.0]), reply([1], 5), reply([1], None), reply(1)]
+    assert [g["valid"] for g in evaluate(R.parse_reply(X, F.lit(2)), wrong)] == [False] * len(wrong)
+
+
+def test_identity_numbers_in_every_script(evaluate):
+    scripts = ["٠١٢٣٤٥٦٧٨٩", "０１２３４５６７８９", "०१२३४५६७८९", "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗"]
+    other = [VALID.translate(str.maketrans("0123456789", s)) for s in scripts]
+    wrong = [VALID[:-1] + str((int(VALID[-1]) + 1) % 10)]
+    wrong += [wrong[0].translate(str.maketrans("0123456789", s)) for s in scripts]
+    assert evaluate(G.find_pii(X, ("thai_national_id",)), other) == [["thai_national_id"]] * 4
+    assert evaluate(G.find_pii(X, ("thai_national_id",)), wrong) == [[]] * 5
 
 
 def test_parse_verdict(evaluate):
-    raws = ['{"grounded": true}', '{"grounded": false}', '{"grounded": "maybe"}', '{"grounded": 1}', '{"unsupported": []}', "fine", "[]", None]
-    assert evaluate(R.parse_verdict(X), raws) == [True, False] + [None] * 6
+    raws = ['{"grounded": true}', ' {"grounded": false}\n', '{"grounded": "maybe"}', '{"grounded": 1}', '{"unsupported": []}', "fine", "[]", None]
+    raws += ['{"grounded": true} trailing', '{"grounded": false}\n```', "{'grounded': true}", '{"grounded": true}{"grounded": true}', '[true]', ""]
+    assert evaluate(R.parse_verdict(X), raws) == [True, False] + [None] * 12
 
 
 def test_labels(evaluate):
