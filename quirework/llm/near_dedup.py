@@ -11,9 +11,12 @@ With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1.2e-7.
    coordinate drops pairs far below the threshold (similarity 0.8 falls under 0.65 with less than 1e-7).
    The rest are confirmed on the full sets; the confirmed links give first components.
 3. Band keys that still hold two components are searched for further pairs across components only, the
-   members outside the leader's component against all, in tiles of bounded size. These are confirmed in
-   the same way and the components completed. Pairs inside one component need no test: no link that
-   matters is lost, and a group of thousands of near copies costs a few pairs for each of them.
+   members outside the leader's component against all, in tiles of bounded size. Promising pairs are not
+   listed: a tile gives a forest that joins the members of such pairs, at most one edge per member. The
+   trees of all tiles form neighbourhoods, and every neighbourhood compares its full sets, again across
+   components and in tiles, giving at most one link per component joined. Pairs inside one component
+   need no test: no link that matters is lost, and neither a group of thousands of near copies nor one
+   of thousands of texts just under the threshold costs a row per pair.
 
 Full texts are fetched for candidates only, compressed on the way. Cases: null text, or text without
 words, has an empty set and is linked with nothing; rows without an id are linked with nothing (null
@@ -135,6 +138,15 @@ def stacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.uint8)
 
 
+def sized(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices whose sizes, as a column states them, sum up to at most ``most``, or single rows."""
+    reach, at = np.cumsum(batch.column(column).to_numpy()), 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def promising(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     """Pairs ``a, b`` whose sketches agree enough."""
 
@@ -148,49 +160,77 @@ def promising(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:
     return pairs.join(sketch, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(work, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Pairs whose full sets are similar enough. Reads the texts of the documents in ``pairs`` only."""
+def full_sets(ids: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """``rep, members``: the whole sets of the documents in ``ids`` (rep); other texts are not unpacked."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=1)
-        for batch in batches:
+        for batch in bounded(batches, 1):
             texts = [t.encode() if t else b"" for t in batch.column(1).to_pylist()]
             packed = [codec.compress(t, asbytes=True) for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "size", "packed"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, texts), pa.int64()), pa.array(packed, pa.binary())], ["rep", "size", "packed"])
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec, rolling = pa.Codec("zstd"), Rolling(BASES[0])
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in sized(batch, 1):
                 texts = [codec.decompress(p, n, asbytes=True) for p, n in zip(part.column(2).to_pylist(), part.column(1).to_pylist())]
                 hashes, first = shingle_sets(pa.array(texts, pa.binary()).cast(pa.string()), shingle, rolling)
                 raw = set_bytes(hashes)
                 sets = [raw[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["doc_id", "members"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], ["rep", "members"])
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def members(raw: bytes) -> np.ndarray:
-            out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
-            out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
-            return out.view("<u8").ravel()
+    packed = docs.mapInArrow(pack, "rep long, size long, packed binary")
+    return materialize(packed.join(ids, "rep").select("rep", "size", "packed").mapInArrow(to_sets, "rep long, members binary"), "sets")
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // SET_BYTES, 8), np.uint8)
+    out[:, :SET_BYTES] = np.frombuffer(raw, np.uint8).reshape(-1, SET_BYTES)
+    return out.view("<u8").ravel()
 
+
+def similar(shared: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    return (shared > 0) & (100 * shared >= percent * (a + b - shared))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Pairs whose full sets are similar enough."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3)):
-                a, b = members(x.as_py()), members(y.as_py())
-                shared = len(a) + len(b) - len(np.unique(np.concatenate((a, b))))
-                good.append(shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared))
+                a, b = unpacked(x.as_py()), unpacked(y.as_py())
+                both = np.sort(np.concatenate((a, b)))
+                good.append(bool(similar(int((both[1:] == both[:-1]).sum()), len(a), len(b), percent)))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    packed = docs.mapInArrow(pack, "doc_id long, size long, packed binary")
-    sets = materialize(packed.join(wanted, "doc_id").select("doc_id", "size", "packed").mapInArrow(to_sets, "doc_id long, members binary"), "sets")
-    first = sets.select(F.col("doc_id").alias("a"), F.col("members").alias("x"))
-    second = sets.select(F.col("doc_id").alias("b"), F.col("members").alias("y"))
+    sets = full_sets(pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct(), docs, shingle)
+    first = sets.select(F.col("rep").alias("a"), F.col("members").alias("x"))
+    second = sets.select(F.col("rep").alias("b"), F.col("members").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compare, "a long, b long").distinct()
 
 
+class Forest:
+    """Trees over numbered nodes, grown by joining one node with many at a time."""
+
+    def __init__(self, roots: np.ndarray) -> None:
+        self.roots = roots.copy()
+        self.edges: list[tuple[int, int]] = []
+
+    def join(self, node: int, others: np.ndarray) -> None:
+        roots, at = np.unique(self.roots[others], return_index=True)
+        new = roots != self.roots[node]
+        if new.any():
+            self.edges += [(int(node), int(j)) for j in others[at[new]]]
+            self.roots[np.isin(self.roots, roots)] = self.roots[node]
+
+    def pairs(self, ids: np.ndarray) -> pa.Table:
+        ends = ids[np.array(self.edges, np.int64).reshape(-1, 2)]
+        return pa.table({"a": pa.array(ends.max(1)), "b": pa.array(ends.min(1))})
+
+
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``rep, component``: smallest id reachable over ``links`` (a, b), for every id in a link or in ``labels``.
 
@@ -219,17 +259,17 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return materialize(old.union(state.join(labels, "rep", "left_anti")), "components")
 
 
-def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, least: float, tile: int) -> DataFrame:
-    """Promising pairs that share a band key and lie in different components."""
+def neighbourhoods(members: DataFrame, classes: DataFrame, labels: DataFrame, least: float, tile: int) -> DataFrame:
+    """Edges ``a, b`` that connect all documents with a promising pair across components under a band key."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
         ids, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
         sketches, minor = stacked(table.column("sketch")), table.column("minor").to_numpy(zero_copy_only=False)
-        found = []
+        forest = Forest(np.arange(len(ids)))
         for i in np.flatnonzero(minor):
-            near = np.flatnonzero((comps != comps[i]) & (agreement(sketches, sketches[i]) >= least))
-            found += [(min(ids[i], ids[j]), max(ids[i], ids[j])) for j in near]
-        return pa.table({"a": pa.array([b for _, b in found], pa.int64()), "b": pa.array([a for a, _ in found], pa.int64())})
+            other = np.flatnonzero(comps != comps[i])
+            forest.join(i, other[agreement(sketches[other], sketches[i]) >= least])
+        return forest.pairs(ids)
 
     placed = members.join(labels, "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
     heads = placed.where("rep = leader").select("key", F.col("component").alias("head"))
@@ -240,12 +280,73 @@ def cross_pairs(members: DataFrame, classes: DataFrame, labels: DataFrame, least
         .withColumn("minor", F.col("component") != F.col("head"))
         .join(classes.select("rep", "sketch"), "rep")
     )
-    own = F.array(F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
-    everywhere = F.sequence(F.lit(0), F.col("tiles") - 1)
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("minor"), everywhere).otherwise(own)))
+    own = F.array(tile_of("rep", "tiles"))
+    rows = rows.withColumn("tile", F.explode(F.when(F.col("minor"), numbers("tiles")).otherwise(own)))
     return rows.select("key", "tile", "rep", "component", "minor", "sketch").groupBy("key", "tile").applyInArrow(work, "a long, b long").distinct()
 
 
+def tile_of(column: str, tiles: str):
+    return F.pmod(F.xxhash64(column), F.col(tiles)).cast("int")
+
+
+def numbers(count: str):
+    return F.sequence(F.lit(0), F.col(count) - 1)
+
+
+def cross_links(edges: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, percent: int, tile: int) -> DataFrame:
+    """Links ``a, b`` across components inside the neighbourhoods that ``edges`` connect, found on the full sets."""
+
+    def work(key: tuple, table: pa.Table) -> pa.Table:
+        ids, comps, left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "left", "right"))
+        sets = [unpacked(m) for m in table.column("members").to_pylist()]
+        sizes = np.array([len(m) for m in sets])
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        cuts = np.r_[0, np.cumsum(sizes)]
+        rights = np.flatnonzero(right)
+        flat = np.concatenate([at[cuts[j] : cuts[j + 1]] for j in rights]) if len(rights) else at[:0]
+        begins = np.r_[0, np.cumsum(sizes[rights])][:-1]
+        held = np.zeros(len(words), np.int32)
+        forest = Forest(np.unique(comps, return_inverse=True)[1])
+        for i in np.flatnonzero(left):
+            open_ones = forest.roots[rights] != forest.roots[i]
+            if not open_ones.any():
+                continue
+            own = at[cuts[i] : cuts[i + 1]]
+            held[own] = 1
+            shared = np.add.reduceat(held[flat], begins)
+            held[own] = 0
+            forest.join(i, rights[open_ones & similar(shared, sizes[i], sizes[rights], percent)])
+        return forest.pairs(ids)
+
+    areas = components(edges).withColumnRenamed("component", "area")
+    placed = areas.join(labels, "rep", "left").select("area", "rep", F.coalesce("component", "rep").alias("component"))
+    largest = placed.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area")
+    plan = largest.agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"))
+    plan = plan.select("area", "head", F.ceil(F.col("minor") / tile).cast("int").alias("rows"), F.ceil(F.col("n") / tile).cast("int").alias("columns"))
+    sets = full_sets(areas.select("rep"), docs, shingle)
+    placed = placed.join(plan, "area").withColumn("x", F.when(F.col("component") != F.col("head"), tile_of("rep", "rows"))).withColumn("y", tile_of("rep", "columns"))
+    # a document stands in its column of every row, and one outside the largest component in every column of its row
+    columns = F.transform(numbers("rows"), lambda x: F.struct(x.alias("row"), F.col("y").alias("column")))
+    rows = F.when(F.col("x").isNotNull(), F.transform(numbers("columns"), lambda y: F.struct(F.col("x").alias("row"), y.alias("column"))))
+    cells = F.explode(F.array_distinct(F.concat(columns, F.coalesce(rows, F.slice(columns, 1, 0)))))
+    spread = placed.select("area", "rep", "component", "x", "y", cells.alias("cell")).join(sets, "rep")
+    return (
+        spread.select(
+            "area",
+            F.col("cell.row").alias("row"),
+            F.col("cell.column").alias("column"),
+            "rep",
+            "component",
+            F.coalesce(F.col("x") == F.col("cell.row"), F.lit(False)).alias("left"),
+            (F.col("y") == F.col("cell.column")).alias("right"),
+            "members",
+        )
+        .groupBy("area", "row", "column")
+        .applyInArrow(work, "a long, b long")
+        .distinct()
+    )
+
+
 def near_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -272,9 +373,9 @@ def near_dedup(
     members = materialize(keyed.join(leaders, "key"), "members")
     starred = materialize(promising(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), classes, least), "pairs")
     labels = components(confirm(starred, texts, shingle, percent))
-    crossing = materialize(cross_pairs(members, classes, labels, least, tile).join(starred, ["a", "b"], "left_anti"), "pairs")
-    if not crossing.isEmpty():
-        labels = components(confirm(crossing, texts, shingle, percent), labels)
+    edges = materialize(neighbourhoods(members, classes, labels, least, tile), "neighbourhoods")
+    if not edges.isEmpty():
+        labels = components(cross_links(edges, labels, texts, shingle, percent, max(1, tile // 4)), labels)
     named = classes.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))
     component = F.coalesce("component_id", "doc_id")
     return (
