@@ -31,15 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from quirework.llm.text_bytes import BASES, Rolling, bounded, utf8, word_spans
+from quirework.llm.text_bytes import BASES, LOWERED, Rolling, bounded, utf8, word_spans
 
 RESULT = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 SHINGLE = 5
 K1, B = 1.2, 0.75
 WORD = np.ones(256, bool)
 WORD[0x00:0x30] = WORD[0x3A:0x41] = WORD[0x5B:0x61] = WORD[0x7B:0x80] = False
-LOWERED = np.arange(256, dtype=np.uint8)
-LOWERED[65:91] += 32
 
 
 def word_hashes(column: pa.Array, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:

@@ -32,10 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quirework.functions.common import materialize
-from quirework.llm.text_bytes import BASES, NOT_SPACE, Rolling, bounded, mix, utf8, word_spans
+from quirework.llm.text_bytes import BASES, LOWERED, NOT_SPACE, Rolling, bounded, mix, release_memory, utf8, word_spans
 
-LOWERED = np.arange(256, dtype=np.uint8)
-LOWERED[65:91] += 32
 PART = 1 << 14  # shingles handled at a time, so that work stays in the processor's cache
 SET_BYTES = 6
 
@@ -145,6 +143,7 @@ def sized(batch: pa.RecordBatch, column: int, most: int = 2 << 20) -> Iterator[p
         stop = max(at + 1, int(np.searchsorted(reach, (reach[at - 1] if at else 0) + most, "right")))
         yield batch.slice(at, stop - at)
         at = stop
+    release_memory()
 
 
 def promising(pairs: DataFrame, classes: DataFrame, least: float) -> DataFrame:

@@ -28,78 +28,94 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from quirework.llm.text_bytes import bounded
+from quirework.llm.text_bytes import BASES, LOWERED, Rolling, bounded, utf8, word_spans
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 TASK_BITS = 40
-SIGNS = "!#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+NOT_BLANK = np.ones(256, bool)
+NOT_BLANK[[9, 10, 13, 32]] = False
+SIGN = np.zeros(256, bool)
+SIGN[list(b"!#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
 DIVIDERS = "★☆→•"
 STORE = "packing_word_store"
 
 
 class WordTokens:
-    """Token ids of whole texts, as little-endian 32-bit numbers, from the ids of their words.
+    """Token ids of whole texts from the ids of their words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are the ids of its words in
     order. A run of ASCII signs at the end of a word is a token sequence of its own, so a word's ids are
-    those of its stem and of that tail. Distinct stems and tails are encoded once; many go into one call,
-    divided by a sign that is one token. The store belongs to the worker process, not to the task, and is
-    emptied when full.
+    those of its stem and of that tail; A-Z may be lower-cased first. Stems and tails are found and named
+    by hashes for many texts together; only distinct ones are looked up, and new ones are encoded, many
+    in one call, divided by a sign that is one token. The store of known ones belongs to the worker
+    process, not to the task; when half full it starts anew and takes over what is still asked for.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000, max_parts: int = 800_000) -> None:
+    def __init__(self, path: str, max_parts: int = 400_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
         from tokenizers import Tokenizer
 
-        self.max_words, self.max_parts = max_words, max_parts
+        self.max_parts, self.rolling = max_parts, Rolling(BASES[0])
         store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__  # functions are sent by value, so globals end with the task
         if path not in store:
-            store[path] = (Tokenizer.from_file(path), {"": b""}, {"": b""})
-        self.tokenizer, self.words, self.parts = store[path]
+            store[path] = (Tokenizer.from_file(path), [{}, {}])
+        self.tokenizer, self.known = store[path]
         single = [self.tokenizer.encode(sign, add_special_tokens=False).ids for sign in DIVIDERS]
         self.divider, self.divider_id = next(((sign, ids[0]) for sign, ids in zip(DIVIDERS, single) if len(ids) == 1), (None, None))
 
-    def encode(self, parts: list[str]) -> None:
-        """Add the ids of ``parts`` to the store."""
+    def encode(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, as little-endian 32-bit numbers."""
+        out: dict[str, bytes] = {}
         together = [p for p in parts if self.divider and self.divider not in p and "<|" not in p]
-        alone = set(parts).difference(together)
-        for part in alone:
-            self.parts[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = [together[i : i + 256] for i in range(0, len(together), 256)]
         joined = self.tokenizer.encode_batch_fast([f" {self.divider} ".join(c) for c in chunks], add_special_tokens=False)
         for chunk, found in zip(chunks, joined):
             ids = np.array(found.ids, "<u4")
             raw, cuts = ids.tobytes(), (np.flatnonzero(ids == self.divider_id) * 4).tolist()
             for part, a, b in zip(chunk, [-4, *cuts], [*cuts, len(raw)]):
-                self.parts[part] = raw[a + 4 : b]
-
-    def learn(self, texts: list[str]) -> list[list[str]]:
-        """Words of each text; all of them are in the store until the next call."""
-        split = [text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for text in texts]
-        if len(self.words) > self.max_words:
-            self.words.clear()
-            self.words[""] = b""
-        if len(self.parts) > self.max_parts:
-            self.parts.clear()
-            self.parts[""] = b""
-        known, parts = self.words, self.parts
-        new = {word: stem_and_tail(word) for own in split for word in own if word not in known}
-        missing = {p: None for pair in new.values() for p in pair if p not in parts}
-        self.encode(list(missing))
-        for word, (stem, tail) in new.items():
-            known[word] = parts[stem] + parts[tail]
-        return split
-
-    def ids(self, words: list[str]) -> bytes:
-        return b"".join(map(self.words.__getitem__, words))
-
-
-def stem_and_tail(word: str) -> tuple[str, str]:
-    stem = word.rstrip(SIGNS)
-    if "<|" in word:  # may hold a special token
-        return word, ""
-    return (stem.lower() if stem.isascii() else stem), word[len(stem) :]
+                out[part] = raw[a + 4 : b]
+        for part in parts:
+            if part not in out:
+                out[part] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, "<u4").tobytes()
+        return [out[p] for p in parts]
+
+    def parts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes with A-Z lower-cased; starts and ends of stems and tails; each text's first part."""
+        low = LOWERED[data]
+        starts, ends, _ = word_spans(data, offsets, NOT_BLANK)
+        reach = np.maximum.accumulate(np.where(SIGN[low], 0, np.arange(1, len(low) + 1)))
+        middle = np.maximum(starts, reach[ends - 1]) if len(ends) else ends
+        marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
+        for word in np.unique(np.searchsorted(starts, marks, "right") - 1):  # may hold a special token: kept as it is
+            low[starts[word] : ends[word]] = data[starts[word] : ends[word]]
+            middle[word] = ends[word]
+        first, last = np.column_stack((starts, middle)).ravel(), np.column_stack((middle, ends)).ravel()
+        filled = last > first
+        first, last = first[filled], last[filled]
+        return low, first, last, np.searchsorted(first, offsets)
+
+    def ids(self, column: pa.Array) -> Iterator[bytes]:
+        """Ids of each text of the column."""
+        data, offsets = utf8(column)
+        low, first, last, own = self.parts(data, offsets)
+        names, at, which = np.unique(self.rolling.spans(low, first, last), return_index=True, return_inverse=True)
+        if len(self.known[0]) > self.max_parts // 2:
+            self.known[:] = {}, self.known[0]
+        known, before = self.known
+        hashes = names.tolist()
+        known.update((h, before[h]) for h in hashes if h not in known and h in before)
+        missing = [k for k, h in enumerate(hashes) if h not in known]
+        words = [low[a:b].tobytes().decode() for a, b in zip(first[at[missing]].tolist(), last[at[missing]].tolist())]
+        known.update(zip([hashes[k] for k in missing], self.encode(words)))
+        tokens = [known[h] for h in hashes]
+        flat, lengths = np.frombuffer(b"".join(tokens), "<u4"), np.array([len(t) // 4 for t in tokens], np.int64)
+        counts = lengths[which]
+        ends = np.cumsum(counts)
+        source = np.repeat((np.cumsum(lengths) - lengths)[which] - (ends - counts), counts) + np.arange(counts.sum())
+        cuts = np.r_[0, ends][own].tolist()
+        ids = flat[source]
+        return (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))
 
 
 class Packer:
@@ -198,9 +214,8 @@ def pack_documents(
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], COLUMNS)
 
         for batch in bounded(batches, 1):
-            words = tokens.learn([t or "" for t in batch.column(1).to_pylist()])
-            for doc, own in zip(batch.column(0).to_pylist(), words):
-                packer.add(doc, tokens.ids(own) + end)
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
+                packer.add(doc, ids + end)
             yield finished()
         packer.flush(True)
         yield finished()

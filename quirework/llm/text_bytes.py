@@ -1,5 +1,7 @@
 """Numpy helpers over the UTF-8 bytes of an Arrow string column: words, polynomial hashes, windows."""
 
+import ctypes
+import sys
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -12,6 +14,8 @@ BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)  # odd, hence invertible modulo
 SPACES = np.zeros(256, bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
 NOT_SPACE = ~SPACES
+LOWERED = np.arange(256, dtype=np.uint8)  # A-Z to a-z
+LOWERED[65:91] += 32
 
 
 def utf8(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -35,6 +39,14 @@ def bounded(batches: Iterable[pa.RecordBatch], column: int, max_bytes: int = 2 <
             stop = max(at + 1, int(np.searchsorted(reach, before + max_bytes, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+    release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back: a worker process outlives its tasks, and others run beside it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def word_spans(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
