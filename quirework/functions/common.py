@@ -1,7 +1,9 @@
 """Small helpers shared by the operators: let-binding, checked broadcasts, durable scratch space."""
 
+import atexit
 import tempfile
 from collections.abc import Callable
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -23,10 +25,9 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
-    """Measure a frame (reading at most ``max_rows`` + 1 rows) against the broadcast bound."""
+    """Measure a frame against the broadcast bound: counts and sums per task, nothing gathered."""
     probe = (
-        df.limit(max_rows + 1)
-        .select(F.length(F.to_json(F.struct("*"))).alias("width"))
+        df.select(F.length(F.to_json(F.struct("*"))).alias("width"))
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))
         .first()
     )
@@ -38,16 +39,24 @@ def broadcast_within_bound(df: DataFrame, **bounds: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, **bounds) else df
 
 
+@cache
+def _local_scratch() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="quirework-")
+    atexit.register(folder.cleanup)
+    return folder.name
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
-    Only a local session may fall back to a temporary folder of this machine.
+    Only a local session may fall back to a temporary folder of this machine, which is
+    removed when the process ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        base = tempfile.mkdtemp(prefix="quirework-")
+        base = _local_scratch()
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 

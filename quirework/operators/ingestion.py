@@ -4,7 +4,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from quirework.functions.common import materialize
 from quirework.operators import chunks as C, pages as P, quality as Q, registry as G, supersede as S
-from quirework.sources.schemas import ALLOWED_SCOPES
 
 
 def ingest(
@@ -19,27 +18,42 @@ def ingest(
     model: str,
     at: Column,
     parser: str = "spark",
-    allowed: list[str] = ALLOWED_SCOPES,
     chunk_options: dict | None = None,
     gate_options: dict | None = None,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, chunks, qa) after admission, gate, chunking, embedding and promotion.
 
     ``files`` has document_id, source, title_th, edition_year_be, scopes, file_hash and
-    page_count; the document_id of a file follows from its hash. Files whose hash is active or archived are refused; a failing document stays
-    pending with its record and has no chunks. Steps used more than once are written to the
+    page_count. Files whose hash is active or archived are refused; a hash that is still
+    pending keeps the document_id it is stored under, whatever id the caller gives it. A
+    failing document stays pending with its record and has no chunks. Steps used more than once are written to the
     shared folder, so the gate runs once and each passage is embedded once.
     """
     unique = G.first_of_each_hash(files, "document_id")
-    decided = unique.join(registry.select("file_hash", "status"), "file_hash", "left").withColumn(
-        "action", G.admission_action(F.col("status"))
+    stored = registry.select("file_hash", "status", F.col("document_id").alias("stored_id"))
+    decided = (
+        unique.withColumnRenamed("document_id", "given_id")
+        .join(stored, "file_hash", "left")
+        .withColumn("action", G.admission_action(F.col("status")))
+        .withColumn("document_id", F.coalesce("stored_id", "given_id"))
     )
     admitted = materialize(decided.filter(F.col("action") != "refuse"), "admitted")
     keys = admitted.select("document_id")
+
+    def of_admitted(rows: DataFrame) -> DataFrame:
+        """Rows of admitted files, under the ids that the registry has."""
+        ids = admitted.select("given_id", F.col("document_id").alias("kept_id"))
+        return (
+            rows.join(ids, rows["document_id"] == ids["given_id"])
+            .withColumn("document_id", F.col("kept_id"))
+            .select(*rows.columns)
+        )
+
+    pages, blocks, tables = of_admitted(pages), of_admitted(blocks), of_admitted(tables)
     gate = Q.qa_gate(
-        pages.join(keys, "document_id", "left_semi"),
+        pages,
         admitted.select("document_id", "page_count", "scopes"),
-        tables.join(keys, "document_id", "left_semi"),
+        tables,
         **(gate_options or {}),
     )
     qa = materialize(gate, "qa")
@@ -59,8 +73,8 @@ def ingest(
         dimension,
     )
     new_chunks = materialize(embedded, "chunks")
-    documents = materialize(G.chunk_statistics(documents, new_chunks, model), "documents")
+    documents = materialize(G.chunk_statistics(documents, passed, new_chunks, model), "documents")
     documents, chunks = S.promote(
-        documents, kept_chunks.unionByName(new_chunks), passed, at, allowed
+        documents, kept_chunks.unionByName(new_chunks), passed, at
     )
     return documents, chunks, qa

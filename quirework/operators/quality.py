@@ -20,17 +20,15 @@ def measure_pages(
 ) -> DataFrame:
     """One row of page measurements per document.
 
-    Counts are partial sums before the shuffle. Codepoint labels are exploded only for
+    Counts are partial sums before the shuffle; only the page numbers of one document are
+    gathered, and those that differ from their place in the document are kept. Codepoint labels are exploded only for
     pages that hold such characters and are made distinct map-side.
     """
     raw = F.col("raw_text")
     n_chars = F.length(T.strip(raw))
     counts = pages.groupBy("document_id").agg(
         F.count("*").alias("n_pages"),
-        F.count_if(F.col("page_number") != F.col("ordinal")).alias("misnumbered"),
-        F.min(F.when(F.col("page_number") != F.col("ordinal"), F.col("ordinal"))).alias(
-            "first_misnumbered"
-        ),
+        F.array_sort(F.collect_list(F.struct("ordinal", "page_number"))).alias("numbers"),
         F.count_if(n_chars == 0).alias("n_empty"),
         F.count_if(n_chars < thin_page_chars).alias("n_thin"),
         F.sum(F.regexp_count(raw, F.lit(combining)).cast("long")).alias("n_combining"),
@@ -59,8 +57,11 @@ def measure_pages(
         )
     )
     nothing = F.array().cast("array<string>")
+    at = F.transform("numbers", lambda p, i: F.struct((i + 1).alias("position"), p["page_number"].alias("page_number")))
+    wrong = F.filter(at, lambda p: ~p["position"].eqNullSafe(p["page_number"]))
     return counts.join(private, "document_id", "left").select(
-        *counts.columns,
+        *[c for c in counts.columns if c != "numbers"],
+        wrong.alias("misnumbered"),
         F.coalesce("unmapped", nothing).alias("unmapped"),
         F.coalesce("symbols", nothing).alias("symbols"),
     )
@@ -103,6 +104,7 @@ def qa_gate(
     consonants = F.coalesce("n_consonants", F.lit(0))
     ratio = F.when(consonants > 0, F.col("n_combining") / consonants)
     nothing = F.array().cast("array<string>")
+    no_pages = F.array().cast("array<struct<position:int,page_number:int>>")
     unmapped, symbols = F.coalesce("unmapped", nothing), F.coalesce("symbols", nothing)
     scopes = F.coalesce("scopes", nothing)
     always = F.lit(True)
@@ -110,14 +112,8 @@ def qa_gate(
     checks = [
         (
             "page_numbers_not_sequential",
-            F.coalesce("misnumbered", F.lit(0)) == 0,
-            F.to_json(
-                F.struct(
-                    n_pages.alias("pages"),
-                    F.coalesce("misnumbered", F.lit(0)).alias("misnumbered"),
-                    F.col("first_misnumbered"),
-                )
-            ),
+            F.coalesce(F.size("misnumbered"), F.lit(0)) <= 0,
+            F.to_json(F.struct(n_pages.alias("pages"), F.coalesce("misnumbered", no_pages).alias("misnumbered"))),
             None,
         ),
         ("page_count_mismatch", n_pages == F.col("page_count"), n_pages, F.col("page_count")),

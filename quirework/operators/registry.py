@@ -91,11 +91,17 @@ def clear_pending_chunks(chunks: DataFrame, documents: DataFrame, reingested: Da
     return chunks.join(cleared.select("document_id"), "document_id", "left_anti")
 
 
-def chunk_statistics(documents: DataFrame, chunks: DataFrame, model: str) -> DataFrame:
-    """Set chunk_count and pin the embedding model for documents that have chunks."""
+def chunk_statistics(
+    documents: DataFrame, passed: DataFrame, chunks: DataFrame, model: str
+) -> DataFrame:
+    """Set chunk_count, 0 included, and the embedding model of every document that passed."""
     counts = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
+    counted = (
+        passed.select("document_id").distinct().join(counts, "document_id", "left")
+        .select("document_id", F.coalesce("n", F.lit(0)).alias("n"))
+    )
     return (
-        documents.join(counts, "document_id", "left")
+        documents.join(counted, "document_id", "left")
         .withColumn("chunk_count", F.coalesce("n", "chunk_count"))
         .withColumn(
             "embedding_model",

@@ -6,31 +6,29 @@ from quirework.functions.text import is_blank, sha256, split_lines, unknown_scop
 from quirework.sources.schemas import ALLOWED_SCOPES, STATUSES
 
 
-def newest_edition_per_scope(documents: DataFrame, allowed: list[str] = ALLOWED_SCOPES) -> DataFrame:
-    """Newest year per scope among active and archived documents: one row per allowed scope."""
+def newest_edition_per_scope(documents: DataFrame) -> DataFrame:
+    """Newest year per scope among active and archived documents: one row per scope."""
     return (
         documents.filter(F.col("status").isin("active", "archived"))
         .select(F.explode("scopes").alias("scope"), "edition_year_be")
-        .filter(F.col("scope").isin(allowed))
         .groupBy("scope")
         .agg(F.max("edition_year_be").alias("newest_year"))
     )
 
 
-def superseded(documents: DataFrame, allowed: list[str] = ALLOWED_SCOPES) -> DataFrame:
+def superseded(documents: DataFrame) -> DataFrame:
     """Active documents each of whose scopes has a strictly newer edition.
 
     A newer edition exists for a scope exactly when the scope's newest year is larger, so
-    documents are not compared with each other. The broadcast side holds at most one row
-    per allowed scope.
+    documents are not compared with each other. The joined side holds one row per scope.
     """
-    newest = newest_edition_per_scope(documents, allowed)
+    newest = newest_edition_per_scope(documents)
     per_scope = documents.filter("status = 'active'").select(
         "document_id", "edition_year_be", F.explode("scopes").alias("scope")
     )
     covered = F.coalesce(F.col("newest_year") > F.col("edition_year_be"), F.lit(False))
     return (
-        per_scope.join(F.broadcast(newest), "scope", "left")
+        per_scope.join(newest, "scope", "left")
         .groupBy("document_id")
         .agg(F.bool_and(covered).alias("covered"))
         .filter("covered")
@@ -49,10 +47,8 @@ def activate(documents: DataFrame, newly_passed: DataFrame) -> DataFrame:
     )
 
 
-def archive_superseded(
-    documents: DataFrame, archived_at: Column, allowed: list[str] = ALLOWED_SCOPES
-) -> DataFrame:
-    retired = superseded(documents, allowed).withColumn("retired", F.lit(True))
+def archive_superseded(documents: DataFrame, archived_at: Column) -> DataFrame:
+    retired = superseded(documents).withColumn("retired", F.lit(True))
     return (
         documents.join(retired, "document_id", "left")
         .withColumn("status", F.when(F.col("retired"), "archived").otherwise(F.col("status")))
@@ -71,14 +67,10 @@ def searchable_chunks(chunks: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def promote(
-    documents: DataFrame,
-    chunks: DataFrame,
-    newly_passed: DataFrame,
-    archived_at: Column,
-    allowed: list[str] = ALLOWED_SCOPES,
+    documents: DataFrame, chunks: DataFrame, newly_passed: DataFrame, archived_at: Column
 ) -> tuple[DataFrame, DataFrame]:
     """Activate first, then archive what is covered, then drop chunks of non-active documents."""
-    settled = archive_superseded(activate(documents, newly_passed), archived_at, allowed)
+    settled = archive_superseded(activate(documents, newly_passed), archived_at)
     return settled, searchable_chunks(chunks, settled)
 
 

@@ -17,14 +17,14 @@ qa_pages AS (
 
 _FACTS = f"""WITH {X.PAGES_CTE}, {X.REGISTRY_CTE}, {_PAGES},
 m AS (
-  SELECT document_id, count(*) AS n_pages, count_if(page_number <> ordinal) AS misnumbered,
-         min(ordinal) FILTER (WHERE page_number <> ordinal) AS first_bad,
+  SELECT document_id, count(*) AS n_pages,
+         list('{{"position":' || place || ',"page_number":' || page_number || '}}' ORDER BY place) FILTER (WHERE page_number <> place) AS misnumbered,
          count_if({X.sql_strip('raw_text')} = '') AS n_empty,
          count_if(len({X.sql_strip('raw_text')}) < 50) AS n_thin,
          sum(len(regexp_extract_all(raw_text, '{X.VOWEL_MARKS}'))) AS marks,
          sum(len(regexp_extract_all(raw_text, '{X.CONSONANTS}'))) AS consonants,
          count_if(contains(raw_text, chr(63239))) AS unmapped, count_if(contains(raw_text, chr(61537))) AS symbols
-  FROM qa_pages GROUP BY 1),
+  FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY ordinal) AS place FROM qa_pages) GROUP BY 1),
 f AS (
   SELECT r.document_id, r.page_count - CASE WHEN r.document_id % 13 = 5 THEN 1 ELSE 0 END AS page_count,
          CASE WHEN r.document_id % 17 = 3 THEN [] ELSE r.scopes END AS scopes, m.*,
@@ -33,9 +33,8 @@ f AS (
 
 _CHECKS = {
     "page_numbers_not_sequential": (
-        "misnumbered = 0",
-        "'{\"pages\":' || n_pages || ',\"misnumbered\":' || misnumbered || "
-        "CASE WHEN first_bad IS NULL THEN '' ELSE ',\"first_misnumbered\":' || first_bad END || '}'",
+        "misnumbered IS NULL",
+        "'{\"pages\":' || n_pages || ',\"misnumbered\":[' || coalesce(array_to_string(misnumbered, ','), '') || ']}'",
         "NULL",
     ),
     "page_count_mismatch": ("n_pages = page_count", "CAST(n_pages AS VARCHAR)", "page_count"),

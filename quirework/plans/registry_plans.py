@@ -152,12 +152,15 @@ def clear_pending_chunks(spark, sf_dir):
 @query(
     "chunk_statistics",
     f"WITH {X.REGISTRY_CTE}, {X.CHUNKS_CTE}, n AS (SELECT document_id, count(*) AS n FROM chunks WHERE page_number > 1 GROUP BY 1) "
-    "SELECT document_id, CAST(n AS VARCHAR) AS chunk_count, CASE WHEN n IS NULL THEN embedding_model ELSE 'model-b' END AS embedding_model "
+    "SELECT document_id, CASE WHEN n_chars >= 500 THEN CAST(coalesce(n, 0) AS VARCHAR) END AS chunk_count, "
+    "CASE WHEN n_chars >= 500 THEN 'model-b' ELSE embedding_model END AS embedding_model "
     "FROM registry LEFT JOIN n USING (document_id)",
 )
 def chunk_statistics(spark, sf_dir):
+    """Documents of one page have no chunk here, whether they passed or not."""
     chunks = X.line_chunks(spark, sf_dir).filter("page_number > 1")
-    return G.chunk_statistics(X.registry(spark, sf_dir), chunks, "model-b").select(
+    documents = X.registry(spark, sf_dir)
+    return G.chunk_statistics(documents, documents.filter("n_chars >= 500"), chunks, "model-b").select(
         "document_id", F.col("chunk_count").cast("string").alias("chunk_count"), "embedding_model"
     )
 
@@ -225,7 +228,7 @@ settled AS (
 def settle(spark, sf_dir):
     documents = X.registry(spark, sf_dir)
     passed = documents.filter("n_chars >= 1000")
-    return S.promote(documents, X.line_chunks(spark, sf_dir), passed, F.lit("2026-01-01 00:00:00"), X.SCOPES)
+    return S.promote(documents, X.line_chunks(spark, sf_dir), passed, F.lit("2026-01-01 00:00:00"))
 
 
 @query(
@@ -234,13 +237,13 @@ def settle(spark, sf_dir):
     "SELECT scope, max(edition_year_be) AS newest_year FROM s GROUP BY 1",
 )
 def newest_edition_per_scope(spark, sf_dir):
-    return S.newest_edition_per_scope(X.registry(spark, sf_dir), X.SCOPES)
+    return S.newest_edition_per_scope(X.registry(spark, sf_dir))
 
 
 @query("coverage_archived", f"{_SETTLED} SELECT document_id FROM retired")
 def coverage_archived(spark, sf_dir):
     documents = X.registry(spark, sf_dir)
-    return S.superseded(S.activate(documents, documents.filter("n_chars >= 1000")), X.SCOPES)
+    return S.superseded(S.activate(documents, documents.filter("n_chars >= 1000")))
 
 
 @query(

@@ -1,20 +1,50 @@
-"""Sinks: chunk tables partitioned by document and versioned two-table publication."""
+"""Sinks: chunk tables in hash buckets of documents and versioned publication."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quirework.functions.common import materialize
+
 CURRENT = "CURRENT"
+BUCKETS = 64
+
 
+def write_chunks(chunks: DataFrame, replaced: DataFrame, path: str, buckets: int = BUCKETS) -> None:
+    """Replace the chunks of the ``replaced`` documents (document_id) by ``chunks``.
 
-def write_chunks(chunks: DataFrame, path: str) -> None:
-    """Replace the partitions of the documents present in ``chunks`` and no others."""
+    Documents share hash buckets, so the number of files follows the data and not the number
+    of documents. Only buckets with a replaced document are rewritten: what they hold of other
+    documents is kept. Every bucket carries a row without a document, so that one whose last
+    chunk is gone is overwritten, too; ``read_chunks`` leaves it out.
+    """
+    spark = chunks.sparkSession
+    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+    gone = replaced.select("document_id").union(chunks.select("document_id")).distinct()
+    touched = gone.select(bucket.alias("bucket")).distinct()
+    rows = chunks.withColumn("bucket", bucket)
+    try:
+        stored = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+    else:
+        held = stored.filter("document_id IS NOT NULL").join(touched, "bucket", "left_semi")
+        rows = rows.unionByName(held.join(gone, "document_id", "left_anti"))
+    marks = rows.limit(0).unionByName(touched, allowMissingColumns=True)
+    merged = materialize(rows.unionByName(marks), "chunk-buckets")
     (
-        chunks.write.mode("overwrite")
+        merged.repartition("bucket")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("document_id")
+        .partitionBy("bucket")
         .parquet(path)
     )
 
 
+def read_chunks(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).filter("document_id IS NOT NULL").drop("bucket")
+
+
 def publish(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame]) -> None:
     """Write all tables under a new version, then point readers at it.
 

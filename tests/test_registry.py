@@ -90,9 +90,31 @@ def test_table_reader_pads_and_renders(spark, tmp_path):
 
 def test_chunk_sink_replaces_only_its_documents(spark, tmp_path):
     path = str(tmp_path / "chunks")
-    sinks.write_chunks(spark.createDataFrame([("a", "1"), ("b", "2")], "document_id string, content string"), path)
-    sinks.write_chunks(spark.createDataFrame([("b", "3")], "document_id string, content string"), path)
-    assert {tuple(r) for r in spark.read.parquet(path).select("document_id", "content").collect()} == {("a", "1"), ("b", "3")}
+    kind = "document_id string, content string"
+
+    def write(rows, replaced):
+        ids = spark.createDataFrame([(d,) for d in replaced], "document_id string")
+        sinks.write_chunks(spark.createDataFrame(rows, kind), ids, path, buckets=3)
+        return {tuple(r) for r in sinks.read_chunks(spark, path).select("document_id", "content").collect()}
+
+    first = {(d, d * 2) for d in "abcdefgh"}
+    assert write(sorted(first), []) == first
+    assert write([("b", "3")], ["b"]) == first - {("b", "bb")} | {("b", "3")}
+    assert write([], "abcdefgh") == set()  # re-ingested documents without any chunk
+
+
+def test_statistics_of_passed_documents_without_chunks(spark):
+    kind = "document_id string, chunk_count bigint, embedding_model string"
+    docs = spark.createDataFrame([("a", None, None), ("b", 7, "old"), ("c", None, None)], kind)
+    passed = spark.createDataFrame([("a",), ("b",)], "document_id string")
+    chunks = spark.createDataFrame([("b",), ("b",)], "document_id string")
+    rows = G.chunk_statistics(docs, passed, chunks, "m").collect()
+    assert sorted(map(tuple, rows)) == [("a", 0, "m"), ("b", 2, "m"), ("c", None, None)]
+
+
+def test_any_scope_can_be_superseded(spark):
+    status, _ = settled(spark, [("old", 2565, ["other"], "active"), ("new", 2568, ["other"], "active")])
+    assert status == {"old": "archived", "new": "active"}
 
 
 def test_versions_switch_last(spark, tmp_path):
@@ -144,6 +166,12 @@ def test_ingest_lifecycle(spark):
     assert states == {"a": ("active", 1), "b": ("pending", None)} and held == {"a"}
     assert S.check_corpus(registry, chunks, 8).isEmpty()
 
+    # a pending hash comes back under another id and keeps the stored one
+    meta, *rest = corpus(spark, ("x", "still none", 2566, [I_], 1))
+    meta = meta.withColumn("file_hash", F.lit("hash-b"))
+    again_pending, _, _ = ingestion.ingest(meta, *rest, registry, chunks, V.hashing_embedder(8), 8, "m", AT)
+    assert {r["document_id"] for r in again_pending.collect()} == {"a", "b"}
+
     fixed, again, newer = ("b", THAI, 2566, [I_], 1), ("a", "changed", 2565, [F_], 1), ("c", THAI, 2568, [F_], 1)
     registry, chunks, states, held = run_ingest(spark, registry, chunks, fixed, again, newer)
     assert states == {"a": ("archived", 1), "b": ("active", 1), "c": ("active", 1)} and held == {"b", "c"}
