@@ -7,7 +7,8 @@ Coordinates are grouped into ``bands`` keys of ``rows``; two sets that agree in
 With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1.2e-7.
 
 1. Documents with equal sets form a class with its smallest id; only classes go on.
-2. Per band key the smallest id leads; each member is paired with its leaders. A sketch of one byte per
+2. Per band key the smallest id leads; each member is paired with two of its leaders, the smallest and
+   that of its largest key, so this step has at most two rows per class. A sketch of one byte per
    coordinate drops pairs far below the threshold (similarity 0.8 falls under 0.65 with less than 1e-7).
    The rest are confirmed on the full sets; the confirmed links give first components.
 3. Band keys that still hold two components are searched for further pairs across components only, the
@@ -368,9 +369,13 @@ def near_dedup(
         "classes",
     )
     keyed = classes.select(F.explode("bands").alias("key"), "rep")
-    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    leaders = keyed.groupBy("key").agg(F.min("rep").alias("leader"), F.count("*").alias("n")).where("n > 1")
     members = materialize(keyed.join(leaders, "key"), "members")
-    starred = materialize(promising(members.where("rep <> leader").select(F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), classes, least), "pairs")
+    chosen = members.where("rep <> leader").groupBy(F.col("rep").alias("a")).agg(
+        F.min("leader").alias("first"), F.max_by("leader", F.struct("n", "leader")).alias("popular")
+    )
+    stars = chosen.select("a", F.explode(F.array_distinct(F.array("first", "popular"))).alias("b"))
+    starred = materialize(promising(stars, classes, least), "pairs")
     labels = components(confirm(starred, texts, shingle, percent))
     edges = materialize(neighbourhoods(members, classes, labels, least, tile), "neighbourhoods")
     if not edges.isEmpty():
