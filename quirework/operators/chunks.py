@@ -151,11 +151,13 @@ def chunk_documents(
 
 
 def embed_chunks(chunks: DataFrame, embedder, dimension: int) -> DataFrame:
-    """Add ``embedding`` from the token array; a vector of another length fails the job."""
+    """Add ``tokens``, which searches read, and the ``embedding`` made from them; a vector of
+    another length fails the job."""
     vector = F.col("embedding")
     wrong = vector.isNull() | (F.size(vector) != dimension)
     return (
-        chunks.withColumn("embedding", embedder(T.tokenize(F.col("content"))))
+        chunks.withColumn("tokens", T.tokenize(F.col("content")))
+        .withColumn("embedding", embedder(F.col("tokens")))
         .withColumn(
             "embedding",
             F.when(

@@ -51,21 +51,29 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _keep_best(found: pa.Table, k: int) -> pa.Table:
+    """The best k rows of every question (column ``q``), ties by chunk id."""
+    found = found.sort_by([("q", "ascending"), ("score", "descending"), ("chunk_id", "ascending")])
+    q = found.column("q").to_numpy()
+    return found.filter(pa.array(np.arange(len(q)) - np.searchsorted(q, q) < k))
+
+
 def dense_topk(
-    questions: DataFrame, chunks: DataFrame, k: int, digits: int = 6
+    questions: DataFrame, chunks: DataFrame, k: int, digits: int = 6, query_block: int = QUERY_BLOCK, chunk_block: int = CHUNK_BLOCK
 ) -> DataFrame:
     """(question_id, chunk_id, score, rank) by cosine similarity rounded to ``digits``.
 
     Question vectors within the broadcast bound are shipped once and the chunk table is
-    only scanned: each Arrow batch yields its own top k and a small shuffle merges them.
-    Larger question sets take the blocked path of ``_blocked``; both are exact.
+    only scanned: a task keeps a running top k per question and yields it once, at its end,
+    and a small shuffle merges the tasks. Larger question sets take the blocked path of
+    ``_blocked``; both are exact.
     """
     asked = questions.select("question_id", "embedding").filter(F.col("embedding").isNotNull())
     stored = chunks.select("chunk_id", "embedding").filter(F.col("embedding").isNotNull())
     types = dict(asked.dtypes) | dict(stored.dtypes)
     schema = f"question_id {types['question_id']}, chunk_id {types['chunk_id']}, score double"
-    if not fits_broadcast(asked, max_rows=QUERY_BLOCK):
-        return top_k(_blocked(asked, stored, k, digits, schema), k)
+    if not fits_broadcast(asked, max_rows=query_block):
+        return top_k(_blocked(asked, stored, k, digits, schema, query_block, chunk_block), k)
 
     table = asked.toArrow()
     if table.num_rows == 0:
@@ -76,17 +84,24 @@ def dense_topk(
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, vectors = shared.value
+        held = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             order = pc.sort_indices(batch.column("chunk_id"))
             chunk_ids = batch.column("chunk_id").take(order)
             stored_vectors = _unit(_matrix(batch.column("embedding").take(order)))
-            for q, c, values in _best(vectors, stored_vectors, k, digits):
-                yield pa.RecordBatch.from_arrays(
-                    [ids.take(pa.array(q)), chunk_ids.take(pa.array(c)), pa.array(values)],
-                    names=["question_id", "chunk_id", "score"],
-                )
+            found = [
+                pa.table({"q": pa.array(q), "chunk_id": chunk_ids.take(pa.array(c)), "score": pa.array(values)})
+                for q, c, values in _best(vectors, stored_vectors, k, digits)
+            ]
+            held = pa.concat_tables(found if held is None else [held, *found])
+            if held.num_rows > 4 * k * len(vectors):
+                held = _keep_best(held, k)
+        if held is not None:
+            best = _keep_best(held, k).combine_chunks()
+            asked_ids = ids.take(best.column("q").combine_chunks())
+            yield from pa.table([asked_ids, best.column("chunk_id"), best.column("score")], ["question_id", "chunk_id", "score"]).to_batches()
 
     return top_k(stored.mapInArrow(score, schema), k)
 
@@ -95,10 +110,12 @@ def _blocks(n: int) -> Column:
     return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
 
 
-def _blocked(asked: DataFrame, stored: DataFrame, k: int, digits: int, schema: str) -> DataFrame:
+def _blocked(
+    asked: DataFrame, stored: DataFrame, k: int, digits: int, schema: str, query_block: int, chunk_block: int
+) -> DataFrame:
     """Both sides hashed into blocks of bounded size; one product per pair of blocks."""
-    n_q = math.ceil(asked.count() / QUERY_BLOCK)
-    n_c = max(1, math.ceil(stored.count() / CHUNK_BLOCK))
+    n_q = math.ceil(asked.count() / query_block)
+    n_c = max(1, math.ceil(stored.count() / chunk_block))
     q_side = asked.withColumn("q_block", F.pmod(F.xxhash64("question_id"), F.lit(n_q))).withColumn(
         "c_block", F.explode(_blocks(n_c))
     )

@@ -5,7 +5,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType
 
 from quirework.functions import text as T
-from quirework.functions.common import fits_broadcast
+from quirework.functions.common import broadcast_within_bound, fits_broadcast, materialize
 
 # Fixed value: weight of a token without a label in the cover-density rank.
 COVER_WEIGHT = 0.1
@@ -23,32 +23,52 @@ def postings(chunks: DataFrame) -> DataFrame:
     )
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """(question_id, terms, anchor): distinct tokens and the longest one, blank questions dropped."""
+def tokens_of(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, tokens): the stored tokens where the chunk table has them."""
+    tokens = F.col("tokens") if "tokens" in chunks.columns else T.tokenize(F.col("content"))
+    return chunks.select("chunk_id", tokens.alias("tokens"))
+
+
+def question_terms(questions: DataFrame, tokenized: DataFrame) -> DataFrame:
+    """(question_id, terms, anchor): distinct tokens and the one in the fewest chunks.
+
+    Frequencies are counted for the questions' own vocabulary only, partially in each task.
+    Blank questions, and those with a term that no chunk has, are dropped.
+    """
     terms = F.array_distinct(T.tokenize(T.normalize_query(F.col("question"))))
-    longest = F.element_at(
-        F.array_sort(F.transform(F.col("terms"), lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))),
-        1,
-    )["t"]
-    return (
-        questions.select("question_id", terms.alias("terms"))
-        .filter(F.size("terms") > 0)
-        .withColumn("anchor", longest)
+    asked = questions.select("question_id", terms.alias("terms")).filter(F.size("terms") > 0)
+    words = asked.select("question_id", F.explode("terms").alias("term"))
+    vocabulary = broadcast_within_bound(words.select("term").distinct())
+    frequency = (
+        tokenized.select(F.explode(F.array_distinct("tokens")).alias("term"))
+        .join(vocabulary, "term")
+        .groupBy("term")
+        .agg(F.count("*").alias("n"))
+    )
+    rarest = (
+        words.join(frequency, "term", "left")
+        .groupBy("question_id")
+        .agg(
+            F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("term")).alias("l"), F.col("term").alias("anchor"))).alias("rarest")
+        )
+        .filter("rarest.n > 0")
+        .select("question_id", "rarest.anchor")
     )
+    return asked.join(rarest, "question_id")
 
 
 def lexical_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     """(question_id, chunk_id, terms, tokens) of chunks that hold every term of a question.
 
-    Each question is looked up by one anchor term only and the other terms are verified on
+    Each question is looked up by its rarest term only and the other terms are verified on
     the chunk's own token array, so a frequent word is compared in place and never sent
     over the network. With a question set within the broadcast bound no shuffle happens;
     beyond it candidates are found by a shuffle join on the anchor and verified after
     joining the chunk back.
     """
-    terms = question_terms(questions)
+    tokenized = tokens_of(chunks)
+    terms = materialize(question_terms(questions, tokenized), "terms")
     holds_all = F.size(F.array_intersect("terms", "tokens")) == F.size("terms")
-    tokenized = chunks.select("chunk_id", T.tokenize(F.col("content")).alias("tokens"))
     if fits_broadcast(terms):
         probe = tokenized.select(
             "chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("anchor")

@@ -83,11 +83,11 @@ dense AS (
   FROM pairs QUALIFY rank <= {_K})"""
 
 
-def vector_neighbours(spark, sf_dir):
+def vector_neighbours(spark, sf_dir, **bounds):
     vectors = X.load(spark, sf_dir, "embeddings")
     asked = vectors.select(F.col("vec_id").alias("question_id"), "embedding")
     stored = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
-    return D.dense_topk(asked, stored, _K)
+    return D.dense_topk(asked, stored, _K, **bounds)
 
 
 @query("dense_topk", f"WITH {_DENSE} SELECT question_id, chunk_id, score, rank FROM dense")
@@ -95,6 +95,12 @@ def dense_topk(spark, sf_dir):
     return vector_neighbours(spark, sf_dir)
 
 
+@query("dense_topk_blocks", f"WITH {_DENSE} SELECT question_id, chunk_id, score, rank FROM dense")
+def dense_topk_blocks(spark, sf_dir):
+    """The path of question sets beyond the broadcast bound, with small blocks."""
+    return vector_neighbours(spark, sf_dir, query_block=100, chunk_block=150)
+
+
 @query(
     "rrf_fuse",
     f"WITH {_DENSE}, other AS (SELECT question_id, chunk_id, CAST(row_number() OVER ("

@@ -21,7 +21,7 @@ DOCUMENTS = (
 )
 CHUNKS = (
     "chunk_id string, document_id string, page_number int, kind_rank int, position int, part int, "
-    "section string, kind string, content string, content_sha256 string, embedding array<float>"
+    "section string, kind string, content string, content_sha256 string, tokens array<string>, embedding array<float>"
 )
 QUESTIONS = (
     "id string, question string, answerable boolean, expect_contains string, expect_section string"

@@ -2,6 +2,7 @@
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -13,13 +14,12 @@ def mark_quota_stream(
     events: DataFrame,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
-    lateness: str = "1 hour",
 ) -> DataFrame:
     """The streaming form of ``mark_quota`` over (key, ts, event_id) rows.
 
-    State is (window start, requests counted) and is dropped once the watermark passes the
-    window's end. Rows of a micro-batch are taken in time order; a row older than the
-    watermark is dropped, one that arrives a batch late joins the window open then.
+    State is (window start, requests counted), two numbers per key, kept for good. Every
+    request gets a row, however late it comes: rows of a micro-batch are taken in time order,
+    and one that is older than the window open then counts there.
     """
     window = window_seconds * 1_000_000
     key_type = dict(events.dtypes)["key"]
@@ -30,39 +30,35 @@ def mark_quota_stream(
     def mark(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
         opened, used = state.get if state.exists else (None, 0)
-        allowed, wait = [], []
-        for t in rows["t"]:
-            if opened is None or t - opened >= window:
-                opened, used = int(t), 0
-            granted = used < limit
-            used += granted
-            allowed.append(granted)
-            wait.append(0 if granted else window - (t - opened))
+        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
+        t = rows["t"].to_numpy()
+        opens, turn, at = np.empty(len(t), np.int64), np.empty(len(t), np.int64), 0
+        while at < len(t):  # one step per window, not per request
+            if opened is None or t[at] - opened >= window:
+                opened, used = int(t[at]), 0
+            stop = int(np.searchsorted(t, opened + window))
+            opens[at:stop] = opened
+            turn[at:stop] = used + np.arange(1, stop - at + 1)
+            used, at = min(limit, used + stop - at), stop
         state.update((opened, used))
-        ends_ms = (opened + window) // 1000 + 1
-        state.setTimeoutTimestamp(max(ends_ms, state.getCurrentWatermarkMs() + 1))
+        allowed = turn <= limit
         yield pd.DataFrame(
             {
                 "key": key[0],
                 "event_id": rows["event_id"].to_numpy(),
                 "ts": rows["ts"].to_numpy(),
                 "allowed": allowed,
-                "wait_micros": wait,
+                "wait_micros": np.where(allowed, 0, window - (t - opens)),
             }
         )
 
     timed = (
         events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
         .withColumn("t", F.unix_micros("ts"))
-        .withWatermark("ts", lateness)
     )
     marked = timed.groupBy("key").applyInPandasWithState(
-        mark, out_schema, "opened bigint, used int", "append", GroupStateTimeout.EventTimeTimeout
+        mark, out_schema, "opened bigint, used int", "append", GroupStateTimeout.NoTimeout
     )
     retry_after = F.when(~F.col("allowed"), F.col("wait_micros") / 1e6)
     return marked.withColumn("retry_after", retry_after).drop("wait_micros")

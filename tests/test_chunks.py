@@ -97,12 +97,12 @@ def tables_of(spark, rows):
 
 
 THREE = [
-    (4, 10, 20, "มันสำปะหลัง (Cassava)\nหมายเหตุ"),
-    (4, 200, 220, "ถั่วเขียว (Mung beans)"),
-    (4, 400, 420, "ถั่วเหลือง (Soybean)"),
-    (7, 40, 60, "หน้า 7"),
-    (7, 500, 520, "ตารางที่ 3 (ต่อ)"),
-    (6, 40, 60, "ทุเรียน (Durian)"),
+    (4, 10, 20, "กล้วย (Banana)\nเพิ่มเติม"),
+    (4, 200, 220, "ขิง (Ginger)"),
+    (4, 400, 420, "งา (Sesame)"),
+    (7, 40, 60, "แผ่น 7"),
+    (7, 500, 520, "รายการ 9 (ต่อ)"),
+    (6, 40, 60, "มะม่วง (Mango)"),
 ]
 
 
@@ -111,9 +111,9 @@ def test_each_table_takes_the_heading_above_it(spark):
     found = L.section_for_tables(tables, blocks_of(spark, THREE)).collect()
     assert {r["markdown"]: r["section"] for r in found} == {
         "t0": None,
-        "t1": "มันสำปะหลัง (Cassava)",
-        "t2": "ถั่วเขียว (Mung beans)",
-        "t3": "ถั่วเหลือง (Soybean)",
+        "t1": "กล้วย (Banana)",
+        "t2": "ขิง (Ginger)",
+        "t3": "งา (Sesame)",
         "t7": None,
     }
 
@@ -130,9 +130,9 @@ def test_chunk_documents(spark):
     pages = spark.createDataFrame([], "document_id string, page_number int, raw_text string")
     rows = C.chunk_documents(blocks, tables, P.running_lines(pages)).orderBy("page_number", "kind_rank", "position").collect()
     assert [(r["page_number"], r["kind"], r["content"], r["section"]) for r in rows] == [
-        (4, "prose", "มันสำปะหลัง (Cassava)\nหมายเหตุ\nถั่วเขียว (Mung beans)\nถั่วเหลือง (Soybean)", None),
-        (4, "table", "|a|\n|---|", "ถั่วเขียว (Mung beans)"),
-        (4, "table", "|b|\n|---|", "ถั่วเหลือง (Soybean)"),
+        (4, "prose", "กล้วย (Banana)\nเพิ่มเติม\nขิง (Ginger)\nงา (Sesame)", None),
+        (4, "table", "|a|\n|---|", "ขิง (Ginger)"),
+        (4, "table", "|b|\n|---|", "งา (Sesame)"),
         (5, "prose", "page text", None),
     ]
     for r in rows:

@@ -65,7 +65,7 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run = (
-        mark_quota_stream(stream, 3, 60, "1 minute")
+        mark_quota_stream(stream, 3, 60)
         .writeStream.format("parquet")
         .option("path", str(tmp_path / "out"))
         .option("checkpointLocation", str(tmp_path / "cp"))
@@ -74,3 +74,25 @@ def test_stream_over_many_batches_equals_batch(spark, tmp_path):
     )
     run.awaitTermination()
     assert marks(spark.read.parquet(str(tmp_path / "out"))) == expected(rows, 3, 60)
+
+
+def test_stream_answers_late_requests(spark, tmp_path):
+    """Files in reverse order of time: every request still gets a row, and no window grants more than the limit."""
+    rows = [("a", s) for s in range(0, 1200, 5)]
+    events = log(spark, rows)
+    for batch in (2, 0, 1):
+        part = events.filter((F.col("event_id") >= batch * 80) & (F.col("event_id") < batch * 80 + 80))
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    run = (
+        mark_quota_stream(stream, 3, 60)
+        .writeStream.format("parquet")
+        .option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "cp"))
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    out = spark.read.parquet(str(tmp_path / "out"))
+    assert out.count() == 240 and out.select("event_id").distinct().count() == 240
+    assert 0 < out.filter("allowed").count() <= 3 * 20

@@ -126,7 +126,7 @@ def test_versions_switch_last(spark, tmp_path):
     assert sinks.read_current(spark, root, "t").count() == 2
 
 
-THAI = "สวัสดี คุณชื่ออะไร เราชื่อบยัปป์"
+THAI = "ฝนตกหนักที่เชียงใหม่ พรุ่งนี้น่าจะหยุด"
 
 
 def corpus(spark, *volumes):
@@ -159,7 +159,7 @@ def test_ingest_lifecycle(spark):
     registry = spark.createDataFrame([], schemas.DOCUMENTS)
     chunks = spark.createDataFrame([], schemas.CHUNKS).select(
         "chunk_id", "document_id", "page_number", "kind_rank", "position", "part", "section", "kind", "content",
-        "content_sha256", "embedding",
+        "content_sha256", "tokens", "embedding",
     )
     good, broken = ("a", THAI, 2565, [F_], 1), ("b", "no thai here", 2566, [I_], 1)
     registry, chunks, states, held = run_ingest(spark, registry, chunks, good, broken)
