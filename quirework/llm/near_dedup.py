@@ -234,24 +234,25 @@ class Forest:
 def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     """``rep, component``: smallest id reachable over ``links`` (a, b), for every id in a link or in ``labels``.
 
-    Each round takes the smallest label among the neighbours and then follows the labels once.
+    Each round points every node at the first of itself and its neighbours and draws together what points
+    to one node, so links between joined nodes vanish. The order is that of the ids at first, which suits
+    leaders, and then another hash in each round, so that long chains shrink by a constant share.
     """
     if labels is not None:  # links between components so far
         one, two = (labels.select(F.col("rep").alias(x), F.col("component").alias(f"c{x}")) for x in "ab")
-        links = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")).where("a <> b")
-    both = materialize(links.union(links.select("b", "a")).distinct(), "links")
-    state = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("component")).withColumnRenamed("a", "rep"), "components")
-    while True:
-        near = both.join(state.withColumnRenamed("rep", "b"), "b").groupBy("a").agg(F.min("component").alias("other"))
-        lower = state.join(near, state["rep"] == near["a"]).select("rep", F.least("component", "other").alias("component"))
-        jump = lower.select(F.col("rep").alias("component"), F.col("component").alias("further"))
-        before = state.select("rep", F.col("component").alias("before"))
-        after = materialize(
-            lower.join(jump, "component", "left").select("rep", F.coalesce("further", "component").alias("component")).join(before, "rep"), "components"
-        )
-        state = after.select("rep", "component")
-        if after.where("component <> before").isEmpty():
-            break
+        links = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    links = distinct_links(links)
+    nodes = materialize(links.select(F.col("a").alias("rep")).union(links.select("b")).distinct().withColumn("component", F.col("rep")), "components")
+    turn = 0
+    while not links.isEmpty():
+        place = lambda node: F.struct((F.xxhash64(node, F.lit(turn)) if turn > 1 else F.col(node)).alias("order"), F.col(node).alias("node"))  # noqa: E731, B023
+        both = links.union(links.select("b", "a"))
+        to = materialize(both.groupBy("a").agg(F.least(place("a"), F.min(place("b")))["node"].alias("to")), "pointers")
+        nodes = nodes.join(to.withColumnRenamed("a", "component"), "component", "left").select("rep", F.coalesce("to", "component").alias("component"))
+        drawn = links.join(to.withColumnRenamed("to", "x"), "a").join(to.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
+        links, turn = distinct_links(drawn.select(F.col("x").alias("a"), F.col("y").alias("b"))), turn + 1
+    named = nodes.groupBy("component").agg(F.min("rep").alias("least"))
+    state = materialize(nodes.join(named, "component").select("rep", F.col("least").alias("component")), "components")
     if labels is None:
         return state
     moved = state.select(F.col("rep").alias("component"), F.col("component").alias("further"))
@@ -259,6 +260,11 @@ def components(links: DataFrame, labels: DataFrame | None = None) -> DataFrame:
     return materialize(old.union(state.join(labels, "rep", "left_anti")), "components")
 
 
+def distinct_links(links: DataFrame) -> DataFrame:
+    ends = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return materialize(ends.distinct(), "links")
+
+
 def neighbourhoods(members: DataFrame, classes: DataFrame, labels: DataFrame, least: float, tile: int) -> DataFrame:
     """Edges ``a, b`` that connect all documents with a promising pair across components under a band key."""
 
