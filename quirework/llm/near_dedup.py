@@ -12,10 +12,12 @@ With 40 bands of 5 a pair at similarity 0.8 is missed with probability 1.2e-7.
    coordinate drops pairs far below the threshold (similarity 0.8 falls under 0.65 with less than 1e-7).
    The rest are confirmed on the full sets; the confirmed links give first components.
 3. Band keys that still hold two components are searched for further pairs across components only, the
-   members outside the leader's component against all, in tiles of bounded size. Promising pairs are not
-   listed: a tile gives a forest that joins the members of such pairs, at most one edge per member. The
-   trees of all tiles form neighbourhoods, and every neighbourhood compares its full sets, again across
-   components and in tiles, giving at most one link per component joined. Pairs inside one component
+   members outside the largest component against all, in cells of two tiles at most. A key with more such
+   members than a tile holds gives way to the rarest shingles that its documents share, by which no pair at
+   the threshold is lost, while texts just under it mostly have none in common. Promising pairs are not
+   listed: a cell gives a forest that joins the members of such pairs, at most one edge per member. The
+   trees of all cells form neighbourhoods, and every neighbourhood compares its full sets, again across
+   components and in cells, giving at most one link per component joined. Pairs inside one component
    need no test: no link that matters is lost, and neither a group of thousands of near copies nor one
    of thousands of texts just under the threshold costs a row per pair.
 
@@ -30,13 +32,14 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from quirework.functions.common import materialize
 from quirework.llm.text_bytes import BASES, LOWERED, NOT_SPACE, Rolling, bounded, mix, release_memory, utf8, word_spans
 
 PART = 1 << 14  # shingles handled at a time, so that work stays in the processor's cache
 SET_BYTES = 6
+SIZE_CLASSES = 64  # classes of set sizes per factor e
 
 
 def shingle_sets(column: pa.Array, width: int, rolling: Rolling) -> tuple[np.ndarray, np.ndarray]:
@@ -265,30 +268,95 @@ def distinct_links(links: DataFrame) -> DataFrame:
     return materialize(ends.distinct(), "links")
 
 
-def neighbourhoods(members: DataFrame, classes: DataFrame, labels: DataFrame, least: float, tile: int) -> DataFrame:
-    """Edges ``a, b`` that connect all documents with a promising pair across components under a band key."""
+def neighbourhoods(groups: DataFrame, classes: DataFrame, least: float, percent: int, tile: int) -> DataFrame:
+    """Edges ``a, b`` that connect all documents with a promising pair across components in a group of ``groups``."""
 
     def work(key: tuple, table: pa.Table) -> pa.Table:
-        ids, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
-        sketches, minor = stacked(table.column("sketch")), table.column("minor").to_numpy(zero_copy_only=False)
+        ids, comps, sizes, left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n_shingles", "left", "right"))
+        sketches, rights = stacked(table.column("sketch")), np.flatnonzero(right)
         forest = Forest(np.arange(len(ids)))
-        for i in np.flatnonzero(minor):
-            other = np.flatnonzero(comps != comps[i])
+        for i in np.flatnonzero(left):
+            fits = 100 * np.minimum(sizes[rights], sizes[i]) >= percent * np.maximum(sizes[rights], sizes[i])
+            other = rights[fits & (comps[rights] != comps[i]) & (forest.roots[rights] != forest.roots[i])]
             forest.join(i, other[agreement(sketches[other], sketches[i]) >= least])
         return forest.pairs(ids)
 
-    placed = members.join(labels, "rep", "left").select("key", "rep", "leader", F.coalesce("component", "rep").alias("component"))
-    heads = placed.where("rep = leader").select("key", F.col("component").alias("head"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    rows = (
-        placed.join(mixed.join(heads, "key").select("key", "head", tiles.alias("tiles")), "key")
-        .withColumn("minor", F.col("component") != F.col("head"))
-        .join(classes.select("rep", "sketch"), "rep")
-    )
-    own = F.array(tile_of("rep", "tiles"))
-    rows = rows.withColumn("tile", F.explode(F.when(F.col("minor"), numbers("tiles")).otherwise(own)))
-    return rows.select("key", "tile", "rep", "component", "minor", "sketch").groupBy("key", "tile").applyInArrow(work, "a long, b long").distinct()
+    rows = cells(groups, group_plan(groups, "key"), "key", tile).join(classes.select("rep", "sketch", "n_shingles"), "rep")
+    return rows.groupBy("key", "row", "column").applyInArrow(work, "a long, b long").distinct()
+
+
+def mixed_groups(members: DataFrame, labels: DataFrame, docs: DataFrame, shingle: int, percent: int, tile: int) -> DataFrame:
+    """``key, rep, component, part``: groups of documents in which to look for pairs across components and parts.
+
+    These are the band keys that hold two components. A key with more than a tile of documents outside its
+    largest component is replaced by the shingles that its documents share among their rarest ones.
+    """
+    placed = members.join(labels, "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    held = materialize(placed.join(mixed, "key").withColumn("part", F.col("component")), "mixed")
+    crowded = materialize(group_plan(held, "key").where(F.col("minor") > tile).select("key"), "crowded")
+    if crowded.isEmpty():
+        return held
+    reps = materialize(held.join(crowded, "key", "left_semi").select("rep", "component").distinct(), "crowd")
+    rare = prefix_keys(full_sets(reps.select("rep"), docs, shingle), percent).join(reps, "rep").select("key", "rep", "component", F.coalesce("part", "component").alias("part"))
+    return materialize(held.join(crowded, "key", "left_anti").union(rare), "mixed")
+
+
+def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
+    """``key, rep, part``: two sets that are similar enough share a key, in parts that differ or are null.
+
+    Shingles are ordered from the rarest among these sets. With a shingles against b and s of them shared, the
+    first a - s + 1 of one set and the first b - s + 1 of the other have one in common; s follows from the
+    sizes, so a key is a shingle with a pair of size classes, and its parts are these classes. A shingle that one set alone holds takes its
+    place in the order but gives no key.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                members = unpacked(raw).astype(np.int64)
+                for at in range(0, len(members), PART):
+                    part = members[at : at + PART]
+                    columns = [np.full(len(part), rep), np.full(len(part), len(members)), part]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["rep", "size", "shingle"])
+
+    single = sets.mapInArrow(work, "rep long, size long, shingle long")
+    shared = single.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    common = single.join(shared, "shingle")
+    order, whole = Window.partitionBy("rep").orderBy("n", "shingle"), Window.partitionBy("rep")
+    place = F.col("size") - F.count("*").over(whole) + F.row_number().over(order)  # from 1, after the set's own shingles
+    size_class = lambda size: F.floor(F.log(size) * SIZE_CLASSES).cast("int")
+    size, least = F.col("size"), F.ceil(F.col("size") * percent / 100)
+    classes = F.sequence(size_class(size * percent / 100), size_class(size * 100 / percent))
+    partner = F.greatest(least, F.ceil(F.exp(F.col("other") / SIZE_CLASSES) - 1e-6))
+    prefix = lambda partner: size - F.ceil((size + partner) * percent / (100 + percent)) + 1
+    near = common.select("rep", "shingle", "size", place.alias("place")).where(F.col("place") <= prefix(least))
+    spread = near.withColumn("own", size_class(size)).withColumn("other", F.explode(classes)).where(F.col("place") <= prefix(partner))
+    part = F.when(F.col("own") != F.col("other"), F.col("own").cast("long")).alias("part")
+    return spread.select(F.xxhash64("shingle", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "rep", part)
+
+
+def group_plan(placed: DataFrame, group: str) -> DataFrame:
+    """Per group of at least two parts its largest part (``head``), its size and the number outside the largest."""
+    sums = placed.groupBy(group, "part").agg(F.count("*").alias("n")).groupBy(group)
+    head = F.max_by("part", F.struct("n", "part")).alias("head")
+    return sums.agg(head, F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor")).where("minor > 0")
+
+
+def cells(placed: DataFrame, plan: DataFrame, group: str, tile: int) -> DataFrame:
+    """``group, row, column, rep, component, left, right``: what is outside the largest part against all.
+
+    Both sides are dealt into tiles of about ``tile`` documents, so that a cell has about two tiles at most.
+    """
+    counts = plan.select(group, "head", F.ceil(F.col("minor") / tile).cast("int").alias("rows"), F.ceil(F.col("n") / tile).cast("int").alias("columns"))
+    dealt = placed.join(counts, group).withColumn("x", F.when(F.col("part") != F.col("head"), tile_of("rep", "rows"))).withColumn("y", tile_of("rep", "columns"))
+    # a document stands in its column of every row, and one outside the largest part in every column of its row
+    columns = F.transform(numbers("rows"), lambda x: F.struct(x.alias("row"), F.col("y").alias("column")))
+    rows = F.when(F.col("x").isNotNull(), F.transform(numbers("columns"), lambda y: F.struct(F.col("x").alias("row"), y.alias("column"))))
+    spread = dealt.withColumn("cell", F.explode(F.array_distinct(F.concat(columns, F.coalesce(rows, F.slice(columns, 1, 0))))))
+    row, column = F.col("cell.row"), F.col("cell.column")
+    left, right = F.coalesce(F.col("x") == row, F.lit(False)), F.col("y") == column
+    return spread.select(group, row.alias("row"), column.alias("column"), "rep", "component", left.alias("left"), right.alias("right"))
 
 
 def tile_of(column: str, tiles: str):
@@ -326,31 +394,10 @@ def cross_links(edges: DataFrame, labels: DataFrame, docs: DataFrame, shingle: i
 
     areas = components(edges).withColumnRenamed("component", "area")
     placed = areas.join(labels, "rep", "left").select("area", "rep", F.coalesce("component", "rep").alias("component"))
-    largest = placed.groupBy("area", "component").agg(F.count("*").alias("n")).groupBy("area")
-    plan = largest.agg(F.max_by("component", F.struct("n", "component")).alias("head"), F.sum("n").alias("n"), (F.sum("n") - F.max("n")).alias("minor"))
-    plan = plan.select("area", "head", F.ceil(F.col("minor") / tile).cast("int").alias("rows"), F.ceil(F.col("n") / tile).cast("int").alias("columns"))
+    placed = placed.withColumn("part", F.col("component"))
     sets = full_sets(areas.select("rep"), docs, shingle)
-    placed = placed.join(plan, "area").withColumn("x", F.when(F.col("component") != F.col("head"), tile_of("rep", "rows"))).withColumn("y", tile_of("rep", "columns"))
-    # a document stands in its column of every row, and one outside the largest component in every column of its row
-    columns = F.transform(numbers("rows"), lambda x: F.struct(x.alias("row"), F.col("y").alias("column")))
-    rows = F.when(F.col("x").isNotNull(), F.transform(numbers("columns"), lambda y: F.struct(F.col("x").alias("row"), y.alias("column"))))
-    cells = F.explode(F.array_distinct(F.concat(columns, F.coalesce(rows, F.slice(columns, 1, 0)))))
-    spread = placed.select("area", "rep", "component", "x", "y", cells.alias("cell")).join(sets, "rep")
-    return (
-        spread.select(
-            "area",
-            F.col("cell.row").alias("row"),
-            F.col("cell.column").alias("column"),
-            "rep",
-            "component",
-            F.coalesce(F.col("x") == F.col("cell.row"), F.lit(False)).alias("left"),
-            (F.col("y") == F.col("cell.column")).alias("right"),
-            "members",
-        )
-        .groupBy("area", "row", "column")
-        .applyInArrow(work, "a long, b long")
-        .distinct()
-    )
+    rows = cells(placed, group_plan(placed, "area"), "area", tile).join(sets, "rep")
+    return rows.groupBy("area", "row", "column").applyInArrow(work, "a long, b long").distinct()
 
 
 def near_dedup(
@@ -371,7 +418,7 @@ def near_dedup(
     classes = materialize(
         described.where("n_shingles > 0 AND doc_id IS NOT NULL")
         .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")),
+        .agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")),
         "classes",
     )
     keyed = classes.select(F.explode("bands").alias("key"), "rep")
@@ -383,7 +430,8 @@ def near_dedup(
     stars = chosen.select("a", F.explode(F.array_distinct(F.array("first", "popular"))).alias("b"))
     starred = materialize(promising(stars, classes, least), "pairs")
     labels = components(confirm(starred, texts, shingle, percent))
-    edges = materialize(neighbourhoods(members, classes, labels, least, tile), "neighbourhoods")
+    groups = mixed_groups(members, labels, texts, shingle, percent, tile)
+    edges = materialize(neighbourhoods(groups, classes, least, percent, tile), "neighbourhoods")
     if not edges.isEmpty():
         labels = components(cross_links(edges, labels, texts, shingle, percent, max(1, tile // 4)), labels)
     named = classes.select("set_id", "rep").join(labels, "rep", "left").select("set_id", F.coalesce("component", "rep").alias("component_id"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.exact_dedup import exact_dedup
 from quirework.llm.line_dedup import line_dedup, line_dedup_digest
+from quirework.llm import near_dedup as near_module
 from quirework.llm.near_dedup import band_keys, near_dedup, signatures
 from quirework.llm.passage_dedup import dedup_passages
 from quirework.llm.suffix_dedup import dedup_substrings, sliding_min
@@ -99,6 +100,36 @@ def test_near_large_groups_and_chains(spark):
     assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs, 2)
 
 
+def just_under(spark, n=120):
+    """Texts of one boilerplate and own words, just under the threshold, and a few that are similar to one of them only."""
+    base = [f"b{i}" for i in range(100)]
+    docs = [(d, " ".join(base + [f"o{d}x{i}" for i in range(13)])) for d in range(n)]
+    docs += [(n + d, docs[d][1] + f" more{d}") for d in range(5, 100, 9)]
+    return docs, spark.createDataFrame(docs, "doc_id long, text string")
+
+
+def test_near_crowds_under_the_threshold(spark, monkeypatch):
+    docs, frame = just_under(spark)
+    plans, plan = [], near_module.group_plan
+    monkeypatch.setattr(near_module, "group_plan", lambda placed, group: plans.append(plan(placed, group)) or plans[-1])
+    found = near_dedup(frame, shingle=2, tile=8)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == brute.near(docs, 2)
+    crowd, left = (p.agg(F.max("n")).first()[0] for p in plans[:2])
+    assert crowd > 100 and left <= 8  # nothing is left of the crowd: only texts that are similar share keys
+
+
+def test_near_cells_are_bounded(spark):
+    """Of many documents that are a component each, no cell holds more than about two tiles, and each pair meets."""
+    tile, n = 64, 640
+    placed = spark.range(n).select(F.lit(1).alias("key"), F.col("id").alias("rep"), F.col("id").alias("component"), F.col("id").alias("part"))
+    found = near_module.cells(placed, near_module.group_plan(placed, "key"), "key", tile).toPandas()
+    assert found.groupby(["row", "column"]).size().max() < 3 * tile
+    met = set()
+    for _, cell in found.groupby(["row", "column"]):
+        met |= {(a, b) for a in cell.rep[cell.left] for b in cell.rep[cell.right] if a != b}
+    assert all((a, b) in met or (b, a) in met for a in range(n) for b in range(a))
+
+
 def test_empty_tables(no_docs):
     for work in (exact_dedup, line_dedup, dedup_passages, dedup_substrings, near_dedup):
         assert work(no_docs).count() == 0
