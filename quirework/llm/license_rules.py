@@ -1,6 +1,7 @@
 """Signature rules of the license scan, in priority order.
 
-A family is a license with its label, its keyword, and regexes for its name, its SPDX identifier and its
+A family is a license with its label, its keyword (one of several, parted by ``|``, that every match of its
+name holds), and regexes for its name, its SPDX identifier and its
 address. Forms are hand-written sentences around a name. A rule is one form for one family; rules of
 earlier forms have priority, and so have earlier families within a form.
 """
@@ -17,7 +18,7 @@ FAMILIES = [
     ("apache-2", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)2(?:\.0)?", r"apache-2\.0", r"apache\.org/licenses/license-2\.0"),
     ("apache-1", "apache", r"apache (?:software )?licen[sc]e,? (?:version |v\.? ?)1\.[01]", r"apache-1\.[01]", r"apache\.org/licenses/license-1\.[01]"),
     ("apache", "apache", r"apache (?:software )?licen[sc]e", r"apache", r"apache\.org/licenses"),
-    ("mit", "mit", r"(?:mit|expat) licen[sc]e", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
+    ("mit", "mit|expat", r"(?:mit|expat) licen[sc]e", r"mit(?:-0)?", r"opensource\.org/licenses/mit"),
     ("bsd-2", "bsd", r"(?:2-clause|two-clause|simplified|freebsd) bsd licen[sc]e", r"bsd-2-clause", r"opensource\.org/licenses/bsd-2-clause"),
     ("bsd-3", "bsd", r"(?:3-clause|three-clause|new|modified|revised) bsd licen[sc]e", r"bsd-3-clause", r"opensource\.org/licenses/bsd-3-clause"),
     ("bsd-4", "bsd", r"(?:4-clause|four-clause|original) bsd licen[sc]e", r"bsd-4-clause", r"spdx\.org/licenses/bsd-4-clause"),
@@ -50,9 +51,9 @@ FAMILIES = [
     ("odc-by", "open data commons", r"open data commons attribution licen[sc]e", r"odc-by-1\.0", r"opendatacommons\.org/licenses/by"),
     ("pddl", "public domain dedication", r"public domain dedication and licen[sc]e", r"pddl-1\.0", r"opendatacommons\.org/licenses/pddl"),
     ("cc0", "cc0", r"cc0(?: 1\.0)?(?: universal)?", r"cc0-1\.0", r"creativecommons\.org/publicdomain/zero"),
-    ("cc-by-nc-nd", "noncommercial", r"creative commons attribution[- ]non-?commercial[- ]no-?derivatives?", r"cc-by-nc-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-nd"),
-    ("cc-by-nc-sa", "noncommercial", r"creative commons attribution[- ]non-?commercial[- ]share-?alike", r"cc-by-nc-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-sa"),
-    ("cc-by-nc", "noncommercial", r"creative commons attribution[- ]non-?commercial", r"cc-by-nc-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
+    ("cc-by-nc-nd", "commercial", r"creative commons attribution[- ]non-?commercial[- ]no-?derivatives?", r"cc-by-nc-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-nd"),
+    ("cc-by-nc-sa", "commercial", r"creative commons attribution[- ]non-?commercial[- ]share-?alike", r"cc-by-nc-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc-sa"),
+    ("cc-by-nc", "commercial", r"creative commons attribution[- ]non-?commercial", r"cc-by-nc-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nc/"),
     ("cc-by-nd", "creative commons", r"creative commons attribution[- ]no-?derivatives?", r"cc-by-nd-[1-4]\.[05]", r"creativecommons\.org/licenses/by-nd"),
     ("cc-by-sa", "creative commons", r"creative commons attribution[- ]share-?alike", r"cc-by-sa-[1-4]\.[05]", r"creativecommons\.org/licenses/by-sa"),
     ("cc-by", "creative commons", r"creative commons attribution", r"cc-by-[1-4]\.[05]", r"creativecommons\.org/licenses/by/"),

@@ -1,7 +1,7 @@
 """License scan: ordered signature rules behind a keyword prefilter.
 
-Texts are lower-cased (A-Z only). One Aho-Corasick pass finds the keywords that occur; only rules whose
-keyword occurs run their regex. Every match is a detection with the rule's priority (its place in the
+Texts are lower-cased (A-Z only). One Aho-Corasick pass finds the keywords that occur; only rules of
+which a keyword occurs run their regex, and every match of a rule holds one of its keywords. Every match is a detection with the rule's priority (its place in the
 list). A detection that lies inside another one of the same or a higher priority is suppressed; equal
 intervals keep the rule of the highest priority. Base phrases are found word by word beside the rules,
 at every place, and their labels are never suppressed.
@@ -53,7 +53,8 @@ class Scanner:
         self.rules, self.automaton = rules, ahocorasick.Automaton()
         by_keyword: dict[str, list[int]] = {}
         for priority, rule in enumerate(rules):
-            by_keyword.setdefault(rule[2], []).append(priority)
+            for keyword in rule[2].split("|"):
+                by_keyword.setdefault(keyword, []).append(priority)
         for keyword, priorities in by_keyword.items():
             self.automaton.add_word(keyword, tuple(priorities))
         self.automaton.make_automaton()
@@ -63,11 +64,10 @@ class Scanner:
 
     def rule_matches(self, text: str) -> list[Detection]:
         found = []
-        for priorities in {value for _, value in self.automaton.iter(text)}:
-            for priority in priorities:
-                if priority not in self.compiled:
-                    self.compiled[priority] = re.compile(self.rules[priority][3])
-                found += [(*m.span(), priority) for m in self.compiled[priority].finditer(text)]
+        for priority in {p for priorities in {value for _, value in self.automaton.iter(text)} for p in priorities}:
+            if priority not in self.compiled:
+                self.compiled[priority] = re.compile(self.rules[priority][3])
+            found += [(*m.span(), priority) for m in self.compiled[priority].finditer(text)]
         return found
 
     def base_matches(self, text: str) -> list[tuple[int, str]]:

@@ -1,5 +1,6 @@
 """Language, quality, packing, licenses and decontamination on edge cases and small tables."""
 
+import random
 import re
 import zlib
 from collections import Counter
@@ -140,6 +141,41 @@ def test_every_rule_is_gated_by_a_keyword_it_needs():
     assert len(license_rules.rules()) > 300
 
 
+def generated(nodes, rng):
+    """A string that a parsed regex matches, look-around left out."""
+    out = ""
+    for kind, value in nodes:
+        kind = str(kind)
+        if kind == "LITERAL":
+            out += chr(value)
+        elif kind == "SUBPATTERN":
+            out += generated(value[-1], rng)
+        elif kind == "BRANCH":
+            out += generated(rng.choice(value[1]), rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = value
+            out += "".join(generated(inner, rng) for _ in range(rng.randint(least, min(most, least + 2))))
+        elif kind == "IN":
+            sort, chosen = rng.choice(value)
+            out += {"LITERAL": lambda: chr(chosen), "RANGE": lambda: chr(rng.randint(*chosen)), "CATEGORY": lambda: rng.choice(" \n" if "SPACE" in str(chosen) else "07")}[str(sort)]()
+        else:
+            assert kind in ("ASSERT", "ASSERT_NOT"), kind
+    return out
+
+
+def test_gated_rules_find_what_ungated_ones_do():
+    rules, rng = license_rules.rules(), random.Random(2)
+    scanner = Scanner(rules)
+    for priority, (_, _, _, regex) in enumerate(rules):
+        for _ in range(30):
+            text = generated(re._parser.parse(regex), rng)
+            ungated = {(*m.span(), priority) for m in re.finditer(regex, text)}
+            assert ungated and ungated <= set(scanner.rule_matches(text)), text
+    row = lambda text: [s["label"] for s in scanner.row(text)[-1]]
+    assert row("licensed under a creative commons attribution-non-commercial license") == ["cc-by-nc"]
+    assert row("expat license") == ["mit"]
+
+
 def test_resolve():
     assert resolve([(0, 10, 5), (2, 8, 7)], 9) == [(0, 10, 5)]  # inside one of higher priority
     assert resolve([(0, 10, 5), (2, 8, 1)], 9) == [(0, 10, 5), (2, 8, 1)]  # inside one of lower priority
