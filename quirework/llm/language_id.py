@@ -7,10 +7,9 @@ number of distinct successors against the number of occurrences). Below the empt
 equally likely. The statistics are frozen: scoring never updates them. The language with the shortest
 code for the whole text wins, ties by name.
 
-The trees of all languages are compiled into two tables: ``goto`` maps (context, byte) to the longest
-known context that ends with this byte, ``cost`` maps (context, byte) to the code length per language.
-A text is then one table walk, and whole batches walk together: the context after three bytes follows
-from these bytes alone.
+The trees of all languages are kept whole, as one table per string length that holds, for each string, only
+the languages that know it. The code length of a text is a sum over its strings of 1 to ``order`` + 1 bytes,
+looked up a batch at a time.
 
 Learning reads at most ``per_language`` documents of each language, those with the smallest hash of the
 id, and whole texts of at most ``max_bytes`` bytes each. This is the documented bound of the training
@@ -25,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from quirework.llm.text_bytes import bounded, utf8
@@ -62,93 +62,95 @@ def packed(data: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
+class Level:
+    """What a byte string of one length adds to the code length, for the languages that know it, string by string."""
+
+    def __init__(self, gram: np.ndarray, lang: np.ndarray, change: np.ndarray, escape: np.ndarray) -> None:
+        order = np.lexsort((lang, gram))
+        self.grams, first = np.unique(gram[order], return_index=True)
+        self.first, self.lang = np.r_[first, len(gram)], lang[order]
+        self.both, self.escape = (change + escape)[order], escape[order]
+
+    def add(self, out: np.ndarray, owner: np.ndarray, gram: np.ndarray, last: np.ndarray) -> None:
+        """Sums per owner and language; the ``last`` string of a text is no context of a further byte."""
+        place = np.minimum(np.searchsorted(self.grams, gram), len(self.grams) - 1)
+        known = np.flatnonzero(self.grams[place] == gram)
+        place, owner, last = place[known], owner[known], last[known]
+        n = self.first[place + 1] - self.first[place]
+        entry = np.repeat(self.first[place] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        bits = self.both[entry]
+        ends = np.flatnonzero(np.repeat(last, n))
+        bits[ends] -= self.escape[entry[ends]]
+        wide = out.shape[1]
+        out += np.bincount(np.repeat(owner * wide, n) + self.lang[entry], bits, out.size).reshape(out.shape)
+
+
 class Model:
-    """Compiled context trees. ``length[c]`` bytes are known in context ``c``; context 0 is the empty one."""
-
-    def __init__(self, counts: "np.ndarray", langs: list[str], order: int, max_contexts: int) -> None:
-        """``counts``: per k a pair of gram numbers and an (n, languages) matrix of counts."""
-        self.langs, self.order = langs, order
-        wide = len(langs)
-        # contexts: the empty one, then all strings of 1..order bytes that were followed by something,
-        # the most frequent ones if there are too many for the table
-        contexts: list[tuple[int, int]] = [(0, 0)]
-        for k in range(1, order + 1):
-            grams, n = counts[k]
-            best = np.argsort(-n.sum(1), kind="stable")[: max(0, max_contexts - len(contexts))]
-            contexts += [(k, int(g)) for g in np.sort(grams[best])]
-        place = {c: i for i, c in enumerate(contexts)}
-        goto = np.zeros((len(contexts), 256), np.int32)
-        cost = np.zeros((len(contexts), 256, wide), np.float32)
-        followers = {}
+    """Context trees of all languages, every context of the sample.
+
+    The code length of a text is a sum over its byte strings: each known context adds its escape, and each
+    string seen after its context takes that escape and the cost after the shorter context back and adds its own.
+    """
+
+    def __init__(self, counts: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], langs: list[str], order: int) -> None:
+        """``counts``: per k the gram numbers, language numbers and occurrences of the strings a language has."""
+        self.langs, self.order, self.levels = langs, order, []
+        self.empty = np.zeros(len(langs))  # escapes of the empty context
+        name = lambda lang, gram: lang.astype(np.int64) << 48 | gram
+        costs, escapes = [], []
+        for k in range(1, order + 2):
+            gram, lang, n = counts[k]
+            heads, head = np.unique(name(lang, gram >> 8), return_inverse=True)
+            distinct = np.bincount(head, minlength=len(heads))
+            scale = np.log2(np.bincount(head, n, len(heads)) + distinct)
+            costs.append(scale[head] - np.log2(n))
+            escapes.append((heads, scale - np.log2(distinct), head))
         for k in range(1, order + 2):
-            grams, n = counts[k]
-            heads = grams >> 8
-            cuts = np.flatnonzero(np.r_[True, heads[1:] != heads[:-1]]) if len(grams) else np.zeros(0, int)
-            for a, b in zip(cuts, np.r_[cuts[1:], len(grams)]):
-                followers[k - 1, int(heads[a])] = ((grams[a:b] & 255).astype(int), n[a:b])
-        for i, (k, gram) in enumerate(contexts):
-            shorter = place.get((k - 1, gram & ((1 << 8 * (k - 1)) - 1)), 0) if k else None
-            base = cost[shorter] if k else np.full((256, wide), 8.0, np.float32)
-            cost[i] = base
-            if k:
-                goto[i] = goto[shorter]
-            if (k, gram) not in followers:
-                continue
-            symbols, n = followers[k, gram]
-            total, distinct = n.sum(0), (n > 0).sum(0)
-            known = total > 0
-            scale = np.log2(np.maximum(total + distinct, 1))
-            escape = np.where(known, scale - np.log2(np.maximum(distinct, 1)), 0.0)
-            cost[i] = base + escape
-            cost[i, symbols] = np.where(n > 0, scale - np.log2(np.maximum(n, 1)), cost[i, symbols])
-            for s in symbols:
-                longer = place.get((k + 1, gram << 8 | int(s)))
-                if longer is not None and k < order:
-                    goto[i, s] = longer
-        self.goto, self.cost = goto, cost
+            gram, lang, _ = counts[k]
+            heads, escape, head = escapes[k - 1]
+            if k == 1:
+                self.empty[heads >> 48] = escape
+                shorter = np.full(len(gram), 8.0)
+            else:  # what follows a context also follows its ends
+                names = name(counts[k - 1][1], counts[k - 1][0])
+                by_name = np.argsort(names)
+                shorter = costs[k - 2][by_name[np.searchsorted(names[by_name], name(lang, gram & ((1 << 8 * (k - 1)) - 1)))]]
+            own = np.zeros(len(gram))
+            if k <= order and len(escapes[k][0]):
+                heads, further, _ = escapes[k]
+                at = np.minimum(np.searchsorted(heads, name(lang, gram)), len(heads) - 1)
+                own = np.where(heads[at] == name(lang, gram), further[at], 0.0)
+            self.levels.append(Level(gram, lang, costs[k - 1] - escape[head] - shorter, own))
 
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of every text per language."""
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
-        step = 1 << 18
-        goto, cost = self.goto.reshape(-1), self.cost.reshape(-1, len(self.langs))
-        total = len(data)
-        for at in range(0, total, step):
-            low = max(0, at - self.order)
-            part = data[low : at + step].astype(np.int32)
-            first = np.searchsorted(offsets, at, "right") - 1
-            last = np.searchsorted(offsets, at + len(part) - (at - low), "left")
-            begins = offsets[first : last + 1]
-            state = np.zeros(len(part), np.int32)  # context before each byte
-            fresh = begins[(begins >= low) & (begins < low + len(part))] - low
-            for _ in range(self.order):
-                after = goto[state * 256 + part]
-                state = np.r_[np.int32(0), after[:-1]]
-                state[fresh] = 0
-            bits = cost[state * 256 + part][at - low :]
-            spans = np.clip(begins[:-1] - at, 0, len(bits)), np.clip(begins[1:] - at, 0, len(bits))
-            full = spans[1] > spans[0]
-            if full.any():
-                out[np.arange(first, last)[full]] += np.add.reduceat(bits, spans[0][full], axis=0, dtype=np.float64)
+        out = np.diff(offsets)[:, None] * (8.0 + self.empty)
+        step = 1 << 16
+        padded = np.r_[np.zeros(self.order, np.uint8), data]
+        for at in range(0, len(data), step):
+            place = np.arange(at, min(at + step, len(data)))
+            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.clip(offsets, at, at + len(place))))
+            before, last = place - offsets[owner], place == offsets[owner + 1] - 1
+            low, high = owner[0], owner[-1] + 1
+            owner = owner - low
+            gram = np.zeros(len(place), np.int64)
+            for k, level in enumerate(self.levels):
+                gram |= padded[place + self.order - k].astype(np.int64) << 8 * k
+                full = before >= k
+                if len(level.grams):
+                    level.add(out[low:high], owner[full], gram[full], last[full])
         return out
 
 
-def learn(training: DataFrame, order: int, max_contexts: int) -> Model | None:
+def learn(training: DataFrame, order: int) -> Model | None:
     """Sums of the bounded sample come to the driver: at most as many strings as the sample has bytes."""
-    table = count_strings(training, order).toArrow().sort_by([("k", "ascending"), ("gram", "ascending")])
+    table = count_strings(training, order).toArrow()
     if not table.num_rows:
         return None
-    names = sorted(set(table["lang"].to_pylist()))
-    lang = np.searchsorted(names, table["lang"].to_pylist())
+    names = sorted(set(table["lang"].unique().to_pylist()))
+    lang = pc.index_in(table["lang"], pa.array(names)).to_numpy()
     k, gram, n = (table[c].to_numpy() for c in ("k", "gram", "n"))
-    counts = {}
-    for length in range(1, order + 2):
-        own = k == length
-        values, place = np.unique(gram[own], return_inverse=True)
-        matrix = np.zeros((len(values), len(names)))
-        np.add.at(matrix, (place, lang[own]), n[own])
-        counts[length] = (values, matrix)
-    return Model(counts, names, order, max_contexts)
+    return Model({length: (gram[k == length], lang[k == length], n[k == length]) for length in range(1, order + 2)}, names, order)
 
 
 def has_letter(text: str | None) -> bool:
@@ -169,7 +171,6 @@ def identify_languages(
     order: int = 3,
     per_language: int = 1000,
     max_bytes: int = 200_000,
-    max_contexts: int = 12_000,
 ) -> DataFrame:
     """Learn from the documents outside the held-out fold, score all."""
     spark: SparkSession = docs.sparkSession
@@ -178,7 +179,7 @@ def identify_languages(
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held & (F.octet_length("text") <= max_bytes))
     picked = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     chosen = usable.select("doc_id", "lang").withColumn("rank", picked).where(F.col("rank") <= per_language).select("doc_id").distinct()
-    model = learn(usable.join(F.broadcast(chosen), "doc_id", "left_semi"), order, max_contexts)
+    model = learn(usable.join(F.broadcast(chosen), "doc_id", "left_semi"), order)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -53,6 +53,44 @@ def test_languages_do_not_read_the_held_out_rows(larger):
     assert one == two
 
 
+def code_length(text, sample, order=3):
+    """Bits of a text after the byte strings of a sample, byte by byte; nothing is left out of the sample."""
+    after = {}
+    for data in map(str.encode, sample):
+        for i in range(len(data)):
+            for k in range(min(order, i) + 1):
+                after.setdefault(data[i - k : i], Counter())[data[i]] += 1
+    bits, data = 0.0, text.encode()
+    for i, byte in enumerate(data):
+        for k in range(min(order, i), -1, -1):
+            seen = after.get(data[i - k : i])
+            if seen:
+                scale = sum(seen.values()) + len(seen)
+                bits += np.log2(scale / (seen[byte] or len(seen)))
+                if seen[byte]:
+                    break
+        else:
+            bits += 8
+    return bits
+
+
+def test_every_context_of_the_sample_counts(spark):
+    """Languages of many characters and a rare one among them, against the plain version."""
+    rng = random.Random(8)
+    scripts = {"big1": (0x4E00, 900, 60), "big2": (0xAC00, 900, 60), "big3": (0x61, 26, 60), "rare": (0x4E00, 300, 3)}
+    rows = []
+    for lang, (low, wide, n) in scripts.items():
+        rows += [("".join(chr(low + int(wide * rng.random() ** 2)) + " " * (rng.random() < 0.2) for _ in range(150)), lang) for _ in range(n * 4 // 3)]
+    rows = [(i, text, lang) for i, (text, lang) in enumerate(rows)]
+    sample = {lang: [t for i, t, x in rows if x == lang and zlib.crc32(str(i).encode()) % 4 != 2] for lang in sorted(scripts)}
+    found = {r.doc_id: r for r in identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(i, t) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 4 == 2]
+    for doc, text in held[::6] + held[-3:]:
+        bits = {lang: code_length(text, own) for lang, own in sample.items()}
+        assert found[doc].lang_pred == min(bits, key=bits.get)
+        assert abs(found[doc].bits_per_byte - min(bits.values()) / len(text.encode())) < 1e-6
+
+
 def test_quality(spark, larger):
     labels = spark.read.parquet(f"{LARGER}/labels.parquet")
     found = score_quality(larger, labels).join(labels, "doc_id").toPandas()
