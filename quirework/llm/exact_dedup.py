@@ -1,10 +1,10 @@
-"""Exact deduplication by a tree of merges over sorted digest runs (DataFrame functions only).
+"""Exact deduplication by a tree of partial aggregations over digest runs (DataFrame functions only).
 
-Every document falls into one of ``runs`` runs by its id. A run is the sorted list of its distinct
-digests with the retained id and the number of rows. In each round ``fan_in`` runs exchange their
-digests and merge; the last round leaves one run whose entries name the retained row of every text.
-The answer then goes back down: first to the entries of the lowest level, at most one per digest and
-run, and from them to the documents of the run. A text that a third of all rows share therefore
+Every document falls into one of ``runs`` runs by its id. A run holds its distinct digests, in no order,
+with the retained id and the number of rows. In each round ``fan_in`` runs are aggregated into one;
+the last round leaves one run whose entries name the retained row of every text.
+The answer then skips the levels between: one join by digest takes it to the entries of the lowest level,
+at most one per digest and run, and a second one to the documents of the run. A text that a third of all rows share therefore
 occupies one entry per run on the way up, and its rows stay spread over all runs on the way down.
 
 An entry is verified at every level: two rows merge only where SHA-256, byte length and a second,
@@ -65,12 +65,8 @@ def exact_dedup(
 
 
 def merge(runs: DataFrame, retained) -> DataFrame:
-    """One round: entries of a run with the same digest become one, in digest order."""
-    return (
-        runs.groupBy("run", "digest")
-        .agg(retained("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-        .sortWithinPartitions("run", "digest")
-    )
+    """One round: entries of a run with the same digest become one."""
+    return runs.groupBy("run", "digest").agg(retained("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
 
 
 QUERY_SQL = f"""

@@ -37,6 +37,10 @@ def test_exact_dedup_repeated_rows(repeated_docs):
     assert {(r.doc_id, r.kept) for r in found if r.group_size == 2} == {(None, False), (11, True)}
 
 
+def test_exact_dedup_sorts_nothing_that_is_not_read(edge_docs):
+    assert "Sort [" not in exact_dedup(edge_docs)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_line_dedup(edge_docs, edge_rows):
     seen, expected = set(), []
     for doc, text in sorted(edge_rows):
