@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from quirework.llm import decontaminate, exact_dedup, language_id, licenses, line_dedup, near_dedup, packing, passage_dedup, quality, suffix_dedup
+from quirework.llm import alignment, decontaminate, exact_dedup, hard_negatives, language_id, licenses, line_dedup, mixing, near_dedup, packing, passage_dedup, quality, suffix_dedup
 
 TOKENIZER = "word_bpe_49k.json"
 
@@ -58,6 +58,21 @@ def op10_tree_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op11_l2ap_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine_hard_negatives(vectors.withColumn("label", label), lambda i: i % 100 == 0)
+
+
+def op12_exponential_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op13_incidence_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path
+    return alignment.align_tokenizers(documents(spark, sf_dir), path("byte_bpe_50k.json"), path("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bucket_pointers": op1_bucket_pointers,
     "op2_context_trees": op2_context_trees,
@@ -69,8 +84,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_circulant_minhash": op8_circulant_minhash,
     "op9_token_windows": op9_token_windows,
     "op10_tree_merge": op10_tree_merge,
+    "op11_l2ap_negatives": op11_l2ap_negatives,
+    "op12_exponential_keys": op12_exponential_keys,
+    "op13_incidence_products": op13_incidence_products,
 }
 ORACLES: dict[str, str] = {
     "op7_line_windows": line_dedup.QUERY_SQL,
     "op10_tree_merge": exact_dedup.QUERY_SQL,
+    "op11_l2ap_negatives": hard_negatives.QUERY_SQL,
+    "op12_exponential_keys": mixing.QUERY_SQL,
 }

@@ -84,28 +84,41 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+NEAR = 64  # places inside a span whose numbers are tabled
+
+
 class Rolling:
-    """Rabin-Karp hashes: sum of value[i + k] * base^k over a window, by differences of running sums."""
+    """Hashes of byte spans and Rabin-Karp hashes of windows of numbers.
+
+    A span sums one number per byte and place, drawn from both by a bijection, so spans that differ are
+    told apart whatever they repeat; a polynomial modulo 2^64 gives some strings of 1,024 bytes one value
+    under every odd base. A window is the sum of value[i + k] * base^k, by differences of running sums.
+    """
 
     def __init__(self, base: int) -> None:
         self.base, self.up, self.down = base, *powers(base, STEP)
-        byte = mix((np.arange(256, dtype=np.uint64) + np.uint64(1)) * np.uint64(base))
-        self.byte = byte
+        self.near = mix((np.arange(256 * NEAR, dtype=np.uint64) + np.uint64(1)) * np.uint64(base))
+        self.byte = self.near[:256]
+
+    def numbers(self, data: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """The number of each byte at its place inside its span."""
+        at = (places << 8) + data
+        if len(at) and int(places.max()) >= NEAR:
+            return mix((at.astype(np.uint64) + np.uint64(1)) * np.uint64(self.base))
+        return self.near[at]
 
     def tables(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         return (self.up, self.down) if n <= STEP else powers(self.base, n)
 
     def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of each byte span; spans are in order and don't overlap."""
+        """Hash of each byte span; spans are in order, don't overlap and hold a byte at least."""
         out, i = np.empty(len(starts), np.uint64), 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + STEP, "right")))
-            first, n = starts[i], ends[j - 1] - starts[i]
-            up, down = self.tables(n)
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(self.byte[data[first : first + n]] * up[:n], out=sums[1:])
-            s, e = starts[i:j] - first, ends[i:j] - first
-            out[i:j] = (sums[e] - sums[s]) * down[s]
+            lengths = ends[i:j] - starts[i:j]
+            first = np.cumsum(lengths) - lengths
+            places = np.arange(int(lengths.sum())) - np.repeat(first, lengths)
+            out[i:j] = np.add.reduceat(self.numbers(data[places + np.repeat(starts[i:j], lengths)], places), first)
             i = j
         return mix(out + (ends - starts).astype(np.uint64) * np.uint64(BASES[0]))
 
