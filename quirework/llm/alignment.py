@@ -9,8 +9,9 @@ incidence matrices of both sides have a group's ids as rows, and the product ove
 links all tokens of a group, row by row.
 
 Texts are encoded by their parts: a part begins at a space between two visible characters. Neither
-tokenizer has a token that crosses such a place, so a text's ids are those of its parts in order; distinct parts
-are found by hash for many texts together, and only new ones are encoded.
+tokenizer has a token that crosses such a place, so a text's ids are those of its parts in order, and parts may
+be encoded together in any company. The distinct parts of many texts are found by hash, written one after another
+and encoded as a few long strings, whose ids are dealt to the parts by the lengths of their bytes.
 
 Documents are read in blocks of bounded bytes. A block writes its distinct id pairs with their counts once, and
 per document the places of its pairs in that list. Spark sums the pairs of all blocks, finds the highest count
@@ -23,10 +24,11 @@ empty result; other columns are not read.
 """
 
 import hashlib
-import os
+import json
 import sys
 import types
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,10 @@ from quirework.functions.common import materialize
 from quirework.llm.text_bytes import BASES, Rolling, bounded, release_memory, utf8
 
 SPACE_MARK = "▁"
-STORE = "alignment_part_store"
-MOST_PARTS = 200_000
+STORE = "alignment_tokenizers"
+JOINED = 1 << 13  # bytes of parts that are encoded as one string
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # fixed value: how a byte-level tokenizer cuts words
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
 SLICE = 1 << 18
 PAIR_BASE = 1 << 20  # a pair of ids as one number: a * PAIR_BASE + b
 BLOCK_BITS = 32
@@ -74,23 +78,32 @@ class Vocabulary:
 
 
 class ByteLevel:
-    """Side A: a byte-level tokenizer; parts keep their leading space."""
+    """Side A: a byte-level tokenizer; parts keep their leading space.
+
+    The file's own vocabulary and merges run in the faster of the two engines: merges in order of rank, where the
+    n-th merge makes the n-th id after the 256 bytes. Strings of special tokens are plain text.
+    """
 
     def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs one task per core
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are plain text
-        names = sorted(self.tokenizer.get_vocab(with_added_tokens=True).items(), key=lambda e: e[1])
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        entries = [b""] * (names[-1][1] + 1)
-        for name, number in names:
-            entries[number] = b"" if name in special else byte_level_bytes(name)
+        import tiktoken
+
+        with open(path, encoding="utf-8") as file:
+            settings = json.load(file)
+        model, cutter = settings["model"], settings["pre_tokenizer"]
+        special = {t["content"] for t in settings["added_tokens"]}
+        made = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        in_order = all(model["vocab"]["".join(m)] == 256 + i for i, m in enumerate(made))
+        if cutter != BYTE_LEVEL or settings["normalizer"] or not in_order:
+            raise ValueError(f"{path} is not a byte-level tokenizer whose ids follow its merges")
+        ranks = {byte_level_bytes(name): number for name, number in model["vocab"].items() if name not in special}
+        entries = [b""] * (max(model["vocab"].values()) + 1)
+        for raw, number in ranks.items():
+            entries[number] = raw
         self.vocabulary = Vocabulary(entries)
+        self.engine = tiktoken.Encoding("byte level", pat_str=WORD_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return [self.engine.encode_ordinary(t) for t in texts]
 
 
 class Pieces:
@@ -99,22 +112,22 @@ class Pieces:
     def __init__(self, path: str) -> None:
         import sentencepiece
 
-        self.tokenizer = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.tokenizer.id_to_piece(i) for i in range(self.tokenizer.get_piece_size())]
+        self.engine = sentencepiece.SentencePieceProcessor(model_file=path)
+        names = [self.engine.id_to_piece(i) for i in range(self.engine.get_piece_size())]
         if any(SPACE_MARK in n.lstrip(SPACE_MARK) for n in names):
             raise ValueError("a piece crosses a space: texts can't be encoded by their parts")
-        kept = [not (self.tokenizer.is_control(i) or self.tokenizer.is_unknown(i)) for i in range(len(names))]
+        kept = [not (self.engine.is_control(i) or self.engine.is_unknown(i)) for i in range(len(names))]
         self.vocabulary = Vocabulary([piece_bytes(n) if k else b"" for n, k in zip(names, kept)])
 
-    def encode(self, parts: list[str]) -> list[list[int]]:
-        return self.tokenizer.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        return self.engine.encode([t[1:] for t in texts], num_threads=1)
 
 
 def loaded(kind: type, path: str):
-    """One tokenizer per worker process, with its store of known parts."""
+    """One tokenizer per worker process."""
     store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__  # functions are sent by value, so globals end with the task
     if (kind.__name__, path) not in store:
-        store[kind.__name__, path] = (kind(path), [{}, {}])
+        store[kind.__name__, path] = kind(path)
     return store[kind.__name__, path]
 
 
@@ -128,47 +141,66 @@ def led_by_space(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, new
 
 
-def part_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where parts begin: at each text's first byte, and at a space between two characters that are surely visible.
+# White space beyond ASCII begins with one of the bytes C2, E1, E2, E3 and ends with one of 80-8A, 85, 9F, A0, A8, A9, AF.
+ENDS_VISIBLE, BEGINS_VISIBLE = (np.zeros(256, bool) for _ in range(2))
+ENDS_VISIBLE[0x21:0x7F] = ENDS_VISIBLE[0x80:] = BEGINS_VISIBLE[0x21:0x7F] = BEGINS_VISIBLE[0x80:] = True
+ENDS_VISIBLE[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
+BEGINS_VISIBLE[[0xC2, 0xE1, 0xE2, 0xE3]] = False
+
+
+class Parts:
+    """The distinct parts of texts that each begin with a space.
 
-    White space beyond ASCII begins with one of the bytes C2, E1, E2, E3 and ends with one of 80-8A, 85, 9F, A0, A8, A9, AF.
+    A part begins at each text's first byte, and at a space between two characters that are surely visible.
+    Parts that also begin and end so, and hold no space mark, may be joined; the others stay alone.
     """
-    before, after = (np.zeros(256, bool) for _ in range(2))
-    before[0x21:0x7F], before[0x80:] = True, True
-    after[:] = before
-    before[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = False
-    after[[0xC2, 0xE1, 0xE2, 0xE3]] = False
-    cut = np.zeros(len(data), bool)
-    cut[1:-1] = (data[1:-1] == 32) & before[data[:-2]] & after[data[2:]]
-    cut[offsets[:-1][np.diff(offsets) > 0]] = True
-    return np.flatnonzero(cut)
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, rolling: Rolling) -> None:
+        cut = np.zeros(len(data), bool)
+        cut[1:-1] = (data[1:-1] == 32) & ENDS_VISIBLE[data[:-2]] & BEGINS_VISIBLE[data[2:]]
+        cut[offsets[:-1][np.diff(offsets) > 0]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.r_[starts[1:], len(data)]
+        _, at, which = np.unique(rolling.spans(data, starts, ends), return_index=True, return_inverse=True)
+        a, b = starts[at], ends[at]
+        joins = (b - a > 1) & BEGINS_VISIBLE[data[np.minimum(a + 1, max(len(data) - 1, 0))]] & ENDS_VISIBLE[data[b - 1]]
+        marks = np.flatnonzero((data[:-2] == 0xE2) & (data[1:-1] == 0x96) & (data[2:] == 0x81))
+        joins &= np.searchsorted(marks, a) == np.searchsorted(marks, b)
+        order = np.argsort(~joins, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        self.first, self.which = np.searchsorted(starts, offsets), place[which]  # each text's first part; each part's distinct one
+        a, b, n = a[order], b[order], int(joins.sum())
+        lengths = b[:n] - a[:n]
+        self.reach = np.cumsum(lengths)
+        text = data[np.arange(int(lengths.sum())) + np.repeat(a[:n] - (self.reach - lengths), lengths)]
+        edges = np.searchsorted(self.reach, np.arange(JOINED, int(lengths.sum()), JOINED))
+        cuts = np.unique(np.r_[0, self.reach[edges], lengths.sum()])
+        self.joined = [text[x:y].tobytes().decode() for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist())]
+        self.alone = [data[x:y].tobytes().decode() for x, y in zip(a[n:].tolist(), b[n:].tolist())]
 
 
 class Encoder:
     """Ids of whole texts from the ids of their distinct parts."""
 
     def __init__(self, kind: type, path: str) -> None:
-        (self.side, self.known), self.rolling = loaded(kind, path), Rolling(BASES[0])
+        self.side = loaded(kind, path)
 
-    def ids(self, data: np.ndarray, offsets: np.ndarray, starts: np.ndarray, names: tuple) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and each text's first one."""
-        hashes, at, which = names
-        if len(self.known[0]) > MOST_PARTS // 2:
-            self.known[:] = {}, self.known[0]
-        known, before = self.known
-        wanted = hashes.tolist()
-        known.update((h, before[h]) for h in wanted if h not in known and h in before)
-        missing = [k for k, h in enumerate(wanted) if h not in known]
-        ends = np.r_[starts[1:], len(data)]
-        parts = [data[starts[i] : ends[i]].tobytes().decode() for i in at[missing].tolist()]
-        for k, found in zip(missing, self.side.encode(parts) if parts else []):
-            known[wanted[k]] = np.array(found, "<u4").tobytes()
-        tokens = [known[h] for h in wanted]
-        flat, lengths = np.frombuffer(b"".join(tokens), "<u4").astype(np.int64), np.array([len(t) // 4 for t in tokens], np.int64)
-        counts = lengths[which]
-        reach = np.cumsum(counts)
-        ids = flat[np.repeat((np.cumsum(lengths) - lengths)[which] - (reach - counts), counts) + np.arange(int(counts.sum()))]
-        return ids, np.r_[0, reach][np.searchsorted(starts, offsets)]
+        lists = self.side.encode(parts.joined)
+        together = np.array(list(chain.from_iterable(lists)), np.int64)
+        ends = np.cumsum(self.side.vocabulary.lengths[together])
+        last = np.searchsorted(ends, parts.reach)
+        if len(last) and not (ends[last] == parts.reach).all():
+            raise ValueError("a token crosses a space between two words")
+        others = self.side.encode(parts.alone)
+        counts = np.r_[np.diff(np.r_[-1, last]), np.array([len(x) for x in others], np.int64)].astype(np.int64)
+        flat = np.r_[together, np.array(list(chain.from_iterable(others)), np.int64)]
+        own = counts[parts.which]
+        reach = np.cumsum(own)
+        ids = flat[np.repeat((np.cumsum(counts) - counts)[parts.which] - (reach - own), own) + np.arange(int(own.sum()))]
+        return ids, np.r_[0, reach][parts.first]
 
 
 class Rows:
@@ -244,9 +276,8 @@ class Aligned:
 
     def __init__(self, a: Encoder, b: Encoder, column: pa.Array) -> None:
         data, offsets = led_by_space(column)
-        starts = part_starts(data, offsets)
-        names = np.unique(a.rolling.spans(data, starts, np.r_[starts[1:], len(data)]), return_index=True, return_inverse=True)
-        sides = [(e.side.vocabulary, *e.ids(data, offsets, starts, names)) for e in (a, b)]
+        parts = Parts(data, offsets, Rolling(BASES[0]))
+        sides = [(e.side.vocabulary, *e.ids(parts)) for e in (a, b)]
         good = np.diff(offsets) > 0
         for vocabulary, ids, first in sides:
             reach = np.r_[0, np.cumsum(vocabulary.lengths[ids])][first]
@@ -276,17 +307,18 @@ class Aligned:
         return tuple(np.concatenate(p) if parts else np.zeros(0, np.int64) for p in (zip(*parts) if parts else ((), ())))
 
     def groups(self, link_a: np.ndarray, link_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The group of each token of A and of B: groups end at links."""
-        return tuple(np.searchsorted(link, np.arange(len(side))) for link, side in ((np.unique(link_a), self.a), (np.unique(link_b), self.b)))
+        """The group of each token of A and of B: groups end at links, which stand in order on both sides."""
+        return tuple(np.repeat(np.arange(len(link)), np.diff(np.r_[-1, link])) for link in (link_a, link_b))
 
     def written(self, digits: Digits, group_a: np.ndarray, group_b: np.ndarray) -> list[bytes]:
         """``a1,a2|b1;a3|b2,b3`` of each text."""
-        ids, group = np.r_[self.a, self.b], np.r_[group_a, group_b]
-        side = np.repeat([0, 1], [len(self.a), len(self.b)])
-        order = np.argsort(2 * group + side, kind="stable")
-        ids, group, side = ids[order], group[order], side[order]
-        last = np.r_[(group[1:] != group[:-1]) | (side[1:] != side[:-1]), True] if len(ids) else np.zeros(0, bool)
-        signs = np.where(last, np.where(side == 0, ord("|"), ord(";")), ord(",")).astype(np.uint8)
+        n_a, n_b = (np.bincount(g, minlength=1) for g in (group_a, group_b))
+        at_a = np.arange(len(self.a)) + (np.cumsum(n_b) - n_b)[group_a]  # behind B's tokens of the groups before
+        at_b = np.arange(len(self.b)) + np.cumsum(n_a)[group_b]  # behind A's tokens of the groups up to its own
+        ids, signs = np.empty(len(at_a) + len(at_b), np.int64), np.full(len(at_a) + len(at_b), ord(","), np.uint8)
+        ids[at_a], ids[at_b] = self.a, self.b
+        signs[at_a[np.cumsum(n_a)[n_a > 0] - 1]] = ord("|")
+        signs[at_b[np.cumsum(n_b)[n_b > 0] - 1]] = ord(";")
         doc_ends = (self.first_a + self.first_b)[1:]
         signs[doc_ends[doc_ends > 0] - 1] = 0
         data, reach = digits.written(ids, signs)
@@ -358,7 +390,7 @@ def align_tokenizers(
         a, b = Encoder(ByteLevel, path_a), Encoder(Pieces, path_b)
         digits = Digits(max(len(e.side.vocabulary.lengths) for e in (a, b)))
         number, block = TaskContext.get().partitionId() << BLOCK_BITS, Block()
-        for batch in bounded(batches, 1, 1 << 20):
+        for batch in bounded(batches, 1):
             block.add(batch.column(0).to_pylist(), batch.column(1), a, b, digits)
             if block.size >= block_bytes:
                 yield block.table(number)
@@ -387,7 +419,9 @@ def align_tokenizers(
         return pa.table({c.split()[0]: columns[c.split()[0]] for c in RESULT.split(", ")})
 
     of_docs = encoded.where("pairs IS NULL").drop("pairs")
-    return of_docs.groupBy("block").cogroup(answers.groupBy("asking")).applyInArrow(finish, RESULT)
+    n_blocks = encoded.where("pairs IS NOT NULL").count()
+    sides = of_docs.repartition(max(n_blocks, 1), "block"), answers.repartition(max(n_blocks, 1), "asking")  # tasks grow in number with the blocks
+    return sides[0].groupBy("block").cogroup(sides[1].groupBy("asking")).applyInArrow(finish, RESULT)
 
 
 def token_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text", group_links: bool = False) -> DataFrame:
@@ -399,7 +433,7 @@ def token_links(docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = Encoder(ByteLevel, path_a), Encoder(Pieces, path_b)
-        for batch in bounded(batches, 1, 1 << 20):
+        for batch in bounded(batches, 1):
             ids, found = batch.column(0), Aligned(a, b, batch.column(1))
             parts = overlap_links(found.ends_a, found.ends_b)
             if group_links:

@@ -246,13 +246,17 @@ def test_alignment_of_repeated_and_no_rows(spark, repeated_docs, no_docs):
 @given(st.lists(st.text(alphabet=st.sampled_from("ab'Zs1.,!-_ \n\t\r\u0085  　▁é日“«́🙂<|>"), max_size=30), min_size=1, max_size=4))
 def test_parts_give_the_ids_of_whole_texts(texts):
     data, offsets = A.led_by_space(pa.array(texts))
-    starts = A.part_starts(data, offsets)
-    names = np.unique(Rolling(BASES[0]).spans(data, starts, np.r_[starts[1:], len(data)]), return_index=True, return_inverse=True)
-    for kind, path in ((A.ByteLevel, PATH_A), (A.Pieces, PATH_B)):
-        encoder = A.Encoder(kind, path)
-        ids, first = encoder.ids(data, offsets, starts, names)
+    parts = A.Parts(data, offsets, Rolling(BASES[0]))
+    whole = Tokenizer.from_file(PATH_A)
+    whole.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PATH_B)
+    for kind, path, plain in (
+        (A.ByteLevel, PATH_A, lambda t: whole.encode(" " + t, add_special_tokens=False).ids),
+        (A.Pieces, PATH_B, pieces.encode),
+    ):
+        ids, first = A.Encoder(kind, path).ids(parts)
         for k, text in enumerate(texts):
-            assert ids[first[k] : first[k + 1]].tolist() == (list(encoder.side.encode([" " + text])[0]) if text else [])
+            assert ids[first[k] : first[k + 1]].tolist() == (plain(text) if text else [])
 
 
 @settings(max_examples=60, deadline=None)
@@ -268,7 +272,7 @@ def test_products_equal_dense_ones(lengths, data):
         overlaps[i, j] += n
     assert (overlaps == bytes_of[0] @ bytes_of[1].T).all()
     shared = np.intersect1d(*ends)
-    group_a, group_b = (np.searchsorted(shared, e) for e in ends)
+    group_a, group_b = (np.searchsorted(shared, e) for e in ends)  # both end at the last byte
     links = np.zeros_like(overlaps)
     for i, j, n in A.shared_group_links(group_a, group_b, len(shared)):
         links[i, j] += n
