@@ -37,6 +37,8 @@ NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[9, 10, 13, 32]] = False
 SIGN = np.zeros(256, bool)
 SIGN[list(b"!#$%&()*+,-./:;<=>?@[\\]^_`{|}~")] = True
+PLAIN = np.zeros(256, bool)
+PLAIN[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
 DIVIDERS = "★☆→•"
 STORE = "packing_word_store"
 
@@ -45,8 +47,10 @@ class WordTokens:
     """Token ids of whole texts from the ids of their words.
 
     The tokenizer drops white space and no token crosses it, so a text's ids are the ids of its words in
-    order. A run of ASCII signs at the end of a word is a token sequence of its own, so a word's ids are
-    those of its stem and of that tail; A-Z may be lower-cased first. Stems and tails are found and named
+    order. A run of ASCII signs (not the apostrophe) that ends a word and follows an ASCII letter or digit is a
+    token sequence of its own, so a word's ids are those of its stem and of that tail; any other word stays
+    whole, since signs of all scripts and combining marks join into one sequence. A-Z may be lower-cased
+    first. Stems and tails are found and named
     by hashes for many texts together; only distinct ones are looked up, and new ones are encoded, many
     in one call, divided by a sign that is one token. The store of known ones belongs to the worker
     process, not to the task; when half full it starts anew and takes over what is still asked for.
@@ -86,6 +90,7 @@ class WordTokens:
         starts, ends, _ = word_spans(data, offsets, NOT_BLANK)
         reach = np.maximum.accumulate(np.where(SIGN[low], 0, np.arange(1, len(low) + 1)))
         middle = np.maximum(starts, reach[ends - 1]) if len(ends) else ends
+        middle = np.where((middle == starts) | PLAIN[low[middle - 1]], middle, ends)
         marks = np.flatnonzero((data[:-1] == ord("<")) & (data[1:] == ord("|")))
         for word in np.unique(np.searchsorted(starts, marks, "right") - 1):  # may hold a special token: kept as it is
             low[starts[word] : ends[word]] = data[starts[word] : ends[word]]

@@ -8,7 +8,9 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -16,7 +18,7 @@ from quirework.llm import license_rules
 from quirework.llm.decontaminate import drop_leaks, find_leaks
 from quirework.llm.language_id import identify_languages
 from quirework.llm.licenses import Scanner, resolve, scan_licenses
-from quirework.llm.packing import Packer, pack_documents
+from quirework.llm.packing import Packer, WordTokens, pack_documents
 from quirework.llm.quality import score_quality, tree_paths
 
 SMALL = "/root/testdata/sf0.001"
@@ -139,6 +141,23 @@ def test_packing(spark, edge_docs, edge_rows, no_docs):
     assert pack_documents(no_docs, PATH).count() == 0
 
 
+SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.sampled_from("abZI09é日İşΣ" + SIGNS + "“”‘’…—«»€。≠·" + chr(0x301) + chr(0x307) + " \n\t\u0085\u00a0\u3000"), max_size=24), min_size=1, max_size=5))
+def test_words_give_the_ids_of_whole_texts(texts):
+    tokens, plain = WordTokens(PATH), Tokenizer.from_file(PATH)
+    want = [np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.ids(pa.array(texts))) == want
+
+
+@pytest.mark.parametrize("text", ["He said “yes”.", "the dogs'.", "so…!", "well—.", "no»,", "5€.", "終。.", "a≠.", "İ İ.", "it's, isn't.", "<|endoftext|>.", "a.b. (c)!"])
+def test_signs_at_the_end_of_words(text):
+    ids = Tokenizer.from_file(PATH).encode(text, add_special_tokens=False).ids
+    assert list(WordTokens(PATH).ids(pa.array([text]))) == [np.array(ids, "<u4").tobytes()]
+
+
 def test_best_level_minimises_the_sum_of_squares():
     rng = np.random.default_rng(0)
     packer = Packer(16, 1000, 0)
