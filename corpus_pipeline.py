@@ -5,11 +5,11 @@ again as the next stage's ``docs``. All but the last return the columns of ``doc
 """
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quirework.functions.common import materialize
 from quirework.llm.decontaminate import drop_leaks
-from quirework.llm.exact_dedup import exact_dedup
+from quirework.llm.exact_dedup import exact_dedup, lower_ascii
 from quirework.llm.near_dedup import near_dedup
 from quirework.llm.packing import pack_documents
 from quirework.llm.quality import score_quality
@@ -26,8 +26,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of equal texts, the one with the largest id."""
-    return with_ids(docs, exact_dedup(docs).where("kept"))
+    """One document of equal texts, the one with the largest id.
+
+    Documents are found again by id and text, since an id may stand for several texts; of rows that repeat
+    both, one stays.
+    """
+    digest = unused(docs, "digest")
+    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_sha256").alias("kept_digest")).distinct()
+    named = docs.withColumn(digest, F.sha2(lower_ascii(F.coalesce("text", F.lit(""))), 256))
+    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col(digest) == F.col("kept_digest"))
+    found, copy = named.join(kept, same, "left_semi"), unused(docs, "copy")
+    first = Window.partitionBy("doc_id", digest).orderBy("doc_id")
+    return found.withColumn(copy, F.row_number().over(first)).where(F.col(copy) == 1).drop(copy, digest)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,6 +55,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name that ``docs`` does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def with_ids(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """Documents whose id is in ``kept``; a null id matches a null id."""
     ids = kept.select(F.col("doc_id").alias("kept_id")).distinct()
