@@ -76,11 +76,20 @@ def test_stages_on_edge_cases(spark, edge_docs, no_docs, repeated_docs):
     assert pipeline.STAGES[-1][1](spark, no_docs, SMALL).count() == 0
 
 
+def test_exact_stage_tells_texts_of_one_id_apart(spark):
+    stage = dict(pipeline.STAGES)["exact dedup"]
+    found = [(4, "A b"), (4, "other"), (9, "a B"), (9, "a B"), (None, "n"), (None, "n"), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in found], "doc_id long, text string, digest int, copy int")
+    kept = stage(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    assert sorted(map(str, rows(kept))) == sorted(map(str, [(4, "other"), (9, "a B"), (None, "n"), (None, None)]))
+
+
 def test_registered_queries():
     names = entry.queries()
-    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in names) for k in range(1, 14)] == [1] * 13
     assert names["pipeline"] is pipeline.run
-    assert set(queries.ORACLES) == {"op7_line_windows", "op10_tree_merge"} <= set(entry.oracle_sql())
+    assert set(queries.ORACLES) == {"op7_line_windows", "op10_tree_merge", "op11_l2ap_negatives", "op12_exponential_keys"} <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", ["op7_line_windows", "op10_tree_merge"])
