@@ -2,7 +2,9 @@
 
 import atexit
 import tempfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 from uuid import uuid4
 
@@ -39,6 +41,9 @@ def broadcast_within_bound(df: DataFrame, **bounds: int) -> DataFrame:
     return F.broadcast(df) if fits_broadcast(df, **bounds) else df
 
 
+_SCOPE: ContextVar[str | None] = ContextVar("scratch scope", default=None)
+
+
 @cache
 def _local_scratch() -> str:
     folder = tempfile.TemporaryDirectory(prefix="quirework-")
@@ -50,8 +55,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder of this machine, which is
-    removed when the process ends.
+    removed when the process ends. Inside ``temporary_tables`` the path lies in the scope's folder.
     """
+    if scope := _SCOPE.get():
+        return f"{scope}/{name}-{uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
@@ -60,6 +67,20 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid4().hex}"
 
 
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[str]:
+    """A scope whose tables written by ``materialize`` are deleted at its end; frames read from
+    them must have been written elsewhere or collected by then."""
+    folder = scratch_path(spark, "scope")
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a frame to the shared folder and read it back: later steps reuse the rows
     (a model is called once) and a lost executor does not recompute them."""

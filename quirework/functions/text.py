@@ -57,7 +57,7 @@ SYMBOL_PUA = "[\ue000-\uf6ff\uf71b-\uf8ff]"
 EDGE_LINES = 3
 _PAGE_NUMBER = rf"{WS_INLINE}*[-_\[]?{WS_INLINE}*{DIGIT}+{WS_INLINE}*[-_\]]?{WS_INLINE}*"
 _DOT_LEADER = rf"{WS_INLINE}*\.{{3,}}{WS_INLINE}*{DIGIT}*{WS_INLINE}*(\n|\z)"
-_LEADING_PAGE_NUMBER = rf"\A((?:{WS}*\n)?){_PAGE_NUMBER}(?:\n|\z)"
+_LEADING_PAGE_NUMBER = rf"\A(?:((?:{WS}*\n)?){_PAGE_NUMBER}\n|(?:({WS}*)\n)?{_PAGE_NUMBER}\z)"
 _TRAILING_PAGE_NUMBER = rf"\n{_PAGE_NUMBER}((?:\n{WS}*)?)\z"
 
 TOKEN = r"[\p{L}\p{M}\p{N}]+"
@@ -169,7 +169,7 @@ def strip_page_furniture(text: Column) -> Column:
     A page that holds nothing else comes back unchanged."""
     trimmed = F.regexp_replace(text, _DOT_LEADER, "$1")
     no_footer = F.regexp_replace(trimmed, _TRAILING_PAGE_NUMBER, "$1")
-    no_header = F.regexp_replace(no_footer, _LEADING_PAGE_NUMBER, "$1")
+    no_header = F.regexp_replace(no_footer, _LEADING_PAGE_NUMBER, "$1$2")
     return F.when(is_blank(trimmed), text).otherwise(no_header)
 
 

@@ -1,13 +1,15 @@
 """Vector expressions and the default embedder."""
 
-import hashlib
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, functions as F
 
+from quirework.functions.common import let
+
+# Fixed value: inputs that a model takes in one call.
+MODEL_BATCH = 200
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -23,25 +25,53 @@ def wrong_dimension(embedding: Column, dimension: int) -> Column:
 
 
 def hashing_embedder(dimension: int = 64):
-    """Column function from a token array to a token-count vector by hashed slot.
+    """Column function from a token array to a token-count vector by hashed slot, inside the JVM.
+
+    It is the default where a model may stand (``model_embedder``).
+    """
+
+    def embed(tokens: Column) -> Column:
+        slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dimension)
+        of_slot = F.sequence(F.lit(0), F.lit(dimension - 1))
+        counts = let(slots, lambda s: F.transform(of_slot, lambda d: (F.size(s) - F.size(F.array_remove(s, d))).cast("float")))
+        return F.when(tokens.isNotNull(), counts)
 
-    It stands where a model client would: an Arrow iterator UDF, so a client is opened
-    once per task and sees batches of ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows.
+    return embed
+
+
+def model_embedder(open_client: Callable[[], Callable[[list], list]], dimension: int, most: int = MODEL_BATCH):
+    """Column function from an input to a model's vector, at most ``most`` inputs per call.
+
+    A task opens one client. Inputs are gathered across Arrow batches, so calls are full but for the
+    last one; their order is kept, a null gets a null and no call, and a task without inputs makes none. An
+    answer of another length, or with a vector of another dimension, fails the job.
     """
 
     @F.pandas_udf("array<float>")
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=1 << 16)
-        def slot(token: str) -> int:
-            return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:6], 16) % dimension
+        client, waiting = None, []
+
+        def answered(rows: list) -> pd.Series:
+            nonlocal client
+            asked = [r for r in rows if r is not None]
+            found = []
+            if asked:
+                client = client or open_client()
+                found = client(asked)
+                if len(found) != len(asked):
+                    raise ValueError(f"{len(found)} vectors for {len(asked)} inputs")
+                wrong = [len(v) for v in found if len(v) != dimension]
+                if wrong:
+                    raise ValueError(f"expected {dimension} dimensions, got {wrong[0]}")
+            vectors = iter(found)
+            return pd.Series([None if r is None else next(vectors) for r in rows], dtype=object)
 
         for batch in batches:
-            rows = []
-            for tokens in batch:
-                vector = np.zeros(dimension, dtype=np.float32)
-                for token in tokens:
-                    vector[slot(token)] += 1.0
-                rows.append(vector)
-            yield pd.Series(rows, index=batch.index, dtype=object)
+            waiting.extend(batch)
+            while len(waiting) >= most:
+                yield answered(waiting[:most])
+                del waiting[:most]
+        if waiting:
+            yield answered(waiting)
 
     return embed

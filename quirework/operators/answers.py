@@ -142,7 +142,7 @@ def answer(
     judge_instructions: str,
     max_attempts: int = MAX_ATTEMPTS,
 ) -> DataFrame:
-    """Ask, check and decide. ``chat`` and ``judge`` are Column functions from prompt to reply.
+    """Ask, check and decide. ``chat`` and ``judge`` are Column functions from prompt and attempt to reply.
 
     Each round runs only on questions that still need one and its replies are written to
     the shared folder, so a model is called once per prompt. The judge sees only rows whose
@@ -153,7 +153,7 @@ def answer(
     rounds = []
     for attempt in range(1, max_attempts + 1):
         replied = materialize(
-            pending.withColumn("attempt", F.lit(attempt)).withColumn("reply", chat(F.col("prompt"))),
+            pending.withColumn("attempt", F.lit(attempt)).withColumn("reply", chat(F.col("prompt"), F.lit(attempt))),
             "replies",
         ).withColumn("parsed", R.parse_reply(F.col("reply"), F.col("n_passages")))
         needs_judge = F.col("parsed.valid") & (F.size("parsed.citations") > 0)
@@ -166,7 +166,7 @@ def answer(
                     F.col("question"), F.col("parsed.answer"), F.col("cited"), judge_instructions
                 ),
             )
-            .select("question_id", judge(F.col("judge_prompt")).alias("judge_reply")),
+            .select("question_id", judge(F.col("judge_prompt"), F.lit(attempt)).alias("judge_reply")),
             "verdicts",
         )
         evaluated = evaluate_attempts(
@@ -183,6 +183,6 @@ def answer(
     return resolve_attempts(questions, evaluated, max_attempts)
 
 
-def approve_all(prompt: Column) -> Column:
+def approve_all(prompt: Column, attempt: Column) -> Column:
     """Judge for baselines: every answer passes."""
     return F.when(prompt.isNotNull(), '{"unsupported": [], "grounded": true}')

@@ -3,10 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirework.functions import text as T
+from quirework.operators.ordered import running_sums, with_following
 from quirework.operators.rerank import SCORE_THRESHOLD, TOP_K, rerank
 
-SCORE_BUCKETS = 1024
-
 
 def is_expected(content: Column, section: Column, expect_contains: Column, expect_section: Column) -> Column:
     """The golden rule: expected text in the flattened content and the same section, where a
@@ -57,32 +56,16 @@ def retrieval_summary(outcomes: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(score: Column) -> Column:
-    """Order-preserving bucket of a score in [0, 1]; values outside fall into the end buckets."""
-    return F.least(F.greatest(F.floor(score * SCORE_BUCKETS), F.lit(0)), F.lit(SCORE_BUCKETS - 1)).cast("int")
-
-
 def candidate_thresholds(scored: DataFrame) -> DataFrame:
     """0, the midpoints of neighbouring distinct scores, and a value above the maximum.
 
-    Neighbours are found per score bucket; only one minimum per bucket (at most
-    ``SCORE_BUCKETS`` rows) is ordered in a single place.
+    Scores are dealt into ranges at sampled quantiles, so any distribution spreads; neighbours across a
+    border are found from one smallest score per range.
     """
-    distinct = scored.select("score").distinct().withColumn("bucket", _bucket(F.col("score")))
-    firsts = distinct.groupBy("bucket").agg(F.min("score").alias("first"))
-    next_first = firsts.select(
-        "bucket", F.lead("first").over(Window.orderBy("bucket")).alias("next_first")
-    )
-    inside = Window.partitionBy("bucket").orderBy("score")
-    upper = F.coalesce(F.lead("score").over(inside), F.col("next_first"))
-    middles = (
-        distinct.join(F.broadcast(next_first), "bucket")
-        .withColumn("upper", upper)
-        .filter(F.col("upper").isNotNull())
-        .select(((F.col("score") + F.col("upper")) / 2).alias("threshold"))
-    )
+    neighbours = with_following(scored.filter("score IS NOT NULL").select("score").distinct(), "score", "upper", "scores")
+    middles = neighbours.filter(F.col("upper").isNotNull()).select(((F.col("score") + F.col("upper")) / 2).alias("threshold"))
     zero = scored.sparkSession.range(1).select(F.lit(0.0).alias("threshold"))
-    top = distinct.agg(F.max("score").alias("top")).filter("top is not null")
+    top = scored.agg(F.max("score").alias("top")).filter("top is not null")
     return zero.unionByName(middles).unionByName(top.select((F.col("top") + 1e-6).alias("threshold")))
 
 
@@ -94,8 +77,8 @@ def threshold_sweep(
     The kept list is a prefix of the ranked list, so a positive survives exactly the
     thresholds up to the score of its best-ranked hit within top_k, and a negative is
     refused exactly above its best score. Both are running counts over ordered values; no
-    threshold is paired with a question. Running counts are taken per score bucket and
-    shifted by the totals of the earlier buckets.
+    threshold is paired with a question. The order is cut into ranges at sampled quantiles, each
+    counted alone and shifted by the totals of those before it.
     """
     ranked = Window.partitionBy("question_id").orderBy(F.desc("score"), "rank")
     best = (
@@ -123,26 +106,16 @@ def threshold_sweep(
         )
         .groupBy("value")
         .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("wanted").alias("wanted"))
-        .withColumn("bucket", F.when(F.col("value") < 0, 0).otherwise(_bucket(F.col("value"))))
-    )
-    totals = marks.groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    earlier = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "bucket",
-        F.coalesce(F.sum("pos").over(earlier), zero).alias("pos_before"),
-        F.coalesce(F.sum("neg").over(earlier), zero).alias("neg_before"),
-        F.sum("pos").over(Window.partitionBy()).alias("pos_total"),
     )
-    lower = Window.partitionBy("bucket").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    placed = running_sums(marks, {"pos_before": "pos", "neg_before": "neg"}, [F.col("value")], name="marks")
+    all_positives = per_question.agg(F.count_if(F.col("answerable") & F.col("best_hit").isNotNull()).alias("pos_total"))
     return (
-        marks.withColumn("pos_in", F.coalesce(F.sum("pos").over(lower), zero))
-        .withColumn("neg_in", F.coalesce(F.sum("neg").over(lower), zero))
-        .filter("wanted")
-        .join(F.broadcast(offsets), "bucket")
+        placed.filter("wanted")
+        .join(F.broadcast(all_positives))
         .select(
             F.col("value").alias("threshold"),
-            (F.col("pos_total") - F.col("pos_before") - F.col("pos_in")).alias("positives_kept"),
-            (F.col("neg_before") + F.col("neg_in")).alias("negatives_refused"),
+            (F.col("pos_total") - F.col("pos_before")).alias("positives_kept"),
+            F.col("neg_before").alias("negatives_refused"),
         )
     )
 

@@ -1,15 +1,15 @@
 """Lexical retrieval: conjunctive token match, ranked by cover density or term frequency."""
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import DoubleType
 
 from quirework.functions import text as T
-from quirework.functions.common import broadcast_within_bound, fits_broadcast, materialize
+from quirework.functions.common import broadcast_within_bound, fits_broadcast, let, materialize
 
 # Fixed value: weight of a token without a label in the cover-density rank.
 COVER_WEIGHT = 0.1
 
+POSTINGS = "term string, chunk_id string, document_id string, positions array<int>"
+
 
 def postings(chunks: DataFrame) -> DataFrame:
     """Inverted index rows: (token, chunk_id, tf, positions), positions from 1."""
@@ -70,9 +70,9 @@ def lexical_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     terms = materialize(question_terms(questions, tokenized), "terms")
     holds_all = F.size(F.array_intersect("terms", "tokens")) == F.size("terms")
     if fits_broadcast(terms):
-        probe = tokenized.select(
-            "chunk_id", "tokens", F.explode(F.array_distinct("tokens")).alias("anchor")
-        )
+        anchors = terms.agg(F.collect_set("anchor").alias("anchors"))  # one row, as bounded as the terms
+        held = tokenized.join(F.broadcast(anchors)).withColumn("anchor", F.array_intersect("tokens", "anchors"))
+        probe = held.filter(F.size("anchor") > 0).select("chunk_id", "tokens", F.explode("anchor").alias("anchor"))
         matched = probe.join(F.broadcast(terms), "anchor").filter(holds_all)
     else:
         anchors = tokenized.select("chunk_id", F.explode(F.array_distinct("tokens")).alias("anchor"))
@@ -86,34 +86,55 @@ def term_frequency(tokens: Column, terms: Column) -> Column:
     return F.size(hits).cast("double")
 
 
-@F.pandas_udf(DoubleType())
-def cover_density(tokens: pd.Series, terms: pd.Series) -> pd.Series:
-    """Sum over minimal spans holding every term of weight / (1 + other words inside)."""
+def cover_density(places: Column, n_terms: Column) -> Column:
+    """Sum over minimal spans holding every term of weight / (1 + other words inside).
+
+    ``places`` are structs (pos, term), in order of pos, with terms numbered from 1. One fold over them
+    keeps the newest place of each term; the state is as long as the question.
+    """
+    nowhere = F.struct(F.lit(-1).alias("at"), F.lit(-1).alias("pos"))
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(-1).alias("covered"),
+        F.array_repeat(nowhere, n_terms.cast("int")).alias("newest"),
+        F.lit(0.0).alias("total"),
+    )
+
+    def step(state: Column, place: Column) -> Column:
+        here = F.struct(state["at"].alias("at"), place["pos"].cast("int").alias("pos"))
+        newest = F.transform(state["newest"], lambda old, i: F.when(i + 1 == place["term"], here).otherwise(old))
+
+        def closed(newest: Column) -> Column:
+            begin = F.array_min(newest)
+            opens = begin["at"] > state["covered"]  # no term is missing, and the span begins later than the last one
+            others = place["pos"] - begin["pos"] - (state["at"] - begin["at"])
+            return F.struct(
+                (state["at"] + 1).alias("at"),
+                F.when(opens, begin["at"]).otherwise(state["covered"]).alias("covered"),
+                newest.alias("newest"),
+                F.when(opens, state["total"] + F.lit(COVER_WEIGHT) / (1 + others)).otherwise(state["total"]).alias("total"),
+            )
+
+        return let(newest, closed)
 
-    def rank(words, wanted) -> float:
-        wanted = set(wanted)
-        places = [(i, w) for i, w in enumerate(words) if w in wanted]
-        newest: dict[str, int] = {}
-        total, covered_from = 0.0, -1
-        for at, (_, word) in enumerate(places):
-            newest[word] = at
-            if len(newest) < len(wanted):
-                continue
-            begin = min(newest.values())
-            if begin > covered_from:
-                covered_from = begin
-                span = places[at][0] - places[begin][0]
-                total += COVER_WEIGHT / (1 + span - (at - begin))
-        return total
+    return F.aggregate(places, start, step, lambda state: state["total"])
 
-    return pd.Series([rank(t, q) for t, q in zip(tokens, terms)], dtype="float64")
+
+def places_of(tokens: Column, terms: Column) -> Column:
+    """Where the terms stand among the tokens, as ``cover_density`` reads them."""
+    at = F.transform(tokens, lambda t, i: F.struct(i.alias("pos"), F.array_position(terms, t).cast("int").alias("term")))
+    return F.filter(at, lambda p: p["term"] > 0)
+
+
+def cover_of_tokens(tokens: Column, terms: Column) -> Column:
+    return cover_density(places_of(tokens, terms), F.size(terms))
 
 
 def lexical_topk(
     questions: DataFrame, chunks: DataFrame, k: int, rank: str = "cover", digits: int = 6
 ) -> DataFrame:
     """(question_id, chunk_id, score, rank): best k chunks per question, ties by chunk id."""
-    score = {"cover": cover_density, "tf": term_frequency}[rank]
+    score = {"cover": cover_of_tokens, "tf": term_frequency}[rank]
     scored = lexical_matches(questions, chunks).select(
         "question_id", "chunk_id", F.round(score(F.col("tokens"), F.col("terms")), digits).alias("score")
     )
@@ -124,3 +145,55 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
     """Rank by score; the limit is applied inside each task before the shuffle."""
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), "chunk_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
+def stored_postings(chunks: DataFrame) -> DataFrame:
+    """The inverted index as it is stored (``POSTINGS``), grouped inside each chunk's own row, without a shuffle."""
+    tokens = F.col("tokens")
+    term = F.explode(F.array_distinct(tokens)).alias("term")
+    positions = F.filter(F.transform(tokens, lambda t, i: F.when(t == F.col("term"), i + 1)), lambda i: i.isNotNull())
+    return chunks.select("chunk_id", "document_id", "tokens", term).select("term", "chunk_id", "document_id", positions.alias("positions"))
+
+
+def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
+    """(question_id, chunk_id, n_terms, places) of chunks that hold every term of a question, from stored postings.
+
+    The index is scanned, not shuffled: its rows meet the questions' vocabulary, then the rarest term of
+    each question, within the broadcast bound; what is left are rows of the questions' own terms. Candidates
+    of a question are the postings of its rarest term, each checked against the postings of the others.
+    """
+    terms = F.array_distinct(T.tokenize(T.normalize_query(F.col("question"))))
+    asked = questions.select("question_id", terms.alias("terms")).filter(F.size("terms") > 0)
+    words = materialize(
+        asked.select("question_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
+        .withColumn("i", F.col("i") + 1),
+        "question-terms",
+    )
+    vocabulary = broadcast_within_bound(words.select("term").distinct())
+    own = index.join(vocabulary, "term", "left_semi")
+    frequency = own.groupBy("term").agg(F.count("*").alias("n"))
+    rarest = (
+        words.join(frequency, "term", "left")
+        .groupBy("question_id")
+        .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), (-F.length("term")).alias("l"), "term")).alias("rarest"))
+        .filter("rarest.n > 0")
+        .select("question_id", F.col("rarest.term").alias("term"))
+    )
+    anchors = broadcast_within_bound(materialize(rarest, "anchors"))
+    candidates = index.select("term", "chunk_id").join(anchors, "term").select("question_id", "chunk_id")
+    wanted = materialize(candidates.join(words, "question_id"), "wanted")
+    held = own.join(broadcast_within_bound(wanted), ["term", "chunk_id"])
+    in_order = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("i").alias("term"))))))
+    return (
+        held.groupBy("question_id", "chunk_id")
+        .agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("n_held"), in_order.alias("places"))
+        .filter("n_held = n_terms")
+        .drop("n_held")
+    )
+
+
+def postings_topk(questions: DataFrame, index: DataFrame, k: int, rank: str = "cover", digits: int = 6) -> DataFrame:
+    """``lexical_topk`` over stored postings."""
+    score = cover_density(F.col("places"), F.col("n_terms")) if rank == "cover" else F.size("places").cast("double")
+    scored = postings_matches(questions, index).select("question_id", "chunk_id", F.round(score, digits).alias("score"))
+    return top_k(scored, k)

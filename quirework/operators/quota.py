@@ -10,7 +10,7 @@ history into one task:
 2. Neighbouring buckets are merged, ``FAN_IN`` at a time, until one node spans the log; a
    node keeps only starts within one window of its beginning.
 3. Going down again, each node tells its children the earliest time a window may open.
-4. Every bucket then lists its own window starts, and requests are ranked per window.
+4. Every bucket then lists its own window starts; a window's first requests are found by partial ranks.
 
 A key with a third of all rows is spread over its buckets in every step.
 """
@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from quirework.functions.common import broadcast_within_bound, materialize
+from quirework.functions.common import broadcast_within_bound, fits_broadcast, materialize
 
 # Allowed requests and window length.
 LIMIT = 10
@@ -120,22 +120,43 @@ def mark_quota(
         )
 
     slot = F.pmod(F.xxhash64("key"), F.lit(slots)).alias("slot")
-    placed = light.groupBy(slot).applyInPandas(mark_slot, schema)
+    placed = light.groupBy(slot).applyInPandas(mark_slot, schema).withColumn("allowed", F.col("turn") <= limit).drop("turn")
     if sizes["heavy_keys"]:
         heavy = timed.join(heavy_keys, "key", "left_semi")
-        turn = Window.partitionBy("key", "opened").orderBy("t", "event_id")
-        chained = _place_heavy(heavy, window, bucket_windows, fan_in)
-        placed = placed.unionByName(chained.withColumn("turn", F.row_number().over(turn).cast("bigint")))
-    allowed = F.col("turn") <= limit
+        chained = materialize(_place_heavy(heavy, window, bucket_windows, fan_in), "quota-placed")
+        placed = placed.unionByName(_first_of_windows(chained, limit))
+    allowed = F.col("allowed")
     return placed.select(
         "key",
         "event_id",
         F.timestamp_micros("t").alias("ts"),
-        allowed.alias("allowed"),
+        allowed,
         F.when(~allowed, (F.lit(window) - (F.col("t") - F.col("opened"))) / 1e6).alias("retry_after"),
     )
 
 
+def _first_of_windows(chained: DataFrame, limit: int, salts: int = 16) -> DataFrame:
+    """Add ``allowed`` to rows with the start of their window: the first ``limit`` of each.
+
+    No task ranks a window. The rank limit works inside each map task before the shuffle, so a window
+    sends at most ``limit`` rows per task; the last of the first ``limit`` then decides every row by a
+    comparison. Rows of one window are spread over salts where the windows are too many to broadcast.
+    """
+    turn = Window.partitionBy("key", "opened").orderBy("t", "event_id")
+    firsts = chained.withColumn("turn", F.row_number().over(turn)).filter(F.col("turn") <= limit)
+    last = materialize(
+        firsts.groupBy("key", "opened").agg(F.max(F.struct("t", "event_id")).alias("last"), F.count("*").alias("n")), "quota-last"
+    )
+    if fits_broadcast(last):
+        joined = chained.join(F.broadcast(last), ["key", "opened"])
+    else:
+        copies = last.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        salted = chained.withColumn("salt", F.pmod(F.xxhash64("event_id", "t"), F.lit(salts)).cast("int"))
+        joined = salted.join(copies, ["key", "opened", "salt"])
+    within = (F.col("n") < limit) | (F.struct("t", "event_id") <= F.col("last"))
+    return joined.select("key", "event_id", "t", "opened", within.alias("allowed"))
+
+
 def _place_heavy(timed: DataFrame, window: int, bucket_windows: int, fan_in: int) -> DataFrame:
     """Add ``opened``, the start of the window each request falls into."""
     width = window * bucket_windows

@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from quirework.functions import text as T
 from quirework.functions.common import BROADCAST_MAX_ROWS, fits_broadcast, materialize
 from quirework.operators.dense import dense_topk
-from quirework.operators.lexical import lexical_topk, top_k
+from quirework.operators.lexical import lexical_topk, postings_topk, top_k
+from quirework.operators.refusals import split_unmapped, unmapped_codes
 
 # Candidates per question, and the constant of reciprocal-rank fusion.
 CANDIDATES = 20
@@ -59,6 +60,11 @@ def hits_fit(questions: DataFrame, k: int) -> bool:
     return fits_broadcast(questions.select("question_id"), max_rows=BROADCAST_MAX_ROWS // k)
 
 
+def refused_questions(questions: DataFrame) -> DataFrame:
+    """(question_id, codes) of questions that ``retrieve`` doesn't search for: private-use codes without a repair."""
+    return unmapped_codes(questions, "question_id", ["question"])
+
+
 def retrieve(
     questions: DataFrame,
     chunks: DataFrame,
@@ -66,20 +72,22 @@ def retrieve(
     embedder,
     k: int = CANDIDATES,
     lexical_rank: str = "cover",
+    index: DataFrame | None = None,
 ) -> DataFrame:
-    """Passages for every question; ``chunks`` carries content and embedding.
+    """Passages for every question; ``chunks`` carries content and embedding, ``index`` the stored postings.
 
     No status or edition filter belongs here: promotion removed what must not be found.
-    Embedded questions are written once, so the model sees each of them once.
+    Embedded questions are written once, so the model sees each of them once. Questions with a code
+    that no repair maps are refused before any search: ``refused_questions`` has them as rows.
     """
+    clean, _ = split_unmapped(questions.select("question_id", "question"), "question_id", ["question"])
     asked = materialize(
-        questions.select("question_id", "question")
-        .withColumn("normalized", T.normalize_query(F.col("question")))
+        clean.withColumn("normalized", T.normalize_query(F.col("question")))
         .filter(F.col("normalized") != "")
         .withColumn("embedding", embedder(T.tokenize(F.col("normalized")))),
         "questions",
     )
     dense = dense_topk(asked, chunks, k)
-    lexical = lexical_topk(asked, chunks, k, lexical_rank)
+    lexical = lexical_topk(asked, chunks, k, lexical_rank) if index is None else postings_topk(asked, index, k, lexical_rank)
     fused = reciprocal_rank_fusion([dense, lexical], k)
     return hydrate(fused, chunks, documents, hits_fit(questions, k))

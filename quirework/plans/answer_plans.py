@@ -3,12 +3,13 @@
 from pyspark.sql import Window, functions as F
 
 from quirework.functions import pii as G, replies as R, text as T
-from quirework.operators import answers as A, evaluation as E
+from quirework.operators import answers as A, evaluation as E, rerank as K
 from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
 
 _INSTRUCTIONS = "Use only the excerpts."
 _JUDGE = "Check every claim."
+_KEEP = 0.1
 
 _CHECK_DIGIT = (
     "(11 - CAST(list_sum(list_transform(range(12), lambda i: CAST(substr({d}, CAST(i AS INTEGER) + 1, 1) AS INTEGER) "
@@ -32,7 +33,7 @@ def _kinds_sql(x: str) -> str:
 
 # an identity number with a right or wrong check digit, or a phone number, follows each text
 _MARKED_SQL = (
-    "text || CASE doc_id % 3 WHEN 2 THEN ' call 081-234-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') "
+    "text || CASE doc_id % 3 WHEN 2 THEN ' call 02-555-' || lpad(CAST(doc_id % 10000 AS VARCHAR), 4, '0') "
     "ELSE ' id ' || CAST(100000000000 + doc_id * 7919 AS VARCHAR) || '-' || CAST(("
     + _CHECK_DIGIT.format(d="CAST(100000000000 + doc_id * 7919 AS VARCHAR)")
     + " + doc_id % 3) % 10 AS VARCHAR) END || '.'"
@@ -72,7 +73,7 @@ def pii_marked_documents(spark, sf_dir):
     key = F.col("doc_id")
     twelve = (F.lit(100000000000) + key * 7919).cast("string")
     check = ((G.id_check_digit(twelve) + key % 3) % 10).cast("int").cast("string")
-    phone = F.concat(F.lit(" call 081-234-"), F.lpad((key % 10000).cast("string"), 4, "0"))
+    phone = F.concat(F.lit(" call 02-555-"), F.lpad((key % 10000).cast("string"), 4, "0"))
     number = F.concat(F.lit(" id "), twelve, F.lit("-"), check)
     for k, digits in _SCRIPTS.items():
         number = F.when(key % 5 == k, F.translate(number, "0123456789", digits)).otherwise(number)
@@ -90,19 +91,24 @@ def pii_conversations(spark, sf_dir):
     return talk.select("conv_id", "turn", F.array_join(G.find_pii(F.col("text")), ",").alias("kinds"))
 
 
-# -- questions are user turns, passages the first five turns, replies the assistant turn after
+# -- questions are user turns, passages the best of all other turns by shared words, replies the assistant turn after
 
 _GOOD_REPLY = "CAST(to_json({'answer': c.text, 'citations': [1]}) AS VARCHAR)"
 
 _TALK = f"""
 questions AS (
-  SELECT conv_id * 1000 + turn AS question_id, conv_id, turn,
-         text || CASE WHEN (conv_id + turn) % 9 = 0 THEN ' call 081-234-5678' ELSE '' END AS question
+  SELECT conv_id || '/' || turn AS question_id, conv_id, turn,
+         text || CASE WHEN (conv_id + turn) % 9 = 0 THEN ' call 02-555-0142' ELSE '' END AS question
   FROM conversations WHERE role = 'user'),
+candidates AS (
+  SELECT q.question_id, c.text AS content, CASE WHEN c.role <> 'user' THEN c.role END AS section,
+         row_number() OVER (PARTITION BY q.question_id ORDER BY c.turn, c.role) AS rank,
+         coalesce(round(len(list_intersect(list_distinct({X.sql_tokens('q.question')}), {X.sql_tokens('c.text')}))
+           / nullif(len(list_distinct({X.sql_tokens('q.question')})), 0), 6), 0) AS score
+  FROM questions q JOIN conversations c ON c.conv_id = q.conv_id AND c.turn <> q.turn),
 kept AS (
-  SELECT q.question_id, CAST(row_number() OVER (PARTITION BY q.question_id ORDER BY c.turn, c.role) AS INTEGER) AS number,
-         c.text AS content, CASE WHEN c.role <> 'user' THEN c.role END AS section
-  FROM questions q JOIN conversations c USING (conv_id) QUALIFY number <= 5),
+  SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY score DESC, rank) AS INTEGER) AS number
+  FROM candidates WHERE score >= {_KEEP} QUALIFY number <= 5),
 sizes AS (SELECT question_id, count(*) AS n_passages FROM kept GROUP BY 1),
 attempts AS (
   SELECT q.question_id, a.attempt, n_passages,
@@ -156,12 +162,12 @@ answers AS (
 
 
 def questions(spark, sf_dir):
-    number = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, " call 081-234-5678").otherwise("")
+    number = F.when((F.col("conv_id") + F.col("turn")) % 9 == 0, " call 02-555-0142").otherwise("")
     return (
         X.load(spark, sf_dir, "conversations")
         .filter("role = 'user'")
         .select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"),
+            F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("question_id"),
             "conv_id",
             "turn",
             F.concat("text", number).alias("question"),
@@ -170,23 +176,23 @@ def questions(spark, sf_dir):
 
 
 def kept_passages(spark, sf_dir):
-    """The first five turns of the question's conversation stand for reranked passages."""
+    """All other turns of the question's conversation are candidates; reranking keeps the best five."""
     talk = X.load(spark, sf_dir, "conversations").withColumnRenamed("turn", "at")
-    asked = questions(spark, sf_dir).select("question_id", "conv_id")
+    asked = questions(spark, sf_dir)
     order = Window.partitionBy("question_id").orderBy("at", "role")
-    return (
-        asked.join(talk, "conv_id")
-        .withColumn("number", F.row_number().over(order))
-        .filter("number <= 5")
+    candidates = (
+        asked.select("question_id", "conv_id", "turn")
+        .join(talk, "conv_id")
+        .filter("at <> turn")
         .select(
             "question_id",
-            "number",
+            F.row_number().over(order).alias("rank"),
             F.concat_ws("-", F.col("conv_id").cast("string"), F.col("at").cast("string")).alias("chunk_id"),
             F.when(F.col("role") != "user", F.col("role")).alias("section"),
             F.col("text").alias("content"),
-            (1 / (1 + F.col("at"))).alias("score"),
         )
     )
+    return K.rerank(K.score_passages(candidates, asked), _KEEP).drop("rank")
 
 
 def attempts(spark, sf_dir):
@@ -453,37 +459,59 @@ def attack_summary(spark, sf_dir):
     return E.attack_summary(attack_results(spark, sf_dir))
 
 
-def _chat(prompt):
-    """A stand-in model: unreadable for some prompts, without citations for others."""
-    digit = F.substring(F.md5(prompt), 1, 1)
-    numbers = F.when(digit < "6", F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
-    reply = F.to_json(F.struct(F.concat(F.lit("see "), F.md5(prompt)).alias("answer"), numbers.alias("citations")))
-    return F.when(digit < "3", "no json").otherwise(reply)
+def _chat(prompt, attempt):
+    """A stand-in model that answers anew at each attempt: unreadable at times, or without citations."""
+    seen = F.md5(F.concat(prompt, attempt.cast("string")))
+    numbers = F.when(seen < "6", F.array().cast("array<int>")).otherwise(F.array(F.lit(1)))
+    reply = F.to_json(F.struct(F.concat(F.lit("see "), seen).alias("answer"), numbers.alias("citations")))
+    return F.when(seen < "3", "no json").otherwise(reply)
+
 
+def _judge(prompt, attempt):
+    seen = F.md5(prompt)
+    return F.when(seen < "4", '{"grounded": false}').otherwise('{"unsupported": [], "grounded": true}')
 
-def _judge(prompt):
-    digit = F.substring(F.md5(prompt), 1, 1)
-    return F.when(digit < "4", '{"grounded": false}').otherwise('{"unsupported": [], "grounded": true}')
+
+# the first attempt that is neither unreadable nor ungrounded decides
+_ANSWERED = f"""WITH {_TALK},
+p AS (
+  SELECT question_id, any_value(question) AS question, '{_INSTRUCTIONS}' || chr(10) || chr(10) ||
+         string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY number) || chr(10) || chr(10) || 'Question: ' || any_value(question) AS prompt,
+         max({_BLOCK}) FILTER (WHERE number = 1) AS first_block
+  FROM kept JOIN questions USING (question_id) GROUP BY 1),
+c AS (SELECT *, md5(prompt || a.attempt) AS h FROM p, (VALUES (1), (2)) a(attempt)),
+j AS (
+  SELECT *, md5('{_JUDGE}' || chr(10) || chr(10) || first_block || chr(10) || chr(10) || 'Question: ' || question
+                || chr(10) || chr(10) || 'Answer: see ' || h) AS jh FROM c),
+d AS (
+  SELECT question_id, h, CASE WHEN h < '6' THEN 'refused' WHEN {_kinds_sql("'see ' || h")} <> '' THEN 'pii' ELSE 'answered' END AS state
+  FROM j WHERE h >= '3' AND (h < '6' OR jh >= '4') QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY attempt) = 1),
+s AS (
+  SELECT q.question_id, h, CASE WHEN {_kinds_sql('q.question')} <> '' THEN 'pii' ELSE coalesce(d.state, 'refused') END AS state
+  FROM questions q LEFT JOIN d USING (question_id))"""
 
 
 @query(
     "answer_questions",
-    f"WITH {_TALK}, p AS (SELECT question_id, any_value(question) AS question, '{_INSTRUCTIONS}' || chr(10) || chr(10) || "
-    f"string_agg({_BLOCK}, chr(10) || chr(10) ORDER BY number) || chr(10) || chr(10) || 'Question: ' || any_value(question) AS prompt, "
-    f"max({_BLOCK}) FILTER (WHERE number = 1) AS first_block FROM kept JOIN questions USING (question_id) GROUP BY 1), "
-    "c AS (SELECT *, md5(prompt) AS h FROM p), "
-    f"j AS (SELECT *, md5('{_JUDGE}' || chr(10) || chr(10) || first_block || chr(10) || chr(10) || 'Question: ' || question "
-    "|| chr(10) || chr(10) || 'Answer: see ' || h) AS jh FROM c), "
-    "s AS (SELECT q.question_id, "
-    f"CASE WHEN {_kinds_sql('q.question')} <> '' THEN 'pii' WHEN h < '3' THEN 'refused' WHEN h < '6' THEN 'refused' WHEN jh < '4' THEN 'refused' "
-    f"WHEN {_kinds_sql("'see ' || h")} <> '' THEN 'pii' ELSE 'answered' END AS state, h FROM questions q JOIN j USING (question_id)) "
-    "SELECT question_id, state, CASE state WHEN 'answered' THEN 'see ' || h "
+    f"{_ANSWERED} SELECT question_id, state, CASE state WHEN 'answered' THEN 'see ' || h "
     f"WHEN 'pii' THEN '{R.PII_REFUSAL_TEXT}' ELSE '{R.REFUSAL_TEXT}' END AS text, "
     "CASE state WHEN 'answered' THEN '1' ELSE '' END AS citations FROM s",
 )
 def answer_questions(spark, sf_dir):
-    """Two rounds of asking, checking and deciding with stand-in models."""
+    """Two rounds of asking, checking and deciding with stand-in models; a second attempt may mend the first."""
     served = A.answer(
         questions(spark, sf_dir), kept_passages(spark, sf_dir), _chat, _judge, _INSTRUCTIONS, _JUDGE
     )
     return served.select("question_id", "state", "text", _joined(F.col("citations")).alias("citations"))
+
+
+@query(
+    "answer_baseline",
+    f"{_ANSWERED.replace("(h < '6' OR jh >= '4')", 'true')} SELECT count(*) AS n, count(*) FILTER (WHERE state = 'answered') AS n_answered FROM s",
+)
+def answer_baseline(spark, sf_dir):
+    """How many questions would be answered if the judge let everything pass."""
+    served = A.answer(
+        questions(spark, sf_dir), kept_passages(spark, sf_dir), _chat, A.approve_all, _INSTRUCTIONS, _JUDGE
+    )
+    return served.agg(F.count("*").alias("n"), F.count_if(F.col("state") == "answered").alias("n_answered"))

@@ -64,7 +64,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages of three lines under a running header, with a page number at the foot and a
     dot leader after the header's title."""
-    docs = documents(spark, sf_dir)
+    return pages_of(documents(spark, sf_dir))
+
+
+def pages_of(docs: DataFrame) -> DataFrame:
     cut = paginate(docs, LINES_PER_PAGE).join(docs.select("document_id", "source"), "document_id")
     number = F.col("page_number").cast("string")
     return cut.select(
@@ -108,11 +111,14 @@ running AS (
   JOIN page_totals USING (document_id) WHERE pages_seen >= n_pages * 0.5)"""
 
 
+def with_codes(text: "F.Column") -> "F.Column":
+    """Accented letters as private-use codes, some of them unmapped."""
+    return F.translate(text, "éèóñäí", "\uf70a\uf710\uf707\uf718\uf061\uf71a")
+
+
 def pua_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose accented letters are stored as private-use codes, some of them unmapped."""
-    letters = "éèóñäí"
-    codes = "\uf70a\uf710\uf707\uf718\uf061\uf71a"
-    return pages(spark, sf_dir).withColumn("raw_text", F.translate("raw_text", letters, codes))
+    """Pages whose accented letters are stored as private-use codes."""
+    return pages(spark, sf_dir).withColumn("raw_text", with_codes(F.col("raw_text")))
 
 
 PUA_SQL = "translate({x}, 'éèóñäí', chr(63242) || chr(63248) || chr(63239) || chr(63256) || chr(61537) || chr(63258))"
@@ -120,7 +126,10 @@ PUA_SQL = "translate({x}, 'éèóñäí', chr(63242) || chr(63248) || chr(63239)
 
 def registry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as registered volumes with an edition year, scopes and a status."""
-    d = load(spark, sf_dir, "documents")
+    return registry_of(load(spark, sf_dir, "documents"))
+
+
+def registry_of(d: DataFrame) -> DataFrame:
     lang, key = F.col("lang"), F.col("doc_id")
     other = F.concat(F.lit("src"), ((key * 3) % 20).cast("string"), F.lit("-"), lang)
     return d.select(
@@ -162,14 +171,15 @@ def line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = lines.filter(~T.is_blank(F.col("line")))
     return keep_first_copies(
         lines.select(
-            (F.col("document_id") * 100000 + F.col("n")).alias("chunk_id"),
+            F.concat_ws("/", F.col("document_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"),
             "document_id",
+            "n",
             (F.floor(F.col("n") / LINES_PER_PAGE) + 1).cast("int").alias("page_number"),
             F.when(F.col("n") % 2 == 1, "odd line").alias("section"),
             T.collapse_whitespace(F.col("line")).alias("content"),
         ).withColumn("content_sha256", T.sha256(F.col("content"))),
-        ["chunk_id"],
-    )
+        ["n"],
+    ).drop("n")
 
 
 CHUNKS_CTE = """
@@ -177,7 +187,7 @@ chunk_lines AS (
   SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 chunks AS (
-  SELECT document_id * 100000 + n AS chunk_id, document_id, CAST(n // 3 + 1 AS INTEGER) AS page_number,
+  SELECT document_id || '/' || n AS chunk_id, document_id, CAST(n // 3 + 1 AS INTEGER) AS page_number,
          CASE WHEN n % 2 = 1 THEN 'odd line' END AS section, content, sha256(content) AS content_sha256
   FROM (SELECT document_id, n, """ + sql_collapse("line") + """ AS content FROM chunk_lines)
   WHERE content <> ''
@@ -189,13 +199,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         load(spark, sf_dir, "benchmark")
         .select("item_id", F.posexplode(F.split("text", r"\.\s+", -1)).alias("n", "question"))
-        .select((F.col("item_id") * 1000 + F.col("n")).alias("question_id"), "question")
+        .select(F.concat_ws("/", F.col("item_id").cast("string"), F.col("n").cast("string")).alias("question_id"), "question")
     )
 
 
 QUESTIONS_CTE = """
 questions AS (
-  SELECT item_id * 1000 + generate_subscripts(string_split_regex(text, '\\.\\s+'), 1) - 1 AS question_id,
+  SELECT item_id || '/' || (generate_subscripts(string_split_regex(text, '\\.\\s+'), 1) - 1) AS question_id,
          unnest(string_split_regex(text, '\\.\\s+')) AS question
   FROM benchmark)"""
 

@@ -33,12 +33,16 @@ markdown AS (
          coalesce(string_agg(CASE WHEN k = 1 THEN line || chr(10) || rule ELSE line END, chr(10) ORDER BY k), '') AS markdown
   FROM documents d LEFT JOIN rendered ON document_id = doc_id GROUP BY 1)"""
 
-# rows are walked one by one, carrying the part number and the characters used in it
-_PARTS = f"""{_MARKDOWN},
+MARKDOWN_CTE = _MARKDOWN
+
+
+def parts_cte(size: int) -> str:
+    """Parts of every document's grid; rows are walked one by one, carrying the part number and the characters used in it."""
+    return f"""{_MARKDOWN},
 heads AS (
   SELECT document_id, markdown, string_split(markdown, chr(10)) AS lines,
-         {_MAX} - len(string_split(markdown, chr(10))[1]) - len(string_split(markdown, chr(10))[2]) - 2 AS budget
-  FROM markdown WHERE len(markdown) > {_MAX}),
+         {size} - len(string_split(markdown, chr(10))[1]) - len(string_split(markdown, chr(10))[2]) - 2 AS budget
+  FROM markdown WHERE len(markdown) > {size}),
 walk AS (
   SELECT document_id, 3 AS i, 1 AS part, len(lines[3]) + 1 AS used FROM heads WHERE len(lines) >= 3
   UNION ALL
@@ -51,7 +55,10 @@ parts AS (
   SELECT document_id, part, any_value(h.lines[1]) || chr(10) || any_value(h.lines[2]) || chr(10)
          || string_agg(h.lines[i], chr(10) ORDER BY i) AS content
   FROM walk JOIN heads h USING (document_id) GROUP BY 1, 2
-  UNION ALL SELECT document_id, 1, markdown FROM markdown WHERE markdown <> '' AND len(markdown) <= {_MAX})"""
+  UNION ALL SELECT document_id, 1, markdown FROM markdown WHERE markdown <> '' AND len(markdown) <= {size})"""
+
+
+_PARTS = parts_cte(_MAX)
 
 
 @query("cells_markdown", f"WITH {_MARKDOWN} SELECT document_id, markdown FROM markdown")
@@ -181,7 +188,7 @@ def section_asof(spark, sf_dir):
 # pieces are stretches of the text: lines, then words of long lines, then letters of long words;
 # a run of short pieces is cut by its running lengths, each cut starting inside the former one
 _SIZE, _OVERLAP = 600, 60
-_PROSE = f"""WITH RECURSIVE
+_PROSE_CTE = f"""
 p1 AS (
   SELECT doc_id, n, len(line) + CASE WHEN n > 1 THEN 1 ELSE 0 END AS size FROM (
     SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
@@ -209,11 +216,17 @@ cuts AS (
     SELECT doc_id, p, len(list_filter(p, lambda x: x < p[e] - least({_OVERLAP}, {_SIZE} - (p[e + 1] - p[e])))) + 1 AS j
     FROM cuts WHERE e < len(p))),
 chunks AS (
-  SELECT doc_id, p[i] AS start, {X.sql_strip('substr(text, p[i] + 1, p[e] - p[i])')} AS content FROM cuts JOIN documents USING (doc_id))
+  SELECT doc_id, p[i] AS start, {X.sql_strip('substr(text, p[i] + 1, p[e] - p[i])')} AS content FROM cuts JOIN documents USING (doc_id))"""
+_PROSE = f"""WITH RECURSIVE {_PROSE_CTE}
 SELECT doc_id AS document_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS part, content
 FROM chunks WHERE content <> ''"""
 
 
+def prose_cte(source: str) -> str:
+    """``chunks (doc_id, start, content)`` of the texts of a relation (doc_id, text), cut at 600 characters with an overlap of 60."""
+    return _PROSE_CTE.replace("documents", source)
+
+
 @query("prose_chunks", _PROSE)
 def prose_chunks(spark, sf_dir):
     """Whole document texts cut at 600 characters with an overlap of 60."""

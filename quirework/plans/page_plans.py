@@ -8,7 +8,7 @@ from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
 
 # one dropped-line rule after another, per line: the reading the Spark expressions must match
-_STRIPPED = X.RUNNING_CTE + """,
+STRIPPED_CTE = X.RUNNING_CTE + """,
 edge AS (SELECT document_id, page_number, n FROM filled WHERE a <= 3 OR d <= 3),
 kept AS (
   SELECT l.* FROM page_lines l
@@ -21,7 +21,7 @@ stripped AS (
   GROUP BY 1, 2)"""
 
 
-def _furniture(source: str, column: str) -> str:
+def furniture_cte(source: str, column: str) -> str:
     return f""",
 f_lines AS (
   SELECT document_id, page_number, regexp_replace(unnest(string_split({column}, chr(10))), '\\s*\\.{{3,}}\\s*[0-9]*\\s*$', '') AS line,
@@ -83,7 +83,7 @@ def running_lines(spark, sf_dir):
     return P.running_lines(X.pages(spark, sf_dir))
 
 
-@query("strip_running_lines", f"WITH {_STRIPPED} SELECT document_id, page_number, text FROM stripped")
+@query("strip_running_lines", f"WITH {STRIPPED_CTE} SELECT document_id, page_number, text FROM stripped")
 def strip_running_lines(spark, sf_dir):
     pages = X.pages(spark, sf_dir)
     keys = P.running_keys_by_document(P.running_lines(pages))
@@ -96,17 +96,17 @@ def strip_running_lines(spark, sf_dir):
 
 @query(
     "page_furniture",
-    f"WITH {X.PAGES_CTE} {_furniture('doc_pages', 'raw_text')} SELECT document_id, page_number, text FROM f_text",
+    f"WITH {X.PAGES_CTE} {furniture_cte('doc_pages', 'raw_text')} SELECT document_id, page_number, text FROM f_text",
 )
-def page_furniture(spark, sf_dir):
+def pagefurniture_cte(spark, sf_dir):
     return X.pages(spark, sf_dir).select(
-        "document_id", "page_number", T.strip_page_furniture(F.col("raw_text")).alias("text")
+        "document_id", "page_number", T.strip_pagefurniture_cte(F.col("raw_text")).alias("text")
     )
 
 
 @query(
     "normalize_pages",
-    f"WITH {_STRIPPED} {_furniture('stripped', 'text')} SELECT document_id, page_number, "
+    f"WITH {STRIPPED_CTE} {furniture_cte('stripped', 'text')} SELECT document_id, page_number, "
     f"{X.sql_collapse('text')} AS text FROM f_text",
 )
 def normalize_pages(spark, sf_dir):

@@ -349,7 +349,7 @@ def constraint_violations(spark, sf_dir):
 # every line is a passage here, repeated lines included; vectors come from the embeddings table
 _RAW = """
 raw AS (
-  SELECT c.document_id * 100000 + n AS chunk_id, c.document_id, sha256(line) AS content_sha256, e.embedding
+  SELECT c.document_id || '/' || n AS chunk_id, c.document_id, sha256(line) AS content_sha256, e.embedding
   FROM (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS line,
                generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents) c
   LEFT JOIN embeddings e ON e.vec_id = c.document_id),
@@ -367,7 +367,7 @@ def raw_chunks(spark, sf_dir):
         "document_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line")
     )
     return lines.select(
-        (F.col("document_id") * 100000 + F.col("n")).alias("chunk_id"),
+        F.concat_ws("/", F.col("document_id").cast("string"), F.col("n").cast("string")).alias("chunk_id"),
         "document_id",
         F.sha2("line", 256).alias("content_sha256"),
     ).join(vectors, "document_id", "left")

@@ -1,13 +1,16 @@
 """Lexical, dense and hybrid retrieval, and reranking."""
 
-from pyspark.sql import functions as F
+from functools import cache
+
+from pyspark.sql import SparkSession, functions as F
 
 from quirework.functions import vectors as V
-from quirework.functions.common import materialize
+from quirework.functions.common import materialize, scratch_path
 from quirework.operators import chunks as C, dense as D, lexical as L, rerank as K, retrieval as H
 from quirework.operators.supersede import searchable_chunks
 from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
+from quirework.sources import versions as S
 
 _K = H.CANDIDATES
 
@@ -49,13 +52,42 @@ lexical AS (
   FROM cover_scores QUALIFY rank <= {_K})"""
 
 
+_CHUNKS = "chunk_id string, document_id long, page_number int, section string, content string, content_sha256 string, tokens array<string>, embedding array<float>"
+_POSTINGS = L.POSTINGS.replace("document_id string", "document_id long")
+_ALL, _LIVE = 1, None
+
+
+@cache
+def _kept_store(application: str, sf_dir: str) -> str:
+    """Passages with tokens, vectors and postings, written once per session: the first generation holds
+    all, the second drops those of documents that are not active, later ones merge the deltas."""
+    spark = SparkSession.active()
+    root = scratch_path(spark, "search-store")
+    chunks = materialize(C.embed_chunks(X.line_chunks(spark, sf_dir), V.hashing_embedder(X.DIMENSION), X.DIMENSION), "chunks")
+    columns = chunks.select(*(f.split()[0] for f in _CHUNKS.split(", ")))
+    gone = X.registry(spark, sf_dir).filter("status <> 'active'").select("document_id")
+    S.publish(spark, root, {"chunks": S.Change(columns), "postings": S.Change(L.stored_postings(columns))})
+    S.publish(spark, root, {"chunks": S.Change(removed=gone), "postings": S.Change(removed=gone)})
+    S.compact(spark, root, "chunks", _CHUNKS, most=1)
+    S.compact(spark, root, "postings", _POSTINGS, cluster=[F.col("term"), F.col("chunk_id")], most=1)
+    return root
+
+
+def stored(spark, sf_dir, table, generation):
+    root = _kept_store(spark.sparkContext.applicationId, sf_dir)
+    return S.read(spark, root, table, {"chunks": _CHUNKS, "postings": _POSTINGS}[table], generation=generation)
+
+
 @query(
     "postings",
     f"WITH {_LEXICAL} SELECT token, chunk_id, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions "
     "FROM words GROUP BY ALL",
 )
 def postings(spark, sf_dir):
-    return L.postings(X.line_chunks(spark, sf_dir)).withColumn("positions", F.array_join("positions", ","))
+    """The stored inverted index of all passages."""
+    return stored(spark, sf_dir, "postings", _ALL).select(
+        F.col("term").alias("token"), "chunk_id", F.size("positions").cast("bigint").alias("tf"), F.array_join("positions", ",").alias("positions")
+    )
 
 
 @query(
@@ -65,11 +97,17 @@ def postings(spark, sf_dir):
     f"FROM matched QUALIFY rank <= {_K}",
 )
 def lexical_topk(spark, sf_dir):
-    return L.lexical_topk(X.questions(spark, sf_dir), X.line_chunks(spark, sf_dir), _K, rank="tf")
+    return L.postings_topk(X.questions(spark, sf_dir), stored(spark, sf_dir, "postings", _ALL), _K, rank="tf")
 
 
 @query("lexical_cover_topk", f"WITH {_COVER} SELECT * FROM lexical")
 def lexical_cover_topk(spark, sf_dir):
+    return L.postings_topk(X.questions(spark, sf_dir), stored(spark, sf_dir, "postings", _ALL), _K)
+
+
+@query("lexical_scan_topk", f"WITH {_COVER} SELECT * FROM lexical")
+def lexical_scan_topk(spark, sf_dir):
+    """The same search without an index: passages are read, and questions meet them by their rarest term."""
     return L.lexical_topk(X.questions(spark, sf_dir), X.line_chunks(spark, sf_dir), _K)
 
 
@@ -124,19 +162,13 @@ def rrf_fuse(spark, sf_dir):
     "embed_chunks",
     f"WITH {X.CHUNKS_CTE}, w AS (SELECT chunk_id, unnest({X.sql_tokens('content')}) AS token FROM chunks), "
     "s AS (SELECT chunk_id, CAST('0x' || substr(md5(token), 1, 6) AS INTEGER) % 64 AS slot, count(*) AS n FROM w GROUP BY ALL) "
-    "SELECT chunk_id, 64 AS dimension, CAST(coalesce(sum(n), 0) AS BIGINT) AS mass, "
-    "CAST(coalesce(sum(n * (slot + 1)), 0) AS BIGINT) AS moment FROM chunks LEFT JOIN s USING (chunk_id) GROUP BY 1",
+    "SELECT chunk_id, string_agg(CAST(coalesce(n, 0) AS VARCHAR), ',' ORDER BY g.slot) AS vector "
+    "FROM chunks CROSS JOIN (SELECT unnest(range(64)) AS slot) g LEFT JOIN s USING (chunk_id, slot) GROUP BY 1",
 )
 def embed_chunks(spark, sf_dir):
     vectors = C.embed_chunks(X.line_chunks(spark, sf_dir), V.hashing_embedder(X.DIMENSION), X.DIMENSION)
-    weighted = F.transform("embedding", lambda x, i: x * (i + 1))
-    total = lambda column: F.aggregate(column, F.lit(0.0), lambda acc, x: acc + x.cast("double"))
-    return vectors.select(
-        "chunk_id",
-        F.size("embedding").alias("dimension"),
-        total(F.col("embedding")).cast("bigint").alias("mass"),
-        total(weighted).cast("bigint").alias("moment"),
-    )
+    whole = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return vectors.select("chunk_id", F.array_join(whole, ",").alias("vector"))
 
 
 @query(
@@ -185,17 +217,12 @@ passages AS (
   FROM hits h JOIN live c USING (chunk_id) JOIN registry r ON r.document_id = c.document_id)"""
 
 
-def searchable(spark, sf_dir):
-    """The stored passage table of active documents with their vectors, and the registry."""
-    registry = X.registry(spark, sf_dir)
-    chunks = searchable_chunks(X.line_chunks(spark, sf_dir), registry)
-    embedded = C.embed_chunks(chunks, V.hashing_embedder(X.DIMENSION), X.DIMENSION)
-    return materialize(embedded, "chunks"), registry
-
-
 def hybrid(spark, sf_dir):
-    chunks, registry = searchable(spark, sf_dir)
-    return H.retrieve(X.questions(spark, sf_dir), chunks, registry, V.hashing_embedder(X.DIMENSION))
+    """Questions against what is stored of active documents: passages, vectors and postings."""
+    chunks, index = (stored(spark, sf_dir, table, _LIVE) for table in ("chunks", "postings"))
+    return H.retrieve(
+        X.questions(spark, sf_dir), chunks, X.registry(spark, sf_dir), V.hashing_embedder(X.DIMENSION), index=index
+    )
 
 
 @query("hybrid_retrieve", f"{_HYBRID} SELECT * FROM passages")
@@ -212,7 +239,8 @@ def hybrid_retrieve(spark, sf_dir):
 def hydrate_dropped_chunks(spark, sf_dir):
     """Hits found before a promotion: those whose passage is gone vanish, ranks stay."""
     chunks, registry = X.line_chunks(spark, sf_dir), X.registry(spark, sf_dir)
-    hits = L.lexical_topk(X.questions(spark, sf_dir), chunks, _K).withColumnRenamed("score", "fusion_score")
+    index = stored(spark, sf_dir, "postings", _ALL)
+    hits = L.postings_topk(X.questions(spark, sf_dir), index, _K).withColumnRenamed("score", "fusion_score")
     left = H.hydrate(hits, searchable_chunks(chunks, registry), registry)
     return left.select("question_id", "rank", "chunk_id", "document_id", "page_number", "title_th")
 

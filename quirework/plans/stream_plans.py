@@ -1,26 +1,23 @@
-"""Request quotas in batch and as a stream, and continuous ingestion."""
+"""Request quotas in batch and as a stream."""
 
 from pyspark.sql import functions as F
 
-from quirework.functions import text as T
-from quirework.functions.common import scratch_path
-from quirework.operators.chunks import keep_first_copies
+from quirework.functions.common import materialize, scratch_path
 from quirework.operators.quota import mark_quota
 from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
-from quirework.streaming.ingest_stream import ingest_stream
-from quirework.streaming.quota_stream import mark_quota_stream
+from quirework.streaming.quota_stream import ROCKS_DB, STATE_STORE, mark_quota_stream
 
 _LIMIT, _DAY = 3, 86_400
 
 # windows of a user follow one another: each opens at the first event after the former one's end
-_QUOTA = f"""WITH RECURSIVE windows AS (
-  SELECT user_id, min(ts) AS opened FROM events GROUP BY 1
+_QUOTA = f"""WITH RECURSIVE {{before}}windows AS (
+  SELECT user_id, min(ts) AS opened FROM {{log}} GROUP BY 1
   UNION ALL
-  SELECT user_id, (SELECT min(e.ts) FROM events e WHERE e.user_id = w.user_id AND e.ts >= w.opened + INTERVAL {_DAY} SECOND)
+  SELECT user_id, (SELECT min(e.ts) FROM {{log}} e WHERE e.user_id = w.user_id AND e.ts >= w.opened + INTERVAL {_DAY} SECOND)
   FROM windows w WHERE opened IS NOT NULL),
 placed AS (
-  SELECT e.user_id, e.event_id, e.ts, w.opened FROM events e
+  SELECT e.user_id, e.event_id, e.ts, w.opened FROM {{log}} e
   ASOF JOIN (SELECT * FROM windows WHERE opened IS NOT NULL) w ON w.user_id = e.user_id AND e.ts >= w.opened)
 SELECT event_id, user_id AS "key", allowed, CASE WHEN NOT allowed THEN
          ({_DAY} * CAST(1000000 AS BIGINT) - (epoch_us(ts) - epoch_us(opened))) / 1000000 END AS retry_after
@@ -33,70 +30,64 @@ def requests(spark, sf_dir):
     )
 
 
-@query("quota_batch", _QUOTA)
+_PLAIN = _QUOTA.format(before="", log="events")
+# a third of the requests are one user's, all inside one window
+_HEAVY = _QUOTA.format(
+    before="""requests AS (
+  SELECT event_id, CASE WHEN event_id % 3 = 0 THEN -1 ELSE user_id END AS user_id,
+         CASE WHEN event_id % 3 = 0 THEN TIMESTAMP '2024-03-01 00:00:00' + to_seconds(event_id % 80000) ELSE ts END AS ts
+  FROM events), """,
+    log="requests",
+)
+
+
+@query("quota_batch", _PLAIN)
 def quota_batch(spark, sf_dir):
     return mark_quota(requests(spark, sf_dir), _LIMIT, _DAY).drop("ts")
 
 
-@query("quota_stream", _QUOTA)
-def quota_stream(spark, sf_dir):
-    """The event file as a stream, run to its end, read back from its sink."""
-    schema = X.load(spark, sf_dir, "events").schema
-    arriving = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    )
-    marked = mark_quota_stream(
-        arriving.select("event_id", F.col("user_id").alias("key"), "ts"), _LIMIT, _DAY
+@query("quota_heavy", _HEAVY)
+def quota_heavy(spark, sf_dir):
+    """The path of keys with many requests, a hot window among them."""
+    hot = F.col("event_id") % 3 == 0
+    squeezed = F.timestamp_seconds(F.unix_timestamp(F.lit("2024-03-01 00:00:00")) + F.col("event_id") % 80000)
+    log = requests(spark, sf_dir).select(
+        "event_id", F.when(hot, F.lit(-1)).otherwise(F.col("key")).alias("key"), F.when(hot, squeezed).otherwise(F.col("ts")).alias("ts")
     )
+    return mark_quota(log, _LIMIT, _DAY, light_rows=20).drop("ts")
+
+
+_ROUNDS = 4
+
+
+@query("quota_stream", _PLAIN)
+def quota_stream(spark, sf_dir):
+    """Requests arriving in four files, up to a day out of order, then a heartbeat that moves the watermark past them all."""
+    log = requests(spark, sf_dir)
+    second = F.unix_timestamp("ts")
+    span = log.agg(F.min(second).alias("low"), F.max(second).alias("high")).first()
+    shifted = second + F.pmod(F.xxhash64("event_id"), F.lit(_DAY)) - F.lit(span["low"])
+    arrival = F.floor(shifted * _ROUNDS / F.lit(span["high"] - span["low"] + _DAY + 1))
     out = scratch_path(spark, "quota")
-    run = (
-        marked.writeStream.format("parquet")
-        .option("path", f"{out}/rows")
-        .option("checkpointLocation", f"{out}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    return spark.read.schema(marked.schema).parquet(f"{out}/rows").drop("ts")
-
-
-_INGEST = f"""WITH fresh AS (
-  SELECT * FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1),
-lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
-         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM fresh WHERE n_chars >= 200)
-SELECT document_id, content, content_sha256 FROM (
-  SELECT doc_id AS document_id, content, sha256(content) AS content_sha256, n
-  FROM (SELECT doc_id, n, {X.sql_collapse('line')} AS content FROM lines) WHERE content <> ''
-  QUALIFY row_number() OVER (PARTITION BY doc_id, content ORDER BY n) = 1)"""
-
-
-def _process(batch):
-    passed = F.col("n_chars") >= 200
-    rows = batch.select("document_id", "file_hash", F.when(passed, "active").otherwise("pending").alias("status"))
-    lines = batch.filter(passed).select(
-        "document_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line")
-    )
-    passages = lines.filter(~T.is_blank(F.col("line"))).select(
-        "document_id", "n", T.collapse_whitespace(F.col("line")).alias("content")
-    )
-    hashed = passages.withColumn("content_sha256", T.sha256(F.col("content")))
-    return rows, keep_first_copies(hashed, ["n"])
-
-
-@query("ingest_stream", _INGEST)
-def run_ingest_stream(spark, sf_dir):
-    """Documents arriving as files: duplicates refused, short ones left pending, the rest chunked."""
-    schema = X.load(spark, sf_dir, "documents").schema
-    arriving = (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", "documents.parquet")
-        .option("maxFilesPerTrigger", 1)
-        .parquet(sf_dir)
-        .select(
-            F.col("doc_id").alias("document_id"), "text", "n_chars", F.sha2("text", 256).alias("file_hash")
+    dealt = materialize(log.withColumn("arrival", arrival), "requests")
+    for number in range(_ROUNDS):
+        dealt.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.mode("append").parquet(f"{out}/arrivals")
+    heartbeat = F.timestamp_seconds(F.lit(span["high"] + 4 * _DAY)).alias("ts")
+    key = F.lit(None).cast(dict(log.dtypes)["key"]).alias("key")
+    spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), key, heartbeat).write.mode("append").parquet(f"{out}/arrivals")
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrivals")
+    marked = mark_quota_stream(arriving, _LIMIT, _DAY, lateness="2 days")
+    provider = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        run = (
+            marked.writeStream.format("parquet")
+            .option("path", f"{out}/rows")
+            .option("checkpointLocation", f"{out}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
         )
-    )
-    root = scratch_path(spark, "ingest")
-    ingest_stream(arriving, root, _process).awaitTermination()
-    return spark.read.parquet(f"{root}/chunks").select("document_id", "content", "content_sha256")
+        run.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, provider)
+    return spark.read.schema(marked.schema).parquet(f"{out}/rows").filter("event_id >= 0").drop("ts")

@@ -1,69 +1,23 @@
-"""Sinks: chunk tables in hash buckets of documents and versioned publication."""
+"""The passage table as a log of deltas: writes replace documents, reads see the newest generation."""
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from quirework.functions.common import materialize
+from quirework.sources import versions as V
 
-CURRENT = "CURRENT"
-BUCKETS = 64
+TABLE = "chunks"
 
 
-def write_chunks(chunks: DataFrame, replaced: DataFrame, path: str, buckets: int = BUCKETS) -> None:
-    """Replace the chunks of the ``replaced`` documents (document_id) by ``chunks``.
+def write_chunks(
+    chunks: DataFrame, replaced: DataFrame, root: str, source: str | None = None, batch: int | None = None
+) -> int:
+    """Replace the chunks of the ``replaced`` documents (document_id), and of those that ``chunks``
+    brings, by ``chunks``; the new generation's number.
 
-    Documents share hash buckets, so the number of files follows the data and not the number
-    of documents. Only buckets with a replaced document are rewritten: what they hold of other
-    documents is kept. Every bucket carries a row without a document, so that one whose last
-    chunk is gone is overwritten, too; ``read_chunks`` leaves it out.
+    Only the new rows and the replaced ids are written, so the bytes follow the batch and not the table.
     """
-    spark = chunks.sparkSession
-    bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
     gone = replaced.select("document_id").union(chunks.select("document_id")).distinct()
-    touched = gone.select(bucket.alias("bucket")).distinct()
-    rows = chunks.withColumn("bucket", bucket)
-    try:
-        stored = spark.read.parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-    else:
-        held = stored.filter("document_id IS NOT NULL").join(touched, "bucket", "left_semi")
-        rows = rows.unionByName(held.join(gone, "document_id", "left_anti"))
-    marks = rows.limit(0).unionByName(touched, allowMissingColumns=True)
-    merged = materialize(rows.unionByName(marks), "chunk-buckets")
-    (
-        merged.repartition("bucket")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    return V.publish(chunks.sparkSession, root, {TABLE: V.Change(chunks, gone)}, source, batch)
 
 
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).filter("document_id IS NOT NULL").drop("bucket")
-
-
-def publish(spark: SparkSession, root: str, version: str, tables: dict[str, DataFrame]) -> None:
-    """Write all tables under a new version, then point readers at it.
-
-    Readers follow the newest pointer row, which is appended last; a job that dies before
-    leaves the former version in place.
-    """
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{root}/{version}/{name}")
-    pointer = spark.range(1).select(
-        F.lit(version).alias("version"), F.current_timestamp().alias("published_at")
-    )
-    pointer.write.mode("append").json(f"{root}/{CURRENT}")
-
-
-def current_version(spark: SparkSession, root: str) -> str | None:
-    pointers = spark.read.schema("version string, published_at timestamp").json(f"{root}/{CURRENT}")
-    newest = pointers.orderBy(F.desc("published_at"), F.desc("version")).first()
-    return newest["version"] if newest else None
-
-
-def read_current(spark: SparkSession, root: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/{current_version(spark, root)}/{name}")
+def read_chunks(spark: SparkSession, root: str, schema: str, generation: int | None = None) -> DataFrame:
+    return V.read(spark, root, TABLE, schema, generation=generation)

@@ -1,64 +1,104 @@
-"""Quota marking on a live request stream with one small state per key."""
+"""Quota marking on a live request stream, in the order of the requests' own times."""
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from quirework.operators.quota import LIMIT, WINDOW_SECONDS
 
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+LATENESS = "10 minutes"
+
+_WAITING = "event_id bigint, t bigint"
+_WINDOW = "opened bigint, used bigint"
+
+
+class QuotaProcessor(StatefulProcessor):
+    """Per key: the requests that still wait for earlier ones, and the window open at the watermark.
+
+    A timer at the earliest waiting request fires when the watermark has passed it. Then no earlier request
+    can come any more, and all that the watermark has passed are decided in order of time and id.
+    """
+
+    def __init__(self, limit: int, window: int) -> None:
+        self.limit, self.window = limit, window
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _WAITING)
+        self.open = handle.getValueState("open", _WINDOW)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        earliest = None
+        for batch in rows:
+            self.waiting.appendList([(int(e), int(t)) for e, t in zip(batch["event_id"], batch["t"])])
+            least = int(batch["t"].min())
+            earliest = least if earliest is None else min(earliest, least)
+        if earliest is not None:
+            self.wake(earliest)
+        yield from ()
+
+    def wake(self, t: int) -> None:
+        self.handle.registerTimer(-(-t // 1000))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = sorted((t, e) for e, t in self.waiting.get()) if self.waiting.exists() else []
+        due = [r for r in rows if r[0] <= passed]
+        later = rows[len(due) :]
+        opened, used = self.open.get() if self.open.exists() else (None, 0)
+        decided = []
+        for t, event in due:
+            if opened is None or t - opened >= self.window:
+                opened, used = t, 0
+            used += 1
+            allowed = used <= self.limit
+            decided.append((key[0], event, t, allowed, 0 if allowed else self.window - (t - opened)))
+        self.waiting.clear()
+        if later:
+            self.waiting.put([(e, t) for t, e in later])
+            self.wake(later[0][0])
+        if opened is not None and opened + self.window > passed:
+            self.open.update((opened, min(used, self.limit + 1)))
+            self.wake(opened + self.window)
+        else:  # the window is over: whatever comes next opens one of its own
+            self.open.clear()
+        if decided:
+            yield pd.DataFrame(decided, columns=["key", "event_id", "t", "allowed", "wait_micros"])
+
+    def close(self) -> None:
+        pass
+
 
 def mark_quota_stream(
     events: DataFrame,
     limit: int = LIMIT,
     window_seconds: int = WINDOW_SECONDS,
+    lateness: str = LATENESS,
 ) -> DataFrame:
     """The streaming form of ``mark_quota`` over (key, ts, event_id) rows.
 
-    State is (window start, requests counted), two numbers per key, kept for good. Every
-    request gets a row, however late it comes: rows of a micro-batch are taken in time order,
-    and one that is older than the window open then counts there.
+    A request waits until the watermark, the newest time seen less ``lateness``, has passed it; so answers are
+    those of ``mark_quota``, whatever order requests arrive in within the lateness. One that is later than
+    that is dropped by the watermark and gets no row. A key whose window is over and that has nothing waiting
+    leaves no state. The query needs the RocksDB state store (``STATE_STORE``, ``ROCKS_DB``).
     """
-    window = window_seconds * 1_000_000
     key_type = dict(events.dtypes)["key"]
-    out_schema = (
-        f"key {key_type}, event_id bigint, ts timestamp, allowed boolean, wait_micros bigint"
-    )
-
-    def mark(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        opened, used = state.get if state.exists else (None, 0)
-        rows = pd.concat(list(batches)).sort_values(["t", "event_id"])
-        t = rows["t"].to_numpy()
-        opens, turn, at = np.empty(len(t), np.int64), np.empty(len(t), np.int64), 0
-        while at < len(t):  # one step per window, not per request
-            if opened is None or t[at] - opened >= window:
-                opened, used = int(t[at]), 0
-            stop = int(np.searchsorted(t, opened + window))
-            opens[at:stop] = opened
-            turn[at:stop] = used + np.arange(1, stop - at + 1)
-            used, at = min(limit, used + stop - at), stop
-        state.update((opened, used))
-        allowed = turn <= limit
-        yield pd.DataFrame(
-            {
-                "key": key[0],
-                "event_id": rows["event_id"].to_numpy(),
-                "ts": rows["ts"].to_numpy(),
-                "allowed": allowed,
-                "wait_micros": np.where(allowed, 0, window - (t - opens)),
-            }
-        )
-
     timed = (
         events.select("key", "event_id", F.col("ts").cast("timestamp").alias("ts"))
+        .withWatermark("ts", lateness)
         .withColumn("t", F.unix_micros("ts"))
     )
-    marked = timed.groupBy("key").applyInPandasWithState(
-        mark, out_schema, "opened bigint, used int", "append", GroupStateTimeout.NoTimeout
+    marked = timed.groupBy("key").transformWithStateInPandas(
+        statefulProcessor=QuotaProcessor(limit, window_seconds * 1_000_000),
+        outputStructType=f"key {key_type}, event_id bigint, t bigint, allowed boolean, wait_micros bigint",
+        outputMode="Append",
+        timeMode="EventTime",
     )
     retry_after = F.when(~F.col("allowed"), F.col("wait_micros") / 1e6)
-    return marked.withColumn("retry_after", retry_after).drop("wait_micros")
+    return marked.select(
+        "key", "event_id", F.timestamp_micros("t").alias("ts"), "allowed", retry_after.alias("retry_after")
+    )

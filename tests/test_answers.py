@@ -7,34 +7,55 @@ from quirework.functions import pii as G, replies as R
 from quirework.operators import answers as A
 
 X = F.col("x")
-VALID, DASHED, ISBN = "3101005001239", "3-1010-05001-23-9", "978-616-576-244-1"
+
+
+def check_digit(first):
+    return (11 - sum(int(d) * (13 - i) for i, d in enumerate(first)) % 11) % 10
+
+
+NUMBERS = [f + str(check_digit(f)) for f in ("470020631857", "820514009966", "159900000042")]
+VALID = NUMBERS[0]
+WRONG = [n[:12] + str((int(n[12]) + 3) % 10) for n in NUMBERS]
 
 
 def test_pii_found(evaluate):
+    a, b, c = NUMBERS
     cases = {
-        f"ผมเลขบัตร {VALID} อยากถามเรื่องยาฆ่าแมลง": ["thai_national_id"],
-        f"เลขบัตร {DASHED}": ["thai_national_id"],
-        "โทรกลับที่ 081-234-5678 ด้วย": ["thai_phone"],
-        "ส่งคำตอบมาที่ farmer.somchai@example.co.th": ["email"],
-        f"เลขบัตร {VALID} โทร 081-234-5678": ["thai_national_id", "thai_phone"],
-        "เลขบัตร ๓๑๐๑๐๐๕๐๐๑๒๓๙": ["thai_national_id"],
-        f"{ISBN} {VALID}": ["thai_national_id"],
+        f"Card {a} was lost at the pier.": ["thai_national_id"],
+        f"{WRONG[1]}, no: {b}": ["thai_national_id"],
+        f"ref {c[0]} {c[1:5]} {c[5:10]} {c[10:12]} {c[12]} please": ["thai_national_id"],
+        "ring 02-555-0142 after six": ["thai_phone"],
+        "เบอร์ 0955550177": ["thai_phone"],
+        "write to lost+found@harbour.example": ["email"],
+        f"me@tide.example / 0 2555 0142 / {a}": ["email", "thai_national_id", "thai_phone"],
     }
     assert evaluate(G.find_pii(X), list(cases)) == list(cases.values())
 
 
 def test_pii_not_found(evaluate):
     texts = [
-        "prochloraz 45% EC อัตรา 20 มิลลิลิตร ต่อน้ำ 20 ลิตร",
-        f"ISBN {ISBN}",
-        "3101005001230",
-        "ฉบับปี 2568 หน้า 56 ตารางที่ 12",
-        "1" + VALID,
+        "12.5 mm of rain in 24 hours, 3 gauges",
+        f"parcel {WRONG[0]}",
+        f"serial 9{VALID}",
+        f"{VALID}77",
+        "tide table 2024, sheets 11-19",
+        "at@home, or @pier.example",
+        "call 1555-0142",
+        None,
     ]
-    assert evaluate(G.find_pii(X), texts) == [[]] * 5
+    found = evaluate(G.find_pii(X), texts)
+    assert found[:-1] == [[]] * 7 and not found[-1]
     assert evaluate(G.find_pii(X, ("email",)), [VALID]) == [[]]
 
 
+def test_check_digits_of_many_numbers(evaluate):
+    firsts = [f"{(i * 98765432109 + 7) % 10**12:012d}" for i in range(40)]
+    right = [f + str(check_digit(f)) for f in firsts]
+    wrong = [f + str((check_digit(f) + 1 + i % 9) % 10) for i, f in enumerate(firsts)]
+    kinds = G.find_pii(X, ("thai_national_id",))
+    assert evaluate(kinds, right) == [["thai_national_id"]] * 40 and evaluate(kinds, wrong) == [[]] * 40
+
+
 def test_parse_reply(evaluate):
     def reply(numbers, answer="a"):
         return json.dumps({"answer": answer, "citations": numbers})
@@ -105,7 +126,7 @@ def test_attempts(spark):
     assert states(spark, (EMPTY, None), (GOOD, YES)) == REFUSED
     assert states(spark, (GOOD, MAYBE), (GOOD, YES)) == ("undecided", R.REFUSAL_TEXT, [])
     assert states(spark, (LEAK, YES), (GOOD, YES)) == ("pii", R.PII_REFUSAL_TEXT, [])
-    assert states(spark, (GOOD, YES), question="call 081-234-5678")[0] == "pii"
+    assert states(spark, (GOOD, YES), question="call 02-555-0142")[0] == "pii"
 
 
 def test_answer_asks_again_only_where_needed(spark):
@@ -120,11 +141,11 @@ def test_answer_asks_again_only_where_needed(spark):
     prompts = A.build_prompts(kept, questions, "Rules").filter("question_id = 1").first()
     assert prompts["prompt"] == "Rules\n\n[1] text 1\n\n[2] (crop) text 2\n\nQuestion: fine"
 
-    chat = lambda prompt: F.when(F.contains(prompt, F.lit("stubborn")), BAD).otherwise(GOOD)
+    chat = lambda prompt, attempt: F.when(F.contains(prompt, F.lit("stubborn")), BAD).otherwise(GOOD)
     seen = spark.sparkContext.accumulator(0)
 
     @F.pandas_udf("string")
-    def judge(prompt):
+    def judge(prompt, attempt):
         seen.add(len(prompt))
         assert all("text 2" not in p for p in prompt)  # only cited excerpts are shown
         return prompt.map(lambda _: YES)

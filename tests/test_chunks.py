@@ -33,10 +33,14 @@ def test_cells_to_markdown(evaluate):
     ]
 
 
-def test_an_oversized_row_stays_whole(evaluate):
-    long_row = "|" + "ก" * 500 + "|"
-    (parts,) = evaluate(B.split_table(X, 100), ["\n".join(["|h|", "|---|", long_row, "|short|"])])
-    assert parts == [f"|h|\n|---|\n{long_row}", "|h|\n|---|\n|short|"]
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.integers(2, 40), max_size=4), st.integers(90, 300), st.lists(st.integers(2, 40), max_size=4))
+def test_a_row_above_the_limit_is_a_part_of_its_own(evaluate, before, wide, after):
+    row = lambda w: "|" + "z" * w + "|"
+    table = "\n".join(["|name|", "|---|", *map(row, [*before, wide, *after])])
+    (parts,) = evaluate(B.split_table(X, 80), [table])
+    alone = f"|name|\n|---|\n{row(wide)}"
+    assert parts.count(alone) == 1 and [r for p in parts for r in p.split("\n")[2:]] == table.split("\n")[2:]
 
 
 def test_small_and_empty_tables(evaluate):
@@ -96,26 +100,22 @@ def tables_of(spark, rows):
     )
 
 
-THREE = [
-    (4, 10, 20, "กล้วย (Banana)\nเพิ่มเติม"),
-    (4, 200, 220, "ขิง (Ginger)"),
-    (4, 400, 420, "งา (Sesame)"),
-    (7, 40, 60, "แผ่น 7"),
-    (7, 500, 520, "รายการ 9 (ต่อ)"),
-    (6, 40, 60, "มะม่วง (Mango)"),
-]
+def plain_section(blocks, page, top):
+    """The nearest heading that ends above ``top`` on the page, read off one by one."""
+    above = [(y1, -i, text.split("\n")[0]) for i, (p, _, y1, text) in enumerate(blocks) if p == page and y1 <= top and text.endswith(")")]
+    return max(above)[2] if above else None
 
 
-def test_each_table_takes_the_heading_above_it(spark):
-    tables = tables_of(spark, [(4, 420, "t3"), (4, 30, "t1"), (4, 230, "t2"), (7, 100, "t7"), (4, 5, "t0")])
-    found = L.section_for_tables(tables, blocks_of(spark, THREE)).collect()
-    assert {r["markdown"]: r["section"] for r in found} == {
-        "t0": None,
-        "t1": "กล้วย (Banana)",
-        "t2": "ขิง (Ginger)",
-        "t3": "งา (Sesame)",
-        "t7": None,
-    }
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(st.integers(1, 3), st.integers(0, 40), st.booleans()), max_size=12),
+    st.lists(st.tuples(st.integers(1, 4), st.integers(0, 45)), min_size=1, max_size=8, unique=True),
+)
+def test_each_table_takes_the_heading_above_it(spark, placed, wanted):
+    blocks = [(p, 20 * y, 20 * y + 10, f"หัวข้อ (Topic {chr(97 + i)})" if heads else f"ข้อความ {i}") for i, (p, y, heads) in enumerate(placed)]
+    tables = tables_of(spark, [(p, 20 * y, f"t{i}") for i, (p, y) in enumerate(wanted)])
+    found = L.section_for_tables(tables, blocks_of(spark, blocks)).collect()
+    assert {r["markdown"]: r["section"] for r in found} == {f"t{i}": plain_section(blocks, p, 20 * y) for i, (p, y) in enumerate(wanted)}
 
 
 def test_touching_rectangles_do_not_overlap(spark):
@@ -125,15 +125,19 @@ def test_touching_rectangles_do_not_overlap(spark):
 
 
 def test_chunk_documents(spark):
-    blocks = blocks_of(spark, THREE[:3] + [(4, 250, 260, "inside the table"), (5, 10, 20, "5"), (5, 30, 40, "page text")])
-    tables = tables_of(spark, [(4, 420, "|b|\n|---|"), (4, 230, "|a|\n|---|"), (5, 300, "|a|\n|---|"), (9, 0, "|z|\n|---|")])
+    """Page 2: prose around two tables with one heading between them; 8: no heading; 11: a table without any block."""
+    blocks = blocks_of(
+        spark,
+        [(2, 300, 310, "ฝน (Rain)"), (2, 0, 8, "first words"), (2, 120, 130, "covered"), (2, 600, 640, "last\nwords"), (8, 50, 60, "8"), (8, 70, 90, "prose of eight")],
+    )
+    tables = tables_of(spark, [(2, 320, "|low|\n|---|"), (2, 100, "|high|\n|---|"), (8, 200, "|low|\n|---|"), (11, 0, "|none|\n|---|")])
     pages = spark.createDataFrame([], "document_id string, page_number int, raw_text string")
     rows = C.chunk_documents(blocks, tables, P.running_lines(pages)).orderBy("page_number", "kind_rank", "position").collect()
     assert [(r["page_number"], r["kind"], r["content"], r["section"]) for r in rows] == [
-        (4, "prose", "กล้วย (Banana)\nเพิ่มเติม\nขิง (Ginger)\nงา (Sesame)", None),
-        (4, "table", "|a|\n|---|", "ขิง (Ginger)"),
-        (4, "table", "|b|\n|---|", "งา (Sesame)"),
-        (5, "prose", "page text", None),
+        (2, "prose", "first words\nฝน (Rain)\nlast\nwords", None),
+        (2, "table", "|high|\n|---|", None),
+        (2, "table", "|low|\n|---|", "ฝน (Rain)"),
+        (8, "prose", "prose of eight", None),
     ]
     for r in rows:
         assert r["content_sha256"] == hashlib.sha256(r["content"].encode()).hexdigest()

@@ -4,8 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quirework.operators import quota
 from quirework.operators.quota import mark_quota
-from quirework.streaming.quota_stream import mark_quota_stream
+from quirework.streaming.quota_stream import ROCKS_DB, STATE_STORE, mark_quota_stream
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 DDL = "event_id bigint, key string, ts timestamp"
@@ -56,43 +57,54 @@ def test_empty_log(spark):
     assert mark_quota(spark.createDataFrame([], DDL)).count() == 0
 
 
-def test_stream_over_many_batches_equals_batch(spark, tmp_path):
+def test_a_hot_window_is_not_ranked_in_one_place(spark, monkeypatch):
+    """A third of the rows in one window of one key; with and without a broadcast."""
+    rng = np.random.default_rng(6)
+    rows = [("hot", 500 + int(s)) for s in rng.integers(0, 59, 700)] + [(f"k{rng.integers(0, 3)}", int(s)) for s in rng.integers(0, 3000, 900)]
+    want = expected(rows, 7, 60)
+    assert marks(mark_quota(log(spark, rows), 7, 60, light_rows=50)) == want
+    monkeypatch.setattr(quota, "fits_broadcast", lambda df: False)
+    assert marks(mark_quota(log(spark, rows), 7, 60, light_rows=50)) == want
+
+
+def streamed(spark, folder, events, batches, limit, window, lateness):
+    """Marks of the events, dealt into files by ``batches`` (event ids per file), and of a heartbeat at the end."""
+    for ids in batches:
+        events.filter(F.col("event_id").isin(ids)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    beat = spark.createDataFrame([(-1, None, START + timedelta(days=9))], DDL)
+    beat.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        run = (
+            mark_quota_stream(stream, limit, window, lateness)
+            .writeStream.format("parquet")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/cp")
+            .trigger(availableNow=True)
+            .start()
+        )
+        run.awaitTermination()
+        state = spark.read.format("statestore").option("stateVarName", "open").load(f"{folder}/cp").count()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    return spark.read.parquet(f"{folder}/out").filter("event_id >= 0"), state
+
+
+def test_stream_in_any_order_within_the_lateness_equals_batch(spark, tmp_path):
     rng = np.random.default_rng(9)
-    rows = [("hot" if rng.random() < 0.4 else f"k{rng.integers(0, 5)}", int(s)) for s in np.sort(rng.integers(0, 3000, 400))]
-    events = log(spark, rows)
-    for batch in range(4):  # one file per batch, in time order
-        part = events.filter((F.col("event_id") >= batch * 100) & (F.col("event_id") < batch * 100 + 100))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = (
-        mark_quota_stream(stream, 3, 60)
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    assert marks(spark.read.parquet(str(tmp_path / "out"))) == expected(rows, 3, 60)
-
-
-def test_stream_answers_late_requests(spark, tmp_path):
-    """Files in reverse order of time: every request still gets a row, and no window grants more than the limit."""
-    rows = [("a", s) for s in range(0, 1200, 5)]
-    events = log(spark, rows)
-    for batch in (2, 0, 1):
-        part = events.filter((F.col("event_id") >= batch * 80) & (F.col("event_id") < batch * 80 + 80))
-        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(DDL).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    run = (
-        mark_quota_stream(stream, 3, 60)
-        .writeStream.format("parquet")
-        .option("path", str(tmp_path / "out"))
-        .option("checkpointLocation", str(tmp_path / "cp"))
-        .trigger(availableNow=True)
-        .start()
-    )
-    run.awaitTermination()
-    out = spark.read.parquet(str(tmp_path / "out"))
-    assert out.count() == 240 and out.select("event_id").distinct().count() == 240
-    assert 0 < out.filter("allowed").count() <= 3 * 20
+    rows = [("hot" if rng.random() < 0.4 else f"k{rng.integers(0, 5)}", int(s)) for s in rng.integers(0, 3000, 400)]
+    delayed = sorted(range(400), key=lambda i: rows[i][1] + rng.integers(0, 300))
+    out, open_windows = streamed(spark, str(tmp_path), log(spark, rows), [delayed[i : i + 100] for i in range(0, 400, 100)], 3, 60, "10 minutes")
+    assert marks(out) == expected(rows, 3, 60)
+    assert out.count() == 400
+    batch = mark_quota(log(spark, rows), 3, 60).select("event_id", "retry_after")
+    assert out.select("event_id", "retry_after").exceptAll(batch).isEmpty()
+    assert open_windows == 0  # no key keeps state when its window is over
+
+
+def test_requests_beyond_the_lateness_get_no_row(spark, tmp_path):
+    rows = [("a", 1000 + s) for s in range(20)] + [("a", 5000)] + [("a", 0)]
+    out, _ = streamed(spark, str(tmp_path), log(spark, rows), [list(range(20)), [20], [21]], 3, 60, "1 minute")
+    assert marks(out) == expected(rows[:21], 3, 60)

@@ -89,13 +89,12 @@ def test_table_reader_pads_and_renders(spark, tmp_path):
 
 
 def test_chunk_sink_replaces_only_its_documents(spark, tmp_path):
-    path = str(tmp_path / "chunks")
-    kind = "document_id string, content string"
+    path, kind = str(tmp_path / "chunks"), "document_id string, content string"
 
     def write(rows, replaced):
         ids = spark.createDataFrame([(d,) for d in replaced], "document_id string")
-        sinks.write_chunks(spark.createDataFrame(rows, kind), ids, path, buckets=3)
-        return {tuple(r) for r in sinks.read_chunks(spark, path).select("document_id", "content").collect()}
+        sinks.write_chunks(spark.createDataFrame(rows, kind), ids, path)
+        return {tuple(r) for r in sinks.read_chunks(spark, path, kind).collect()}
 
     first = {(d, d * 2) for d in "abcdefgh"}
     assert write(sorted(first), []) == first
@@ -117,15 +116,6 @@ def test_any_scope_can_be_superseded(spark):
     assert status == {"old": "archived", "new": "active"}
 
 
-def test_versions_switch_last(spark, tmp_path):
-    root = str(tmp_path / "corpus")
-    sinks.publish(spark, root, "v1", {"t": spark.range(1)})
-    sinks.publish(spark, root, "v2", {"t": spark.range(2)})
-    spark.range(3).write.parquet(f"{root}/v3/t")  # a job that died before its pointer
-    assert sinks.current_version(spark, root) == "v2"
-    assert sinks.read_current(spark, root, "t").count() == 2
-
-
 THAI = "ฝนตกหนักที่เชียงใหม่ พรุ่งนี้น่าจะหยุด"
 
 
@@ -166,6 +156,14 @@ def test_ingest_lifecycle(spark):
     assert states == {"a": ("active", 1), "b": ("pending", None)} and held == {"a"}
     assert S.check_corpus(registry, chunks, 8).isEmpty()
 
+    # a code without a repair in a block fails the document as one on a page would
+    meta, pages, blocks, tables = corpus(spark, ("d", THAI, 2567, [F_], 1))
+    blocks = blocks.withColumn("text", F.concat("text", F.lit("\uf707")))
+    coded, none, qa = ingestion.ingest(meta, pages, blocks, tables, registry, chunks, V.hashing_embedder(8), 8, "m", AT)
+    assert coded.filter("document_id = 'd'").first()["status"] == "pending" and none.filter("document_id = 'd'").isEmpty()
+    failed = qa.filter("document_id = 'd' AND NOT passed").collect()
+    assert [(r["check"], r["measured"]) for r in failed] == [("unmapped_pua_codepoints", '["U+F707"]')]
+
     # a pending hash comes back under another id and keeps the stored one
     meta, *rest = corpus(spark, ("x", "still none", 2566, [I_], 1))
     meta = meta.withColumn("file_hash", F.lit("hash-b"))

@@ -1,9 +1,13 @@
+import hashlib
+
 import numpy as np
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from quirework.functions import vectors as V
+from quirework.functions import text as T, vectors as V
 from quirework.operators import dense as D, evaluation as E, lexical as L, rerank as K, retrieval as H
+from quirework.operators.ordered import running_sums, with_following
 
 
 def chunks_of(spark, texts):
@@ -32,6 +36,93 @@ def test_cover_density_prefers_close_terms(spark):
     assert [(r["chunk_id"], r["score"]) for r in found] == [(2, 0.2), (1, 0.1), (0, 0.025)]
 
 
+def plain_cover(words, terms):
+    """Spans in which every term occurs and no smaller one lies, weighed by the words that are no terms."""
+    places = [i for i, w in enumerate(words) if w in terms]
+    spans = []
+    for b, end in enumerate(places):
+        for a in range(b, -1, -1):
+            if {words[i] for i in places[a : b + 1]} == set(terms):
+                spans.append((a, b))
+                break
+    least = [(a, b) for a, b in spans if not any((x, y) != (a, b) and a <= x and y <= b for x, y in spans)]
+    return sum(L.COVER_WEIGHT / (1 + places[b] - places[a] - (b - a)) for a, b in least)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.lists(st.sampled_from("abcdxyz"), max_size=25), min_size=1, max_size=30), st.lists(st.sampled_from("abcd"), min_size=1, max_size=4, unique=True))
+def test_cover_density_equals_the_plain_version(spark, texts, terms):
+    chunks = chunks_of(spark, [" ".join(t) for t in texts])
+    want = {i: round(plain_cover(t, terms), 6) for i, t in enumerate(texts) if set(terms) <= set(t)}
+    asked = questions_of(spark, [" ".join(terms)])
+    found = {r["chunk_id"]: r["score"] for r in L.lexical_topk(asked, chunks, 99).collect()}
+    stored = L.stored_postings(chunks.select(F.col("chunk_id").cast("string"), F.lit("d").alias("document_id"), T.tokenize(F.col("content")).alias("tokens")))
+    indexed = {int(r["chunk_id"]): r["score"] for r in L.postings_topk(asked, stored, 99).collect()}
+    assert found == indexed == want
+
+
+def test_postings_search_equals_the_scan(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(list("abcdefgh"), rng.integers(0, 30))) for _ in range(120)]
+    chunks = chunks_of(spark, texts).select(F.format_string("%03d", "chunk_id").alias("chunk_id"), F.lit("d").alias("document_id"), "content")
+    index = L.stored_postings(chunks.withColumn("tokens", T.tokenize(F.col("content"))))
+    asked = questions_of(spark, ["a", "a b", "h g f", "a a a", "missing a", "", "c d e f"])
+    for rank in ("cover", "tf"):
+        want = sorted(map(tuple, L.lexical_topk(asked, chunks, 9, rank).collect()))
+        assert sorted(map(tuple, L.postings_topk(asked, index, 9, rank).collect())) == want and want
+    plan = L.postings_topk(asked, index, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "SortMergeJoin" not in plan  # the index meets broadcast rows in place
+    monkeypatch.setattr(L, "broadcast_within_bound", lambda df: df)
+    assert sorted(map(tuple, L.postings_topk(asked, index, 9, "tf").collect())) == want
+
+
+def test_questions_with_unmapped_codes_are_not_searched(spark):
+    docs = spark.createDataFrame([(1, 2568, "t", "s")], "document_id int, edition_year_be int, title_th string, source string")
+    chunks = spark.createDataFrame([(1, 1, 1, None, "red apple")], "chunk_id int, document_id int, page_number int, section string, content string")
+    embed = V.hashing_embedder(64)
+    chunks = chunks.withColumn("embedding", embed(F.split("content", " ")))
+    asked = questions_of(spark, ["red apple", "red \uf707 apple"])
+    assert [r["question_id"] for r in H.retrieve(asked, chunks, docs, embed).collect()] == [0]
+    assert [tuple(r) for r in H.refused_questions(asked).collect()] == [(1, ["U+F707"])]
+
+
+def test_the_default_embedder_counts_tokens_by_hash(evaluate):
+    tokens = [["red", "red", "apple"], [], ["x"] * 300, None]
+    slot = lambda t: int(hashlib.md5(t.encode()).hexdigest()[:6], 16) % 16
+    want = [None if t is None else [float(sum(slot(w) == d for w in t)) for d in range(16)] for t in tokens]
+    assert evaluate(V.hashing_embedder(16)(F.col("x")), tokens, "array<string>") == want
+
+
+@pytest.mark.parametrize("records", [3, 10_000])
+def test_model_calls_are_bounded_and_full(spark, records):
+    """Each vector says how large its call was and where it stood in it."""
+
+    def client():
+        return lambda texts: [[float(len(texts)), float(i), float(t)] for i, t in enumerate(texts)]
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", records)
+    try:
+        rows = spark.range(0, 47, 1, 1).select("id", F.when(F.col("id") % 5 != 4, F.col("id").cast("string")).alias("x"))
+        found = rows.select("id", V.model_embedder(client, 3, most=10)("x").alias("v")).orderBy("id").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [r["v"] is None for r in found] == [i % 5 == 4 for i in range(47)]
+    assert all(r["v"][2] == r["id"] for r in found if r["v"])
+    assert all(r["v"][0] <= 10 for r in found if r["v"])
+    calls = sum(r["v"][1] == 0 for r in found if r["v"])
+    assert calls == 5  # four full ones of ten rows, nulls included, and the last
+    empty = spark.createDataFrame([], "x string")
+    assert empty.select(V.model_embedder(lambda: 1 / 0, 3)("x")).count() == 0
+
+
+@pytest.mark.parametrize("answer, message", [("[[1.0]] * len(t)", "expected 3 dimensions, got 1"), ("[]", "0 vectors for 4 inputs")])
+def test_wrong_answers_of_a_model_fail(spark, answer, message):
+    client = eval(f"lambda: lambda t: {answer}")
+    rows = spark.range(0, 4, 1, 1).select(F.col("id").cast("string").alias("x"))
+    with pytest.raises(Exception, match=message):
+        rows.select(V.model_embedder(client, 3)("x")).collect()
+
+
 def test_the_shuffle_path_finds_the_same(spark, monkeypatch):
     args = questions_of(spark, ["red apple", "apple"]), chunks_of(spark, TEXTS), 5
     small = ranked(L.lexical_topk(*args))
@@ -65,14 +156,12 @@ def brute_force(data, asked, k):
 
 
 @pytest.mark.parametrize("blocked", [False, True])
-def test_dense_topk_is_exact_on_copies_and_blocks(spark, vectors, monkeypatch, blocked):
+def test_dense_topk_is_exact_on_copies_and_blocks(spark, vectors, blocked):
     data, chunks = vectors
     asked = [0, 10, 50, 200]
     questions = chunks.filter(F.col("chunk_id").isin(asked)).withColumnRenamed("chunk_id", "question_id")
-    if blocked:
-        monkeypatch.setattr(D, "QUERY_BLOCK", 2)
-        monkeypatch.setattr(D, "CHUNK_BLOCK", 64)
-    assert ranked(D.dense_topk(questions, chunks, 7)) == brute_force(data, asked, 7)
+    bounds = dict(query_block=2, chunk_block=64) if blocked else {}
+    assert ranked(D.dense_topk(questions, chunks, 7, **bounds)) == brute_force(data, asked, 7)
 
 
 def test_fusion_keeps_one_sided_hits(spark):
@@ -169,6 +258,43 @@ def test_threshold_sweep_against_brute_force(spark):
     assert best["threshold"] == min(t for t, p, n in expected if (p, n) == (most, refusing))
 
 
+@pytest.mark.parametrize("low, high", [(0.5, 0.5001), (-7.0, 9.0), (3.0, 3.0)])
+def test_sweep_of_any_distribution(spark, low, high):
+    """Scores in a narrow band, outside [0, 1], and all the same."""
+    rng = np.random.default_rng(4)
+    questions = {q: bool(q % 2) for q in range(60)}
+    flagged = [(q, r, float(rng.uniform(low, high)), bool(q % 2 and rng.random() < 0.4)) for q in questions for r in range(1, 6)]
+    df = spark.createDataFrame(flagged, "question_id int, rank int, score double, hit boolean")
+    asked = spark.createDataFrame(list(questions.items()), "question_id int, answerable boolean")
+    thresholds = E.candidate_thresholds(df)
+    scores = sorted({r[2] for r in flagged})
+    want = sorted([0.0, *((a + b) / 2 for a, b in zip(scores, scores[1:])), scores[-1] + 1e-6])
+    assert sorted(r["threshold"] for r in thresholds.collect()) == want
+    rows = sorted((r["threshold"], r["positives_kept"], r["negatives_refused"]) for r in E.threshold_sweep(df, asked, thresholds, 3).collect())
+    assert rows == sweep_by_hand(flagged, questions, sorted(set(want)), 3)
+
+
+@pytest.mark.parametrize("ranges", [1, 3, 40])
+def test_running_sums(spark, ranges):
+    rng = np.random.default_rng(ranges)
+    rows = [(None if g == 3 else int(g), int(v), i, None if v % 5 == 0 else float(v)) for i, (g, v) in enumerate(zip(rng.integers(0, 4, 300), rng.integers(0, 50, 300)))]
+    df = spark.createDataFrame(rows, "g int, v int, range_no int, x double")
+    found = running_sums(df, {"n": "v", "xs": "x"}, [F.desc("v"), F.col("range_no")], ["g"], ranges=ranges)
+    assert found.columns == ["g", "v", "range_no", "x", "n", "xs"] and found.count() == 300
+    for r in found.collect():
+        before = [o for o in rows if o[0] == r["g"] and (-o[1], o[2]) < (-r["v"], r["range_no"])]
+        assert (r["n"], r["xs"]) == (sum(o[1] for o in before), sum(o[3] or 0 for o in before))
+    assert running_sums(df.limit(0), {"n": "v"}, [F.col("v")], ranges=ranges).isEmpty()
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_following_values(spark, ranges):
+    values = [v * v * 0.01 - 1 for v in range(50)]
+    df = spark.createDataFrame([(v,) for v in values[::-1]], "v double")
+    found = {r["v"]: r["next"] for r in with_following(df, "v", "next", ranges=ranges).collect()}
+    assert found == dict(zip(values, [*values[1:], None]))
+
+
 def test_no_scores_give_one_threshold(spark):
     empty = spark.createDataFrame([], "question_id int, rank int, score double, hit boolean")
     assert [r["threshold"] for r in E.candidate_thresholds(empty).collect()] == [0.0]
