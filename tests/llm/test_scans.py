@@ -243,20 +243,20 @@ def test_resolve():
 
 
 def leaks(docs, items, overlap=0.8):
-    """Every passage of two strides against every item, by five-word shingles of both parts."""
+    """Every passage of two strides against every item, by five-word shingles of both parts; the width is the item's own."""
     from quirework.llm.decontaminate import parts
 
     words = lambda text: re.findall(r"[0-9a-z\x80-\U0010ffff]+", brute.lower(text))
     grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
     split = {i: [words(p) for p in parts(t)] for i, t in items if t is not None}
-    longest = max(sum(map(len, s)) for s in split.values())
-    width, out = max(128, 2 * longest), set()
+    out = set()
     for doc, text in docs:
         w = words(text)
-        for at in range(0, max(1, len(w)), width // 2):
-            passage = w[at : at + width]
-            for item, sides in split.items():
-                if any(sides):
+        for item, sides in split.items():
+            if any(sides):
+                width = max(128, 2 << (sum(map(len, sides)) - 1).bit_length())
+                for at in range(0, max(1, len(w)), width // 2):
+                    passage = w[at : at + width]
                     shares = [len(grams(s, min(5, len(s))) & grams(passage, min(5, len(s)))) / len(grams(s, min(5, len(s)))) for s in sides if s]
                     if min(shares) >= overlap:
                         out.add((doc, item))
@@ -273,7 +273,7 @@ def test_leaks(spark, edge_docs, edge_rows, no_docs):
     expected = leaks(edge_rows, items)
     found = {(r.doc_id, r.item_id) for r in find_leaks(edge_docs, benchmark).collect()}
     assert found == expected and len(found) > 20
-    small = find_leaks(edge_docs, benchmark, shard=3, shards_at_once=100, block=2)
+    small = find_leaks(edge_docs, benchmark, shard=3, portion_bytes=5000, block=2)
     assert {(r.doc_id, r.item_id) for r in small.collect()} == expected
     left = drop_leaks(edge_docs, benchmark)
     assert left.columns == edge_docs.columns
@@ -283,6 +283,21 @@ def test_leaks(spark, edge_docs, edge_rows, no_docs):
     assert drop_leaks(edge_docs, benchmark.where("false")).count() == len(edge_rows)
 
 
+def test_an_item_depends_on_no_other(spark):
+    """Question and answer 200 words apart: clean, whatever else the benchmark holds; and nothing else changes either."""
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choices("abcdefghijklm", k=6))
+    item = "What does " + " ".join(word() for _ in range(9)) + "? It " + " ".join(word() for _ in range(8))
+    head, tail = item.split("? ")
+    apart = f"{head} " + " ".join(word() for _ in range(200)) + f" {tail}"
+    long_item = " ".join(word() for _ in range(600))
+    docs = spark.createDataFrame([(1, apart), (2, item), (3, long_item + " " + apart), (4, "x " * 700 + long_item)], "doc_id long, text string")
+    pairs = lambda *items: {(r.doc_id, r.item_id) for r in find_leaks(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert pairs((7, item)) == {(2, 7)}
+    assert pairs((7, item), (8, long_item)) == {(2, 7), (3, 8), (4, 8)}
+    assert pairs((7, item), (8, long_item), (9, head), *((100 + i, " ".join(word() for _ in range(5 * i + 1))) for i in range(40))) >= {(2, 7), (3, 8), (4, 8)}
+
+
 def test_leaks_of_the_small_tables(spark):
     docs, benchmark = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "benchmark"))
     pairs = Counter((r.doc_id, r.item_id) for r in find_leaks(docs, benchmark).collect())
