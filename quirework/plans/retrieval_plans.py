@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession, functions as F
 
 from quirework.functions import vectors as V
 from quirework.functions.common import materialize, scratch_path
-from quirework.operators import chunks as C, dense as D, lexical as L, rerank as K, retrieval as H
+from quirework.operators import chunks as C, dense as D, dense_cells as N, lexical as L, rerank as K, retrieval as H
 from quirework.operators.supersede import searchable_chunks
 from quirework.plans import fixtures as X
 from quirework.plans.catalog import query
@@ -139,6 +139,32 @@ def dense_topk_blocks(spark, sf_dir):
     return vector_neighbours(spark, sf_dir, query_block=100, chunk_block=150)
 
 
+def cell_index(spark, sf_dir, cells):
+    vectors = X.load(spark, sf_dir, "embeddings")
+    stored = vectors.select(F.col("vec_id").alias("chunk_id"), "embedding")
+    asked = vectors.select(F.col("vec_id").alias("question_id"), "embedding")
+    centroids = N.fit_centroids(stored, cells)
+    return asked, stored, N.index_cells(stored, centroids), centroids
+
+
+@query("dense_topk_cells", f"WITH {_DENSE} SELECT question_id, chunk_id, score, rank FROM dense")
+def dense_topk_cells(spark, sf_dir):
+    """The cell index with every cell looked into, which must find what the exact search does."""
+    asked, _, indexed, centroids = cell_index(spark, sf_dir, 8)
+    return N.dense_topk_cells(asked, indexed, centroids, _K, len(centroids), query_block=100, chunk_block=40)
+
+
+@query("dense_cells_recall", "SELECT count(*) AS n_questions, true AS reached, true AS fewer_cells FROM embeddings WHERE vec_id % 50 = 0")
+def dense_cells_recall(spark, sf_dir):
+    """Recall of 0.9 against the exact search, asked by every vector whose id is divisible by 50, without looking into all cells."""
+    asked, stored, indexed, centroids = cell_index(spark, sf_dir, 48)
+    chosen = asked.filter("question_id % 50 = 0")
+    probes, reached = N.probes_for(0.9, chosen, stored, indexed, centroids, _K)
+    return chosen.agg(F.count("*").alias("n_questions")).select(
+        "n_questions", F.lit(reached >= 0.9).alias("reached"), F.lit(probes < len(centroids)).alias("fewer_cells")
+    )
+
+
 @query(
     "rrf_fuse",
     f"WITH {_DENSE}, other AS (SELECT question_id, chunk_id, CAST(row_number() OVER ("

@@ -6,7 +6,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T, vectors as V
-from quirework.operators import dense as D, evaluation as E, lexical as L, rerank as K, retrieval as H
+from quirework.operators import dense as D, dense_cells as N, evaluation as E, lexical as L, rerank as K, retrieval as H
 from quirework.operators.ordered import running_sums, with_following
 
 
@@ -164,6 +164,34 @@ def test_dense_topk_is_exact_on_copies_and_blocks(spark, vectors, blocked):
     assert ranked(D.dense_topk(questions, chunks, 7, **bounds)) == brute_force(data, asked, 7)
 
 
+@pytest.mark.parametrize("cells, blocks", [(1, {}), (9, {}), (9, dict(query_block=2, chunk_block=16))])
+def test_all_cells_find_what_the_exact_search_does(spark, vectors, cells, blocks):
+    data, chunks = vectors
+    asked = [0, 10, 50, 200]
+    questions = chunks.filter(F.col("chunk_id").isin(asked)).withColumnRenamed("chunk_id", "question_id")
+    centroids = N.fit_centroids(chunks, cells)
+    found = N.dense_topk_cells(questions, N.index_cells(chunks, centroids), centroids, 7, cells, **blocks)
+    assert ranked(found) == brute_force(data, asked, 7)
+
+
+def test_few_cells_reach_the_wanted_recall_on_clusters(spark):
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(12, 16))
+    data = (middles[rng.integers(0, 12, 900)] + rng.normal(scale=0.2, size=(900, 16))).tolist()
+    chunks = spark.createDataFrame([(i, v) for i, v in enumerate(data)] + [(900, None), (901, [0.0] * 16)], "chunk_id int, embedding array<float>")
+    questions = chunks.filter("chunk_id % 50 = 0").withColumnRenamed("chunk_id", "question_id")
+    centroids = N.fit_centroids(chunks, 24)
+    probes, reached = N.probes_for(0.9, questions, chunks, N.index_cells(chunks, centroids), centroids, 10)
+    assert reached >= 0.9 and probes <= 8
+
+
+def test_cells_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id int, embedding array<float>")
+    centroids = N.fit_centroids(none, 4)
+    asked = none.withColumnRenamed("chunk_id", "question_id")
+    assert N.dense_topk_cells(asked, N.index_cells(none, centroids), centroids, 3, 2).isEmpty()
+
+
 def test_fusion_keeps_one_sided_hits(spark):
     schema = "question_id int, chunk_id int, rank int"
     dense = spark.createDataFrame([(1, 1, 1), (1, 2, 2)], schema)
