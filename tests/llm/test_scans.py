@@ -233,6 +233,31 @@ def test_gated_rules_find_what_ungated_ones_do():
     assert row("expat license") == ["mit"]
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("apache license 2.0", "apache-2"),
+        ("the apache 2.4 server", ""),
+        ("licensed under the Apache License, Version 2.0", "apache-2"),
+        ("licensed under cc by-sa 4.0", "cc-by,cc-by-sa"),
+        ("CC-BY-NC-ND-4.0", "cc-by,cc-by-nc-nd"),
+        ("gplv3", "gpl-3"),
+        ("a bare gpl-3.0 note", "gpl-3"),
+        ("GNU GPL v2+ or LGPL 2.1", "gpl-2,lgpl"),
+        ("the GNU General Public License 2", "gpl,gpl-2"),
+        ("MPL 2.0 and EPL-1.0", "epl,mpl-2"),
+        ("BSD 3-clause", "bsd-3"),
+        ("MIT-licensed", "mit"),
+        ("https://spdx.org/licenses/GPL-2.0-only", "gpl-2"),
+        ("See https://opensource.org/license/mit", "mit"),
+        ("you may not use this file except in compliance with the License", "apache-2"),
+        ("accept by mail, complaints by post", ""),
+    ],
+)
+def test_names_short_names_notices_and_links(text, labels):
+    assert Scanner(license_rules.rules()).row(brute.lower(text))[4] == labels
+
+
 def test_resolve():
     assert resolve([(0, 10, 5), (2, 8, 7)], 9) == [(0, 10, 5)]  # inside one of higher priority
     assert resolve([(0, 10, 5), (2, 8, 1)], 9) == [(0, 10, 5), (2, 8, 1)]  # inside one of lower priority
