@@ -24,12 +24,28 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def _width(name: str, kind: str) -> Column:
+    """About the bytes of a value, from its lengths alone."""
+    value = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        size = F.octet_length(value)
+    elif kind == "array<string>":
+        size = F.size(value) * 16 + F.octet_length(F.array_join(value, ""))
+    elif kind.startswith("array") and "<" not in kind[6:]:
+        size = F.size(value) * 8
+    elif "<" in kind:
+        size = F.length(F.to_json(F.struct(value)))
+    else:
+        size = F.lit(8)
+    return F.coalesce(size, F.lit(0)).cast("long") + 8
+
+
 def fits_broadcast(
     df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS, max_bytes: int = BROADCAST_MAX_BYTES
 ) -> bool:
     """Measure a frame against the broadcast bound: counts and sums per task, nothing gathered."""
     probe = (
-        df.select(F.length(F.to_json(F.struct("*"))).alias("width"))
+        df.select(sum((_width(name, kind) for name, kind in df.dtypes), F.lit(0)).alias("width"))
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("width"), F.lit(0)).alias("bytes"))
         .first()
     )

@@ -20,15 +20,16 @@ def measure_pages(
 ) -> DataFrame:
     """One row of page measurements per document.
 
-    Counts are partial sums before the shuffle; only the page numbers of one document are
-    gathered, and those that differ from their place in the document are kept. Codepoint labels are exploded only for
+    Counts are partial sums before the shuffle; of the page numbers only those are gathered that
+    differ from the page's ordinal, its place in the document. Codepoint labels are exploded only for
     pages that hold such characters and are made distinct map-side.
     """
     raw = F.col("raw_text")
     n_chars = F.length(T.strip(raw))
+    misplaced = F.struct(F.col("ordinal").cast("int").alias("position"), F.col("page_number").cast("int").alias("page_number"))
     counts = pages.groupBy("document_id").agg(
         F.count("*").alias("n_pages"),
-        F.array_sort(F.collect_list(F.struct("ordinal", "page_number"))).alias("numbers"),
+        F.array_sort(F.collect_list(F.when(~F.col("ordinal").eqNullSafe(F.col("page_number")), misplaced))).alias("misnumbered"),
         F.count_if(n_chars == 0).alias("n_empty"),
         F.count_if(n_chars < thin_page_chars).alias("n_thin"),
         F.sum(F.regexp_count(raw, F.lit(combining)).cast("long")).alias("n_combining"),
@@ -57,11 +58,8 @@ def measure_pages(
         )
     )
     nothing = F.array().cast("array<string>")
-    at = F.transform("numbers", lambda p, i: F.struct((i + 1).alias("position"), p["page_number"].alias("page_number")))
-    wrong = F.filter(at, lambda p: ~p["position"].eqNullSafe(p["page_number"]))
     return counts.join(private, "document_id", "left").select(
-        *[c for c in counts.columns if c != "numbers"],
-        wrong.alias("misnumbered"),
+        *counts.columns,
         F.coalesce("unmapped", nothing).alias("unmapped"),
         F.coalesce("symbols", nothing).alias("symbols"),
     )
