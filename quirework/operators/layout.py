@@ -47,19 +47,18 @@ def prose_blocks(blocks: DataFrame, tables: DataFrame, band_height: float = BAND
 
 
 def prose_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
-    """One row per page that has blocks: the text outside its tables in reading order."""
-    pages = blocks.select(*_PAGE).distinct()
-    in_order = F.array_sort(
-        F.collect_list(F.struct(F.col("bbox.y0").alias("y0"), "ordinal", "text"))
-    )
-    text = (
-        prose_blocks(blocks, tables)
+    """One row per page that has blocks: the text outside its tables in reading order.
+
+    Blocks are marked and grouped once, so the grouping also gives the pages without any prose.
+    """
+    inside = blocks_inside_tables(blocks, tables).withColumn("inside", F.lit(True))
+    line = F.struct(F.col("bbox.y0").alias("y0"), "ordinal", "text")
+    in_order = F.array_sort(F.collect_list(F.when(F.col("inside").isNull(), line)))
+    return (
+        blocks.join(inside, [*_PAGE, "ordinal"], "left")
         .groupBy(*_PAGE)
         .agg(F.array_join(F.transform(in_order, lambda b: b["text"]), "\n").alias("prose"))
     )
-    return pages.join(text, _PAGE, "left").select(
-        *_PAGE, F.coalesce("prose", F.lit("")).alias("prose")
-    )
 
 
 def headings(blocks: DataFrame, pattern: str = HEADING) -> DataFrame:
