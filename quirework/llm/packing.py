@@ -5,11 +5,13 @@ Documents become token ids plus an end mark. Full windows are cut off a long doc
 that minimises the sum of N(h)^2 after placing, where an empty and a full window count nothing. Ties go to
 the fuller window. The array N is all the state that a placement reads.
 
-Every task packs the documents it reads. Open windows are bounded: when ``max_open`` are open, and at the
-end of the task, their contents are joined and cut anew into full windows. The last remainder of a task is
-cut into windows of 2^k ids, which need no padding; so no window is padded at all.
+Every task packs the documents it reads. The windows that are open at its end go to a second round of few
+tasks, which places them as wholes by the same rule. What is open after that is joined and cut anew into full
+windows, and the last remainder into windows of 2^k ids, which need no padding; so no window is padded at all.
+Open windows are bounded: a task of the first round that has ``max_open`` of them hands them all on, one of
+the second round cuts them.
 
-Sequence ids hold the task's partition number in the high bits and count inside a task.
+Sequence ids hold the round and the task's partition number in the high bits and count inside a task.
 
 Cases: a null text is empty and consists of the end mark alone; repeated rows are packed each; one
 document may span many windows, and lies in memory one at a time; an empty table gives an empty result;
@@ -28,11 +30,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from quirework.functions.common import materialize
 from quirework.llm.text_bytes import BASES, LOWERED, Rolling, bounded, utf8, word_spans
 
 RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 TASK_BITS = 40
+SECOND = 1 << 22  # partitions of the second round count from here
 NOT_BLANK = np.ones(256, bool)
 NOT_BLANK[[9, 10, 13, 32]] = False
 SIGN = np.zeros(256, bool)
@@ -123,17 +127,21 @@ class WordTokens:
         return (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))
 
 
+Piece = tuple[int, int, bytes, int]  # document, its ids before, ids, ids of the document
+
+
 class Packer:
-    """Windows of one task. ``rows`` collects finished pieces."""
+    """Windows of one task. ``rows`` collects finished pieces, ``handed`` windows for the second round."""
 
-    def __init__(self, size: int, max_open: int, first_sequence: int) -> None:
-        self.size, self.max_open, self.next = size, max_open, first_sequence
+    def __init__(self, size: int, max_open: int, first_sequence: int, hand_on: bool = False) -> None:
+        self.size, self.max_open, self.next, self.hand_on = size, max_open, first_sequence, hand_on
         self.levels = np.zeros(size + 1, np.int64)  # N(h)
-        self.open: dict[int, list[list]] = {}  # level: windows, each a list of pieces
+        self.open: dict[int, list[list[Piece]]] = {}  # level: windows, each a list of pieces
         self.count = 0
         self.rows: list[tuple] = []
+        self.handed: list[list[Piece]] = []
 
-    def close(self, pieces: list[tuple]) -> None:
+    def close(self, pieces: list[Piece]) -> None:
         at = 0
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
@@ -147,7 +155,7 @@ class Packer:
         for k in range(whole):
             self.close([(doc, k * self.size, ids[k * width : (k + 1) * width], total)])
         if rest := total - whole * self.size:
-            self.place((doc, whole * self.size, ids[whole * width :], total), rest)
+            self.place([(doc, whole * self.size, ids[whole * width :], total)], rest)
 
     def best_level(self, n: int) -> int:
         """The level h at which placing n ids leaves the smallest sum of squares; 0 opens a window."""
@@ -158,14 +166,15 @@ class Packer:
         change[1:][levels[1 : size + 1 - n] == 0] = np.iinfo(np.int64).max
         return size - n - int(change[::-1].argmin())
 
-    def place(self, piece: tuple, n: int) -> None:
+    def place(self, pieces: list[Piece], n: int) -> None:
+        """Put pieces of n ids together, fewer than a window, into one window."""
         level = self.best_level(n)
         window = []
         if level:
             window = self.open[level].pop()
             self.levels[level] -= 1
             self.count -= 1
-        window.append(piece)
+        window += pieces
         if level + n == self.size:
             self.close(window)
             return
@@ -173,7 +182,13 @@ class Packer:
         self.levels[level + n] += 1
         self.count += 1
         if self.count >= self.max_open:
-            self.flush(False)
+            self.hand() if self.hand_on else self.flush(False)
+
+    def hand(self) -> None:
+        """All open windows go to the second round, fullest first."""
+        self.handed += [window for level in sorted(self.open, reverse=True) for window in self.open[level]]
+        self.open, self.count = {}, 0
+        self.levels[:] = 0
 
     def flush(self, last: bool) -> None:
         """Cut the contents of all open windows anew into full ones, fullest first; the remainder stays open or, at the end, is cut."""
@@ -198,6 +213,10 @@ class Packer:
         return self.size if left >= self.size or not last else 1 << max(0, left.bit_length() - 1)
 
 
+WINDOW = pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())]))
+FIRST_ROUND = RESULT + ", task long, window array<struct<doc_id:long,start:long,ids:binary,doc_tokens:long>>"
+
+
 def pack_documents(
     docs: DataFrame,
     tokenizer_path: str,
@@ -205,24 +224,56 @@ def pack_documents(
     text_col: str = "text",
     size: int = 4096,
     end_id: int = 2,
-    max_open: int = 512,
+    max_open: int = 4096,
+    second_windows: int = 65536,
 ) -> DataFrame:
-    """One row per piece. ``size`` is a power of two."""
+    """One row per piece. ``size`` is a power of two; a task of the second round gets about ``second_windows`` windows."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, end = WordTokens(tokenizer_path), struct.pack("<I", end_id)
-        packer = Packer(size, max_open, TaskContext.get().partitionId() << TASK_BITS)
+        task = TaskContext.get().partitionId()
+        packer = Packer(size, max_open, task << TASK_BITS, hand_on=True)
 
         def finished() -> pa.RecordBatch:
             rows, packer.rows = packer.rows, []
             columns = list(zip(*rows)) or [[]] * len(COLUMNS)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], COLUMNS)
+            arrays = [pa.array(c, pa.int64()) for c in columns]
+            return pa.RecordBatch.from_arrays([*arrays, pa.nulls(len(rows), pa.int64()), pa.nulls(len(rows), WINDOW)], [*COLUMNS, "task", "window"])
+
+        def handed() -> Iterator[pa.RecordBatch]:
+            windows, packer.handed = packer.handed, []
+            for at in range(0, len(windows), 256):
+                part = [[dict(zip(("doc_id", "start", "ids", "doc_tokens"), p)) for p in w] for w in windows[at : at + 256]]
+                empty = [pa.nulls(len(part), pa.int64())] * len(COLUMNS)
+                yield pa.RecordBatch.from_arrays([*empty, pa.array([(task << TASK_BITS) + at + k for k in range(len(part))], pa.int64()), pa.array(part, WINDOW)], [*COLUMNS, "task", "window"])
 
         for batch in bounded(batches, 1):
             for doc, ids in zip(batch.column(0).to_pylist(), tokens.ids(batch.column(1))):
                 packer.add(doc, ids + end)
             yield finished()
+            yield from handed()
+        packer.hand()
+        yield from handed()
+
+    def pack_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = Packer(size, max_open, (SECOND + TaskContext.get().partitionId()) << TASK_BITS)
+
+        def finished() -> pa.RecordBatch:
+            rows, packer.rows = packer.rows, []
+            columns = list(zip(*rows)) or [[]] * len(COLUMNS)
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], COLUMNS)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                for window in batch.column(0).slice(at, 64).to_pylist():
+                    pieces = [(p["doc_id"], p["start"], p["ids"], p["doc_tokens"]) for p in window]
+                    packer.place(pieces, sum(len(p[2]) // 4 for p in pieces))
+                yield finished()
         packer.flush(True)
         yield finished()
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pack, RESULT)
+    first = materialize(docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(pack, FIRST_ROUND), "packed")
+    open_ = first.where("window IS NOT NULL").select("task", "window")
+    tasks = open_.count() // second_windows + 1
+    second = open_.repartition(tasks, "task").select("window").mapInArrow(pack_windows, RESULT)
+    return first.where("window IS NULL").select(*COLUMNS).union(second)

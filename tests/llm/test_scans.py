@@ -18,8 +18,8 @@ from quirework.llm import license_rules
 from quirework.llm.decontaminate import drop_leaks, find_leaks
 from quirework.llm.language_id import identify_languages
 from quirework.llm.licenses import Scanner, resolve, scan_licenses
-from quirework.llm.packing import Packer, WordTokens, pack_documents
-from quirework.llm.quality import score_quality, tree_paths
+from quirework.llm.packing import SECOND, Packer, WordTokens, pack_documents
+from quirework.llm.quality import STATISTICS, learn_rules, score_quality, tree_paths
 
 SMALL = "/root/testdata/sf0.001"
 LARGER = "/root/testdata/sf0.01"
@@ -112,6 +112,41 @@ def test_quality_edges(spark, edge_docs, edge_rows, no_docs):
     assert [round(r.score, 6) for r in half] == [0.5]
 
 
+def plain_statistics(text):
+    """Every statistic of one text, counted one by one."""
+    data = (text or "").encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", data)
+    kinds = {"upper": bytes(range(65, 91)), "lower": bytes(range(97, 123)), "digit": b"0123456789", "high": bytes(range(128, 256)), "space": bytes([9, 10, 11, 12, 13, 32])}
+    kinds["other"] = bytes(set(range(256)) - set(b"".join(kinds.values())))
+    share = lambda kind: sum(b in kind for b in data) / max(1, len(data))
+    per_word = lambda values: sum(values) / max(1, len(words))
+    pairs = list(zip(words, words[1:]))
+    return [
+        len(data), len(words), data.count(b"\n") + 1, per_word(map(len, words)), per_word(len(w) > 20 for w in words),
+        *(share(kinds[k]) for k in ("upper", "lower", "digit", "other", "high", "space")),
+        per_word(w[-1] in kinds["other"] and w[-1] not in b".?," for w in words), share(b"|"), share(b"!"), share(b".?"),
+        len(set(words)) / max(1, len(words)), len(set(pairs)) / max(1, len(pairs)), per_word(a == b for a, b in pairs),
+        len(words) / max(1, sum(b in b".?" for b in data)),
+    ]
+
+
+def test_quality_scores_equal_the_rules_row_by_row(spark, larger, edge_docs, edge_rows):
+    """Statistics counted in plain Python, rules read one after another, weights added up; repeated rows get the same score."""
+    labels = spark.read.parquet(f"{LARGER}/labels.parquet")
+    rules, intercept = learn_rules(larger, labels, "doc_id", "text", "quality", 5, 0, 20_000, 12, 3, 0.0002, 7)
+    assert len(rules) > 1
+    repeated = edge_docs.select(F.col("doc_id") + 50_000, "text").union(edge_docs.select(F.col("doc_id") + 50_000, "text"))
+    docs = larger.select("doc_id", "text").union(repeated)
+    found = score_quality(docs, labels, penalty=0.0002).select("doc_id", "text", "score").collect()
+    assert len(found) == larger.count() + 2 * len(edge_rows)
+    test = {"<=": lambda a, b: a <= b, ">": lambda a, b: a > b}
+    for r in found[::7] + [r for r in found if r.doc_id >= 50_000]:
+        facts = dict(zip(STATISTICS, plain_statistics(r.text)))
+        holds = lambda rule: all(test[op](facts[name], float(limit[:-1])) for name, op, limit in (part.split() for part in rule.split(" AND ")))  # noqa: E731, B023
+        total = intercept + sum(weight for rule, weight in rules if holds(rule))
+        assert abs(r.score - 1 / (1 + np.exp(-total))) < 1e-9, (r.doc_id, facts)
+
+
 def test_tree_paths():
     text = "Tree 0\n    If (feature 0 <= 3.5)\n     If (feature 1 <= 1.0)\n      Predict: 0\n     Else (feature 1 > 1.0)\n      Predict: 1\n    Else (feature 0 > 3.5)\n     Predict: 1\n"
     assert tree_paths(text) == ["bytes <= 3.5D", "bytes <= 3.5D AND words <= 1.0D", "bytes <= 3.5D AND words > 1.0D", "bytes > 3.5D"]
@@ -138,9 +173,19 @@ def check_packing(pieces, rows, size=4096):
 def test_packing(spark, edge_docs, edge_rows, no_docs):
     check_packing(pack_documents(edge_docs, PATH).toPandas(), edge_rows)
     check_packing(pack_documents(edge_docs.coalesce(1), PATH, size=64, max_open=3).toPandas(), edge_rows, 64)
+    check_packing(pack_documents(edge_docs, PATH, size=64, max_open=2, second_windows=3).toPandas(), edge_rows, 64)
     assert pack_documents(no_docs, PATH).count() == 0
 
 
+def test_windows_come_from_the_rule_in_two_rounds(spark, larger):
+    """Rests of documents fill windows by sum of squares in two rounds; the smaller part is left to be cut anew, and none is padded."""
+    pieces = pack_documents(larger.repartition(4, "doc_id"), PATH, size=64).toPandas()
+    check_packing(pieces, [(r.doc_id, r.text) for r in larger.select("doc_id", "text").collect()], 64)
+    rests = pieces[pieces.start >= pieces.doc_tokens // 64 * 64]
+    cut_anew = rests[(rests.start % 64 != 0) | (rests.start + rests.length != rests.doc_tokens)].sequence_id.nunique()
+    assert cut_anew < 0.5 * rests.sequence_id.nunique() and (pieces.sequence_id >= (SECOND << 40)).any()
+
+
 SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
 
