@@ -1,16 +1,16 @@
 """Exchange of window hashes between blocks of documents.
 
-Documents are dealt by a hash of their id into blocks of bounded size. A block names each of its windows
+Documents are dealt by a hash of id and text into blocks of bounded size. A block names each of its windows
 by a hash and sends every distinct one once, packed into one binary value per bucket of hash values. A
 bucket compares what the blocks sent and answers every block with one bit per hash it sent. Blocks and
-buckets grow in number with the input and not in size; a window that a third of all documents share is
+buckets, and the partitions they lie in, grow in number with the input and not in size; a window that a third of all documents share is
 sent once per block, so no bucket gathers the documents that share it.
 
 A block computes the same hashes in the same order each time, so answers need no keys. All rounds read
 the documents from one and the same exchange.
 """
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,14 @@ def in_blocks(docs: DataFrame, id_col: str, text_col: str, block_bytes: int, buc
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = total // block_bytes + 1
-    return rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text"), total // bucket_bytes + 1
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    return spread(dealt, "block", blocks), total // bucket_bytes + 1
+
+
+def spread(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows by a key of n values, in partitions of their own where they are more than the session's."""
+    own = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, key) if n > own else rows
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -119,7 +126,7 @@ def repeated(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def mark_shared(sent: DataFrame, which: int, width: int) -> DataFrame:
+def mark_shared(sent: DataFrame, which: int, width: int, buckets: int) -> DataFrame:
     """Answers with one bit per hash: does another block send it, too? Blocks without any get no answer."""
 
     def compare(key: tuple, table: pa.Table) -> pa.Table:
@@ -129,7 +136,7 @@ def mark_shared(sent: DataFrame, which: int, width: int) -> DataFrame:
         parts = [shared[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
         return answer_table(blocks, which, key[0].as_py(), [np.packbits(p).tobytes() if p.any() else None for p in parts])
 
-    return sent.groupBy("bucket").applyInArrow(compare, ANSWER)
+    return spread(sent, "bucket", buckets).groupBy("bucket").applyInArrow(compare, ANSWER)
 
 
 def from_blocks(blocks: DataFrame, work: Work) -> DataFrame:

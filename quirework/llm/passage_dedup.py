@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quirework.llm.blocks import Parcels, answer_table, bits, bucket_of, from_blocks, in_blocks, mark_shared, received, with_answers
+from quirework.llm.blocks import Parcels, answer_table, bits, bucket_of, from_blocks, in_blocks, mark_shared, received, spread, with_answers
 from quirework.llm.text_bytes import BASES, NOT_SPACE, Rolling, utf8, word_spans
 
 RESULT = "doc_id long, n_words long, n_removed long, n_spans long, text string"
@@ -127,7 +127,7 @@ def dedup_passages(
             }
         )
 
-    marks = mark_shared(from_blocks(blocks, send_all), 1, 6)
+    marks = mark_shared(from_blocks(blocks, send_all), 1, 6, buckets)
     sent = with_answers(blocks, marks, send_shared, "bucket int, block int, payload binary")
-    least = sent.groupBy("bucket").applyInArrow(smallest_ids, "block int, round int, bucket int, payload binary")
+    least = spread(sent, "bucket", buckets).groupBy("bucket").applyInArrow(smallest_ids, "block int, round int, bucket int, payload binary")
     return with_answers(blocks, marks.union(least), remove, RESULT)

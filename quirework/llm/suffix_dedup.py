@@ -168,6 +168,6 @@ def dedup_substrings(
             }
         )
 
-    marks = mark_shared(from_blocks(blocks, send_samples), 1, 6)
-    again = mark_shared(with_answers(blocks, marks, send_open, SENT), 2, 8)
+    marks = mark_shared(from_blocks(blocks, send_samples), 1, 6, buckets)
+    again = mark_shared(with_answers(blocks, marks, send_open, SENT), 2, 8, buckets)
     return with_answers(blocks, marks.union(again), remove, RESULT)
