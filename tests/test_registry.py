@@ -1,4 +1,3 @@
-import pytest
 from pyspark.sql import functions as F
 
 from quirework.functions import vectors as V
