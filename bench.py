@@ -1,7 +1,8 @@
 """Seconds per headline query at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; one JSON line.
 
 Each query runs to completion into a sink that keeps nothing. ``queries`` holds warm times
-(second run); ``cold`` holds the first run in the same session.
+(second run); ``cold`` holds the first run in the same session. Search queries read a store of
+passages, vectors and postings, which the first of them writes: that is in its cold time.
 """
 
 import json
