@@ -225,7 +225,7 @@ def pack_documents(
     size: int = 4096,
     end_id: int = 2,
     max_open: int = 4096,
-    second_windows: int = 65536,
+    second_windows: int = 4096,
 ) -> DataFrame:
     """One row per piece. ``size`` is a power of two; a task of the second round gets about ``second_windows`` windows."""
 
