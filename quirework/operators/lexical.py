@@ -148,11 +148,12 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def stored_postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index as it is stored (``POSTINGS``), grouped inside each chunk's own row, without a shuffle."""
-    tokens = F.col("tokens")
-    term = F.explode(F.array_distinct(tokens)).alias("term")
-    positions = F.filter(F.transform(tokens, lambda t, i: F.when(t == F.col("term"), i + 1)), lambda i: i.isNotNull())
-    return chunks.select("chunk_id", "document_id", "tokens", term).select("term", "chunk_id", "document_id", positions.alias("positions"))
+    """The inverted index as it is stored (``POSTINGS``): one row per term of a chunk, its places from 1 in order."""
+    return (
+        chunks.select("chunk_id", "document_id", F.posexplode("tokens").alias("at", "term"))
+        .groupBy("term", "chunk_id", "document_id")
+        .agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    )
 
 
 def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
