@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from quirework.functions.common import materialize
-from quirework.operators.dense import CHUNK_BLOCK, QUERY_BLOCK, _best, _matrix, _unit, dense_topk
+from quirework.operators.dense import CHUNK_BLOCK, QUERY_BLOCK, _matrix, _unit, dense_topk, grouped
 from quirework.operators.lexical import top_k
 
 SAMPLE = 20_000
@@ -81,38 +81,12 @@ def dense_topk_cells(
 ) -> DataFrame:
     """(question_id, chunk_id, score, rank) of the best chunks in the ``probes`` cells nearest to each question.
 
-    Question and chunk rows meet by cell. A cell with more chunks or questions than a block is cut into
-    blocks, so neither a crowded cell nor a popular question gathers in one task.
+    Question and chunk rows meet by cell, as ``grouped`` does it: neither a crowded cell nor a popular
+    question gathers in one task.
     """
     asked = questions.select("question_id", "embedding").filter(F.col("embedding").isNotNull())
     looked = materialize(nearest_cells(asked, centroids, probes), "probes")
-    types = dict(asked.dtypes) | dict(indexed.dtypes)
-    schema = f"question_id {types['question_id']}, chunk_id {types['chunk_id']}, score double"
-
-    def blocks_of(rows: DataFrame, size: int, name: str) -> DataFrame:
-        return rows.groupBy("cell").agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-
-    sizes = materialize(  # a row per cell, at most MOST_CELLS
-        blocks_of(indexed, chunk_block, "n_c").join(blocks_of(looked, query_block, "n_q"), "cell"), "cell-sizes"
-    )
-    of = lambda column, n: F.pmod(F.xxhash64(column), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = looked.join(F.broadcast(sizes), "cell").select("question_id", "embedding", "cell", of("question_id", "n_q").alias("q_block"), every("n_c").alias("c_block"))
-    right = indexed.join(F.broadcast(sizes), "cell").select("chunk_id", "embedding", "cell", every("n_q").alias("q_block"), of("chunk_id", "n_c").alias("c_block"))
-
-    def work(asking: pa.Table, held: pa.Table) -> pa.Table:
-        names = ["question_id", "chunk_id", "score"]
-        if not asking.num_rows or not held.num_rows:
-            return pa.table([asking.column("question_id").slice(0, 0), held.column("chunk_id").slice(0, 0), pa.array([], pa.float64())], names)
-        held = held.sort_by("chunk_id")
-        found = [
-            pa.table([asking.column("question_id").take(pa.array(q)), held.column("chunk_id").take(pa.array(c)), pa.array(scores)], names)
-            for q, c, scores in _best(_unit(_matrix(asking.column("embedding"))), _unit(_matrix(held.column("embedding"))), k, digits)
-        ]
-        return pa.concat_tables(found).combine_chunks()
-
-    keys = ["cell", "q_block", "c_block"]
-    return top_k(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema), k)
+    return top_k(grouped(looked, indexed, k, digits, query_block, chunk_block), k)
 
 
 def recall(found: DataFrame, exact: DataFrame) -> float:
