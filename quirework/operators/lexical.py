@@ -8,6 +8,9 @@ from quirework.functions.common import broadcast_within_bound, fits_broadcast, l
 # Fixed value: weight of a token without a label in the cover-density rank.
 COVER_WEIGHT = 0.1
 
+# Most anchors that stand in a plan as literals.
+ANCHOR_LITERALS = 20_000
+
 POSTINGS = "term string, chunk_id string, document_id string, positions array<int>"
 
 
@@ -24,9 +27,10 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def tokens_of(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, tokens): the stored tokens where the chunk table has them."""
-    tokens = F.col("tokens") if "tokens" in chunks.columns else T.tokenize(F.col("content"))
-    return chunks.select("chunk_id", tokens.alias("tokens"))
+    """(chunk_id, tokens): the stored tokens where the chunk table has them; otherwise they are written once."""
+    if "tokens" in chunks.columns:
+        return chunks.select("chunk_id", "tokens")
+    return materialize(chunks.select("chunk_id", T.tokenize(F.col("content")).alias("tokens")), "tokens")
 
 
 def question_terms(questions: DataFrame, tokenized: DataFrame) -> DataFrame:
@@ -70,8 +74,13 @@ def lexical_matches(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     terms = materialize(question_terms(questions, tokenized), "terms")
     holds_all = F.size(F.array_intersect("terms", "tokens")) == F.size("terms")
     if fits_broadcast(terms):
-        anchors = terms.agg(F.collect_set("anchor").alias("anchors"))  # one row, as bounded as the terms
-        held = tokenized.join(F.broadcast(anchors)).withColumn("anchor", F.array_intersect("tokens", "anchors"))
+        anchors = terms.select("anchor").distinct()
+        known = [r["anchor"] for r in anchors.limit(ANCHOR_LITERALS + 1).collect()]
+        if len(known) <= ANCHOR_LITERALS:  # one hash set for all chunks
+            held = tokenized.withColumn("anchor", F.array_distinct(F.filter("tokens", lambda t: t.isin(known))))
+        else:
+            one = anchors.agg(F.collect_set("anchor").alias("anchors"))  # one row, as bounded as the terms
+            held = tokenized.join(F.broadcast(one)).withColumn("anchor", F.array_intersect("tokens", "anchors"))
         probe = held.filter(F.size("anchor") > 0).select("chunk_id", "tokens", F.explode("anchor").alias("anchor"))
         matched = probe.join(F.broadcast(terms), "anchor").filter(holds_all)
     else:
@@ -148,11 +157,33 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 
 
 def stored_postings(chunks: DataFrame) -> DataFrame:
-    """The inverted index as it is stored (``POSTINGS``): one row per term of a chunk, its places from 1 in order."""
-    return (
-        chunks.select("chunk_id", "document_id", F.posexplode("tokens").alias("at", "term"))
-        .groupBy("term", "chunk_id", "document_id")
-        .agg(F.array_sort(F.collect_list(F.col("at") + 1)).alias("positions"))
+    """The inverted index as it is stored (``POSTINGS``): one row per term of a chunk, its places from 1 in order.
+
+    A chunk's tokens stand in one row, so its places are sorted by term there and cut into runs: nothing is shuffled.
+    """
+    by_term = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("at"))))
+
+    def runs(placed: Column) -> Column:
+        begins = F.filter(
+            F.transform(placed, lambda p, i: F.when((i == 0) | (p["term"] != F.get(placed, i - 1)["term"]), i)),
+            lambda i: i.isNotNull(),
+        )
+
+        def cut(begins: Column) -> Column:
+            return F.transform(
+                begins,
+                lambda at, n: F.struct(
+                    F.get(placed, at)["term"].alias("term"),
+                    F.transform(
+                        F.slice(placed, at + 1, F.coalesce(F.get(begins, n + 1), F.size(placed)) - at), lambda p: p["at"]
+                    ).alias("positions"),
+                ),
+            )
+
+        return let(begins, cut)
+
+    return chunks.select("chunk_id", "document_id", F.inline(let(by_term, runs))).select(
+        "term", "chunk_id", "document_id", "positions"
     )
 
 
@@ -160,16 +191,21 @@ def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
     """(question_id, chunk_id, n_terms, places) of chunks that hold every term of a question, from stored postings.
 
     The index is scanned, not shuffled: its rows meet the questions' vocabulary, then the rarest term of
-    each question, within the broadcast bound; what is left are rows of the questions' own terms. Candidates
-    of a question are the postings of its rarest term, each checked against the postings of the others.
+    each question, within the broadcast bound; what is left are rows of the questions' own terms. A question of
+    one term has its postings for an answer. Candidates of a longer one are the postings of its rarest term, each
+    checked against the postings of the others.
     """
     terms = F.array_distinct(T.tokenize(T.normalize_query(F.col("question"))))
     asked = questions.select("question_id", terms.alias("terms")).filter(F.size("terms") > 0)
-    words = materialize(
+    every = materialize(
         asked.select("question_id", F.size("terms").alias("n_terms"), F.posexplode("terms").alias("i", "term"))
         .withColumn("i", F.col("i") + 1),
         "question-terms",
     )
+    alone, words = every.filter("n_terms = 1"), every.filter("n_terms > 1")
+    place = lambda i: F.transform("positions", lambda p: F.struct(p.alias("pos"), i.alias("term")))
+    single = index.join(broadcast_within_bound(alone), "term").select("question_id", "chunk_id", "n_terms", place(F.col("i")).alias("places"))
+
     vocabulary = broadcast_within_bound(words.select("term").distinct())
     own = index.join(vocabulary, "term", "left_semi")
     frequency = own.groupBy("term").agg(F.count("*").alias("n"))
@@ -182,14 +218,15 @@ def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
     )
     anchors = broadcast_within_bound(materialize(rarest, "anchors"))
     candidates = index.select("term", "chunk_id").join(anchors, "term").select("question_id", "chunk_id")
-    wanted = materialize(candidates.join(words, "question_id"), "wanted")
+    wanted = materialize(candidates.join(broadcast_within_bound(words), "question_id"), "wanted")
     held = own.join(broadcast_within_bound(wanted), ["term", "chunk_id"])
-    in_order = F.array_sort(F.flatten(F.collect_list(F.transform("positions", lambda p: F.struct(p.alias("pos"), F.col("i").alias("term"))))))
+    in_order = F.array_sort(F.flatten(F.collect_list(place(F.col("i")))))
     return (
         held.groupBy("question_id", "chunk_id")
         .agg(F.first("n_terms").alias("n_terms"), F.count("*").alias("n_held"), in_order.alias("places"))
         .filter("n_held = n_terms")
         .drop("n_held")
+        .unionByName(single)
     )
 
 
