@@ -47,6 +47,34 @@ DIVIDERS = "★☆→•"
 STORE = "packing_word_store"
 
 
+def _nothing() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A store of parts in four arrays: hashes in order, where the ids of each begin, how many they are, all ids."""
+    return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+
+def _find(store: tuple, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of each name in the store, and whether it is there."""
+    hashes = store[0]
+    if not len(hashes):
+        return np.zeros(len(names), np.int64), np.zeros(len(names), bool)
+    at = np.minimum(np.searchsorted(hashes, names), len(hashes) - 1)
+    return at, hashes[at] == names
+
+
+def _joined(store: tuple, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The ids of runs of the store, one run after another."""
+    ends = np.cumsum(counts)
+    return store[3][np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _with(store: tuple, names: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> tuple:
+    """The store with further parts, whose names are in order and new."""
+    hashes, starts, lengths, flat = store
+    at = np.searchsorted(hashes, names)
+    begins = len(flat) + np.cumsum(counts) - counts
+    return np.insert(hashes, at, names), np.insert(starts, at, begins), np.insert(lengths, at, counts), np.concatenate((flat, ids))
+
+
 class WordTokens:
     """Token ids of whole texts from the ids of their words.
 
@@ -57,7 +85,8 @@ class WordTokens:
     first. Stems and tails are found and named
     by hashes for many texts together; only distinct ones are looked up, and new ones are encoded, many
     in one call, divided by a sign that is one token. The store of known ones belongs to the worker
-    process, not to the task; when half full it starts anew and takes over what is still asked for.
+    process, not to the task, and lies in a few arrays, since it stays while later stages run; when half full it
+    starts anew and takes over what is still asked for.
     """
 
     def __init__(self, path: str, max_parts: int = 400_000) -> None:
@@ -67,7 +96,7 @@ class WordTokens:
         self.max_parts, self.rolling = max_parts, Rolling(BASES[0])
         store = sys.modules.setdefault(STORE, types.ModuleType(STORE)).__dict__  # functions are sent by value, so globals end with the task
         if path not in store:
-            store[path] = (Tokenizer.from_file(path), [{}, {}])
+            store[path] = (Tokenizer.from_file(path), [_nothing(), _nothing()])
         self.tokenizer, self.known = store[path]
         single = [self.tokenizer.encode(sign, add_special_tokens=False).ids for sign in DIVIDERS]
         self.divider, self.divider_id = next(((sign, ids[0]) for sign, ids in zip(DIVIDERS, single) if len(ids) == 1), (None, None))
@@ -109,21 +138,25 @@ class WordTokens:
         data, offsets = utf8(column)
         low, first, last, own = self.parts(data, offsets)
         names, at, which = np.unique(self.rolling.spans(low, first, last), return_index=True, return_inverse=True)
-        if len(self.known[0]) > self.max_parts // 2:
-            self.known[:] = {}, self.known[0]
+        if len(self.known[0][0]) > self.max_parts // 2:
+            self.known[:] = _nothing(), self.known[0]
         known, before = self.known
-        hashes = names.tolist()
-        known.update((h, before[h]) for h in hashes if h not in known and h in before)
-        missing = [k for k, h in enumerate(hashes) if h not in known]
-        words = [low[a:b].tobytes().decode() for a, b in zip(first[at[missing]].tolist(), last[at[missing]].tolist())]
-        known.update(zip([hashes[k] for k in missing], self.encode(words)))
-        tokens = [known[h] for h in hashes]
-        flat, lengths = np.frombuffer(b"".join(tokens), "<u4"), np.array([len(t) // 4 for t in tokens], np.int64)
-        counts = lengths[which]
+        unknown = np.flatnonzero(~_find(known, names)[1])
+        place, taken = _find(before, names[unknown])
+        if taken.any():
+            counts = before[2][place[taken]]
+            known = _with(known, names[unknown[taken]], counts, _joined(before, before[1][place[taken]], counts))
+        missing = unknown[~taken]
+        if len(missing):
+            words = [low[a:b].tobytes().decode() for a, b in zip(first[at[missing]].tolist(), last[at[missing]].tolist())]
+            new = self.encode(words)
+            known = _with(known, names[missing], np.array([len(t) // 4 for t in new], np.int64), np.frombuffer(b"".join(new), "<u4"))
+        self.known[0] = known
+        place, _ = _find(known, names)
+        counts = known[2][place][which]
         ends = np.cumsum(counts)
-        source = np.repeat((np.cumsum(lengths) - lengths)[which] - (ends - counts), counts) + np.arange(counts.sum())
+        ids = _joined(known, known[1][place][which], counts)
         cuts = np.r_[0, ends][own].tolist()
-        ids = flat[source]
         return (ids[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:]))
 
 

@@ -373,3 +373,15 @@ def test_leaks_of_the_small_tables(spark):
     pairs = Counter((r.doc_id, r.item_id) for r in find_leaks(docs, benchmark).collect())
     assert set(pairs) == leaks([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in benchmark.collect()])
     assert set(pairs.values()) == {1}
+
+
+def test_the_word_store_stays_small_beside_other_stages():
+    """pipeline: each worker kept its words as Python objects, over 100 bytes a word, while later stages ran."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = WordTokens(path, max_parts=3000)
+    texts = [" ".join(f"w{k * 7919 % 9973}x{k % 11}" for k in range(i, i + 400)) for i in range(0, 4000, 300)]
+    for text in [None, "", *texts, texts[0]]:
+        plain = words.tokenizer.encode((text or "").lower(), add_special_tokens=False).ids
+        assert list(words.ids(pa.array([text]))) == [np.array(plain, "<u4").tobytes()]
+    assert 0 < len(words.known[0][0]) <= 3000 // 2 + 400
+    assert sum(part.nbytes for part in words.known[0]) < 64 * len(words.known[0][0])
