@@ -58,11 +58,15 @@ def quota_heavy(spark, sf_dir):
 
 
 _ROUNDS = 4
+_FILE_ROWS = 1_000_000
 
 
 @query("quota_stream", _PLAIN)
 def quota_stream(spark, sf_dir):
-    """Requests arriving in four files, up to a day out of order, then a heartbeat that moves the watermark past them all."""
+    """Requests arriving in four rounds, up to a day out of order, then a heartbeat that moves the watermark past them all.
+
+    A round is so many files, each written by a task of its own, and a batch takes as many: it holds one round.
+    """
     log = requests(spark, sf_dir)
     second = F.unix_timestamp("ts")
     span = log.agg(F.min(second).alias("low"), F.max(second).alias("high")).first()
@@ -70,12 +74,16 @@ def quota_stream(spark, sf_dir):
     arrival = F.floor(shifted * _ROUNDS / F.lit(span["high"] - span["low"] + _DAY + 1))
     out = scratch_path(spark, "quota")
     dealt = materialize(log.withColumn("arrival", arrival), "requests")
+    rows = {r["arrival"]: r["count"] for r in dealt.groupBy("arrival").count().collect()}
+    files = max(1, min(rows.get(number, 0) for number in range(_ROUNDS)) // _FILE_ROWS)
     for number in range(_ROUNDS):
-        dealt.filter(F.col("arrival") == number).drop("arrival").coalesce(1).write.mode("append").parquet(f"{out}/arrivals")
+        one_round = dealt.filter(F.col("arrival") == number).drop("arrival")
+        laid = one_round.repartition(files) if files > 1 else one_round.coalesce(1)
+        laid.write.mode("append").parquet(f"{out}/arrivals")
     heartbeat = F.timestamp_seconds(F.lit(span["high"] + 4 * _DAY)).alias("ts")
     key = F.lit(None).cast(dict(log.dtypes)["key"]).alias("key")
     spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), key, heartbeat).write.mode("append").parquet(f"{out}/arrivals")
-    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/arrivals")
+    arriving = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files).parquet(f"{out}/arrivals")
     marked = mark_quota_stream(arriving, _LIMIT, _DAY, lateness="2 days")
     provider = spark.conf.get(STATE_STORE)
     spark.conf.set(STATE_STORE, ROCKS_DB)

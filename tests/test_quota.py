@@ -108,3 +108,31 @@ def test_requests_beyond_the_lateness_get_no_row(spark, tmp_path):
     rows = [("a", 1000 + s) for s in range(20)] + [("a", 5000)] + [("a", 0)]
     out, _ = streamed(spark, str(tmp_path), log(spark, rows), [list(range(20)), [20], [21]], 3, 60, "1 minute")
     assert marks(out) == expected(rows[:21], 3, 60)
+
+
+def test_state_follows_slots_not_keys(spark, tmp_path):
+    """Large whole keys and null; the store holds a row per slot, and windows left open by one batch go on in the next."""
+    rng = np.random.default_rng(12)
+    ddl = "event_id bigint, key bigint, ts timestamp"
+    rows = [(i, None if i % 20 == 0 else 2**60 + i % 70, START + timedelta(seconds=int(s))) for i, s in enumerate(np.sort(rng.integers(0, 400, 600)))]
+    events = spark.createDataFrame(rows, ddl)
+    beats = spark.createDataFrame([(-1, 5, START + timedelta(seconds=500))], ddl)
+    for part in (events.filter("event_id < 300"), events.filter("event_id >= 300"), beats):
+        part.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, ROCKS_DB)
+    try:
+        marked = mark_quota_stream(stream, 2, 300, "50 seconds", slots=2)
+        writer = marked.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/cp")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        held = spark.read.format("statestore").option("stateVarName", "open").load(f"{tmp_path}/cp").count()
+    finally:
+        spark.conf.set(STATE_STORE, before)
+    out = spark.read.parquet(f"{tmp_path}/out").filter("event_id >= 0").select("event_id", "key", "allowed", "retry_after")
+    single = events.filter("key is not null")
+    assert out.filter("key is not null").exceptAll(mark_quota(single, 2, 300).select(out.columns)).isEmpty()
+    nulls = mark_quota(events.filter("key is null").withColumn("key", F.lit(0).cast("bigint")), 2, 300)
+    assert marks(out.filter("key is null")) == marks(nulls)
+    assert out.count() == 600
+    assert 0 < held <= 3
