@@ -1,12 +1,14 @@
 """Vector expressions and the default embedder."""
 
 from collections.abc import Callable, Iterator
+from hashlib import md5
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
-from quirework.functions.common import let
-
 # Fixed value: inputs that a model takes in one call.
 MODEL_BATCH = 200
 
@@ -25,16 +27,23 @@ def wrong_dimension(embedding: Column, dimension: int) -> Column:
 
 
 def hashing_embedder(dimension: int = 64):
-    """Column function from a token array to a token-count vector by hashed slot, inside the JVM.
+    """Column function from a token array to a token-count vector by hashed slot.
 
-    It is the default where a model may stand (``model_embedder``).
+    It is the default where a model may stand (``model_embedder``). A distinct token of an Arrow batch is hashed
+    once, and all vectors of the batch are counted in one pass over its tokens.
     """
 
-    def embed(tokens: Column) -> Column:
-        slots = F.transform(tokens, lambda t: F.conv(F.substring(F.md5(t), 1, 6), 16, 10).cast("int") % dimension)
-        of_slot = F.sequence(F.lit(0), F.lit(dimension - 1))
-        counts = let(slots, lambda s: F.transform(of_slot, lambda d: (F.size(s) - F.size(F.array_remove(s, d))).cast("float")))
-        return F.when(tokens.isNotNull(), counts)
+    @F.arrow_udf("array<float>")
+    def embed(tokens: pa.Array) -> pa.Array:
+        flat, rows = pc.list_flatten(tokens), pc.list_parent_indices(tokens).to_numpy()
+        coded = flat.dictionary_encode()
+        slots = np.array([int(md5(t.encode()).hexdigest()[:6], 16) % dimension for t in coded.dictionary.to_pylist()], dtype=np.int64)
+        known = flat.is_valid().to_numpy(zero_copy_only=False)
+        codes = coded.indices.drop_null().to_numpy()
+        counts = np.bincount(rows[known] * dimension + slots[codes], minlength=len(tokens) * dimension)
+        vectors = pa.array(counts.astype(np.float32))
+        ends = pa.array(np.arange(len(tokens) + 1, dtype=np.int32) * dimension)
+        return pa.ListArray.from_arrays(ends, vectors, mask=tokens.is_null())
 
     return embed
 

@@ -1,5 +1,10 @@
 """Lexical retrieval: conjunctive token match, ranked by cover density or term frequency."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirework.functions import text as T
@@ -11,6 +16,9 @@ COVER_WEIGHT = 0.1
 # Most anchors that stand in a plan as literals.
 ANCHOR_LITERALS = 20_000
 
+# Postings that a task hands over at once.
+POSTING_ROWS = 50_000
+
 POSTINGS = "term string, chunk_id string, document_id string, positions array<int>"
 
 
@@ -159,32 +167,34 @@ def top_k(scored: DataFrame, k: int) -> DataFrame:
 def stored_postings(chunks: DataFrame) -> DataFrame:
     """The inverted index as it is stored (``POSTINGS``): one row per term of a chunk, its places from 1 in order.
 
-    A chunk's tokens stand in one row, so its places are sorted by term there and cut into runs: nothing is shuffled.
+    A chunk's tokens stand in one row, so the places of an Arrow batch are ordered by chunk and term in its task
+    and cut into runs: nothing is shuffled.
     """
-    by_term = F.array_sort(F.transform("tokens", lambda t, i: F.struct(t.alias("term"), (i + 1).alias("at"))))
-
-    def runs(placed: Column) -> Column:
-        begins = F.filter(
-            F.transform(placed, lambda p, i: F.when((i == 0) | (p["term"] != F.get(placed, i - 1)["term"]), i)),
-            lambda i: i.isNotNull(),
-        )
-
-        def cut(begins: Column) -> Column:
-            return F.transform(
-                begins,
-                lambda at, n: F.struct(
-                    F.get(placed, at)["term"].alias("term"),
-                    F.transform(
-                        F.slice(placed, at + 1, F.coalesce(F.get(begins, n + 1), F.size(placed)) - at), lambda p: p["at"]
-                    ).alias("positions"),
-                ),
-            )
-
-        return let(begins, cut)
-
-    return chunks.select("chunk_id", "document_id", F.inline(let(by_term, runs))).select(
-        "term", "chunk_id", "document_id", "positions"
-    )
+    types = dict(chunks.dtypes)
+    schema = f"term string, chunk_id {types['chunk_id']}, document_id {types['document_id']}, positions array<int>"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens = batch.column("tokens")
+            flat, rows = pc.list_flatten(tokens), pc.list_parent_indices(tokens).to_numpy()
+            if len(flat) == 0:
+                continue
+            coded = flat.dictionary_encode()
+            at = np.arange(len(rows)) - np.searchsorted(rows, rows) + 1
+            run = rows * len(coded.dictionary) + coded.indices.to_numpy()
+            order = np.argsort(run, kind="stable")
+            begins = np.flatnonzero(np.diff(run[order], prepend=-1))
+            first = order[begins]
+            ends = np.append(begins, len(order)).astype(np.int32)
+            columns = [
+                flat.take(pa.array(first)),
+                batch.column("chunk_id").take(pa.array(rows[first])),
+                batch.column("document_id").take(pa.array(rows[first])),
+                pa.ListArray.from_arrays(pa.array(ends), pa.array(at[order].astype(np.int32))),
+            ]
+            yield from pa.table(columns, ["term", "chunk_id", "document_id", "positions"]).to_batches(max_chunksize=POSTING_ROWS)
+
+    return chunks.select("chunk_id", "document_id", "tokens").mapInArrow(cut, schema)
 
 
 def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
@@ -232,6 +242,9 @@ def postings_matches(questions: DataFrame, index: DataFrame) -> DataFrame:
 
 def postings_topk(questions: DataFrame, index: DataFrame, k: int, rank: str = "cover", digits: int = 6) -> DataFrame:
     """``lexical_topk`` over stored postings."""
-    score = cover_density(F.col("places"), F.col("n_terms")) if rank == "cover" else F.size("places").cast("double")
+    n_places = F.size("places").cast("double")
+    # every place of a lone term is a span of its own, without other words inside
+    cover = F.when(F.col("n_terms") == 1, n_places * COVER_WEIGHT).otherwise(cover_density(F.col("places"), F.col("n_terms")))
+    score = cover if rank == "cover" else n_places
     scored = postings_matches(questions, index).select("question_id", "chunk_id", F.round(score, digits).alias("score"))
     return top_k(scored, k)
