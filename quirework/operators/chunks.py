@@ -121,11 +121,14 @@ def chunk_documents(
         .filter(~T.is_blank(F.col("content")))
     )
     down_the_page = Window.partitionBy(*page).orderBy(F.col("bbox.y0"), "ordinal")
-    parts = tbl.split_table(T.normalize_table(F.col("markdown"), strict), max_chars)
+    # a table crosses the shuffles as its markdown alone, which is normalised once and split by its column
+    rendered = tables.select(*page, "ordinal", "bbox", "markdown")
+    parts = tbl.split_table(F.col("normalized"), max_chars)
     tabular = (
-        layout.section_for_tables(tables, blocks, heading)
+        layout.section_for_tables(rendered, blocks, heading)
         .join(blocks.select(*page).distinct(), page, "left_semi")
         .withColumn("position", F.row_number().over(down_the_page))
+        .withColumn("normalized", T.normalize_table(F.col("markdown"), strict))
         .select(*page, "position", "section", F.posexplode(parts).alias("part", "content"))
         .select(
             *page,

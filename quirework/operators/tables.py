@@ -9,8 +9,9 @@ MAX_CHARS = 1800
 
 
 def clean_cell(cell: Column) -> Column:
+    """Bars escaped, whitespace collapsed; most cells hold neither and are only looked through."""
     escaped = F.replace(cell, F.lit("|"), F.lit("\\|"))
-    return F.regexp_replace(strip(escaped), rf"{WS}+", " ")
+    return F.when(cell.rlike(rf"\||{WS}"), F.regexp_replace(strip(escaped), rf"{WS}+", " ")).otherwise(cell)
 
 
 def pad_rows(cells: Column, width: Column) -> Column:
