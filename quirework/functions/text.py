@@ -5,7 +5,9 @@ of the contract: content, hash, embedding and tokens all derive from its result.
 Every step but NFC is a built-in expression and stays inside code generation.
 """
 
+import re
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -78,7 +80,8 @@ def split_lines(text: Column) -> Column:
 def restore_pua(text: Column, strict: bool = False) -> Column:
     """Map private-use tone marks to Thai. Unmapped codes are never dropped:
     they stay in the text, or fail the job when ``strict``."""
-    repaired = F.translate(text, "".join(PUA_TO_THAI), "".join(PUA_TO_THAI.values()))
+    marks = F.translate(text, "".join(PUA_TO_THAI), "".join(PUA_TO_THAI.values()))
+    repaired = F.when(text.rlike(THAI_PUA), marks).otherwise(text)
     if not strict:
         return repaired
     message = F.concat(
@@ -102,10 +105,18 @@ def to_nfc(text: Column) -> Column:
     return F.coalesce(_nfc(F.when(needs_work, text)), text)
 
 
+def _where(holds: Callable[[Column], Column], change: Callable[[Column], Column], text: Column) -> Column:
+    """``change`` where there is something to change; most texts are only looked through."""
+    return let(text, lambda t: F.when(holds(t), change(t)).otherwise(t))
+
+
 def collapse_whitespace(text: Column) -> Column:
-    spaced = F.regexp_replace(strip(text), r"[ \t]+", " ")
-    limited = F.regexp_replace(spaced, r"\n{3,}", "\n\n")
-    return F.regexp_replace(limited, rf"{WS_INLINE}+\n", "\n")
+    runs = lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t"))
+    spaced = _where(runs, lambda t: F.regexp_replace(t, r"[ \t]+", " "), strip(text))
+    gaps = lambda t: F.contains(t, F.lit("\n\n\n"))
+    limited = _where(gaps, lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"), spaced)
+    trailing = lambda t: t.rlike(rf"\n(?<={WS_INLINE}\n)")
+    return _where(trailing, lambda t: F.regexp_replace(t, rf"{WS_INLINE}+\n", "\n"), limited)
 
 
 def flatten_whitespace(text: Column) -> Column:
@@ -129,7 +140,8 @@ def edge_lines(text: Column) -> Column:
 
 
 def edge_keys(text: Column) -> Column:
-    return F.array_distinct(F.transform(edge_lines(text), running_key))
+    """Distinct keys of the edge lines; on a short page the first lines are the last ones, too, and get one key."""
+    return F.array_distinct(F.transform(F.array_distinct(edge_lines(text)), running_key))
 
 
 def strip_running_lines(text: Column, keys: Column) -> Column:
@@ -145,7 +157,7 @@ def strip_running_lines(text: Column, keys: Column) -> Column:
             n = F.size(positions)
             edges = F.concat(
                 F.slice(positions, 1, EDGE_LINES),
-                F.slice(positions, F.greatest(n - (EDGE_LINES - 1), F.lit(1)), EDGE_LINES),
+                F.slice(positions, F.greatest(n - (EDGE_LINES - 1), F.lit(EDGE_LINES + 1)), EDGE_LINES),
             )
             running = F.filter(
                 edges, lambda i: F.array_contains(keys, running_key(F.get(lines, i)))
@@ -167,10 +179,14 @@ def strip_running_lines(text: Column, keys: Column) -> Column:
 def strip_page_furniture(text: Column) -> Column:
     """Drop dot leaders on every line and a page number on the outermost lines.
     A page that holds nothing else comes back unchanged."""
-    trimmed = F.regexp_replace(text, _DOT_LEADER, "$1")
-    no_footer = F.regexp_replace(trimmed, _TRAILING_PAGE_NUMBER, "$1")
-    no_header = F.regexp_replace(no_footer, _LEADING_PAGE_NUMBER, "$1$2")
-    return F.when(is_blank(trimmed), text).otherwise(no_header)
+    leaders = lambda t: F.contains(t, F.lit("..."))
+    trimmed = _where(leaders, lambda t: F.regexp_replace(t, _DOT_LEADER, "$1"), text)
+
+    def outer(t: Column) -> Column:
+        no_footer = F.regexp_replace(t, _TRAILING_PAGE_NUMBER, "$1")
+        return F.when(~is_blank(t), F.regexp_replace(no_footer, _LEADING_PAGE_NUMBER, "$1$2"))
+
+    return F.coalesce(let(trimmed, outer), text)
 
 
 def normalize_page(text: Column, running_keys: Column, strict: bool = False) -> Column:
@@ -202,6 +218,24 @@ def codepoint_labels(text: Column, char_class: str) -> Column:
     return F.array_sort(F.transform(found, codepoint_label))
 
 
+def listed_characters(char_class: str) -> str | None:
+    """The characters of a class made of single characters and ranges; None for any other pattern."""
+    if not re.fullmatch(r"\[[^\\\[\]^&]+\]", char_class) or "-" in (char_class[1], char_class[-2]):
+        return None
+    found = []
+    for low, high in re.findall(r"(.)(?:-(.))?", char_class[1:-1], re.DOTALL):
+        found.extend(map(chr, range(ord(low), ord(high or low) + 1)))
+    return "".join(found)
+
+
+def count_characters(text: Column, char_class: str) -> Column:
+    """Characters of a class that most of a text may belong to: taken out and missed, not matched one by one."""
+    listed = listed_characters(char_class)
+    if listed is None:
+        return F.regexp_count(text, F.lit(char_class))
+    return F.length(text) - F.length(F.translate(text, listed, ""))
+
+
 def script_majority(text: Column, first: str = "[\u0e00-\u0e7f]", second: str = "[A-Za-z]") -> Column:
     """True when characters of class ``first`` outnumber those of ``second``."""
     return F.regexp_count(text, F.lit(first)) > F.regexp_count(text, F.lit(second))

@@ -41,8 +41,10 @@ def ingest_changes(
     page_count. Files whose hash is active or archived are refused; a hash that is still
     pending keeps the document_id it is stored under, whatever id the caller gives it. A
     failing document stays pending with its record and has no chunks; codes without a repair in
-    blocks or tables fail it as those on pages do. Steps used more than once are written to the
-    shared folder, so the gate runs once and each passage is embedded once.
+    blocks or tables fail it as those on pages do. Editions are settled before anything is embedded, so
+    passages that a newer edition of the same batch archives are counted but cost no call of the model.
+    Steps used more than once are written to the shared folder, so the gate runs once and each passage
+    that becomes searchable is embedded once.
     """
     unique = G.first_of_each_hash(files, "document_id")
     stored = registry.select("file_hash", "status", F.col("document_id").alias("stored_id"))
@@ -76,18 +78,14 @@ def ingest_changes(
     documents = G.overwrite_qa(registry, qa).unionByName(inserted)
 
     passed = Q.passed_documents(admitted.select("document_id"), qa)
-    embedded = C.embed_chunks(
-        C.chunk_documents(
-            blocks.join(passed, "document_id", "left_semi"),
-            tables.join(passed, "document_id", "left_semi"),
-            P.running_lines(pages.join(passed, "document_id", "left_semi"), **(running_options or {})),
-            **(chunk_options or {}),
-        ),
-        embedder,
-        dimension,
+    passages = C.chunk_documents(
+        blocks.join(passed, "document_id", "left_semi"),
+        tables.join(passed, "document_id", "left_semi"),
+        P.running_lines(pages.join(passed, "document_id", "left_semi"), **(running_options or {})),
+        **(chunk_options or {}),
     )
-    new_chunks = materialize(embedded, "chunks")
-    counted = G.chunk_statistics(documents, passed, new_chunks, model)
+    cut = materialize(passages, "passages")
+    counted = G.chunk_statistics(documents, passed, cut, model)
     settled = materialize(S.archive_superseded(S.activate(counted, passed), at), "documents")
 
     before = registry.select("document_id", F.col("status").alias("status_before"))
@@ -97,7 +95,8 @@ def ingest_changes(
         settled.join(before, "document_id", "left").join(touched, "document_id", "left").filter(differs).select(*settled.columns),
         "changed",
     )
-    return Ingested(settled, changed, S.searchable_chunks(new_chunks, changed), changed.select("document_id"), qa)
+    new_chunks = materialize(C.embed_chunks(S.searchable_chunks(cut, changed), embedder, dimension), "chunks")
+    return Ingested(settled, changed, new_chunks, changed.select("document_id"), qa)
 
 
 def ingest(

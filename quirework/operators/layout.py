@@ -2,7 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from quirework.functions.text import split_lines, strip
+from quirework.functions.text import strip
 
 # Fixed value: a crop heading is Thai words followed by a Latin name in parentheses.
 HEADING = "(?U)^[\u0e01-\u0e5b\\s]+\\([A-Za-z][A-Za-z\\s,'\\-\\.]*\\)"
@@ -63,7 +63,7 @@ def prose_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
 
 def headings(blocks: DataFrame, pattern: str = HEADING) -> DataFrame:
     """Blocks whose first line is a heading, with that line as ``section``."""
-    first_line = strip(F.get(split_lines(F.col("text")), 0))
+    first_line = strip(F.substring_index("text", "\n", 1))
     return blocks.withColumn("section", first_line).filter(F.col("section").rlike(pattern))
 
 

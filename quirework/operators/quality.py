@@ -33,7 +33,7 @@ def measure_pages(
         F.count_if(n_chars == 0).alias("n_empty"),
         F.count_if(n_chars < thin_page_chars).alias("n_thin"),
         F.sum(F.regexp_count(raw, F.lit(combining)).cast("long")).alias("n_combining"),
-        F.sum(F.regexp_count(raw, F.lit(consonant)).cast("long")).alias("n_consonants"),
+        F.sum(T.count_characters(raw, consonant).cast("long")).alias("n_consonants"),
     )
     private = (
         pages.select(

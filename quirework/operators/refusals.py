@@ -9,7 +9,8 @@ from quirework.functions import text as T
 
 def unmapped_codes(rows: DataFrame, key: str, texts: Sequence[str]) -> DataFrame:
     """(key, codes): sorted labels of the codes that no repair maps, over all rows of a key; keys without any are left out."""
-    found = F.flatten(F.array(*(F.coalesce(T.codepoint_labels(F.col(t), T.UNMAPPED_THAI_PUA), F.array().cast("array<string>")) for t in texts)))
+    labels = (F.when(F.col(t).rlike(T.THAI_PUA), T.codepoint_labels(F.col(t), T.UNMAPPED_THAI_PUA)) for t in texts)
+    found = F.flatten(F.array(*(F.coalesce(each, F.array().cast("array<string>")) for each in labels)))
     return (
         rows.select(key, F.explode(F.array_distinct(found)).alias("code"))
         .groupBy(key)
