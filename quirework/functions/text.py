@@ -59,6 +59,8 @@ SYMBOL_PUA = "[\ue000-\uf6ff\uf71b-\uf8ff]"
 EDGE_LINES = 3
 _PAGE_NUMBER = rf"{WS_INLINE}*[-_\[]?{WS_INLINE}*{DIGIT}+{WS_INLINE}*[-_\]]?{WS_INLINE}*"
 _DOT_LEADER = rf"{WS_INLINE}*\.{{3,}}{WS_INLINE}*{DIGIT}*{WS_INLINE}*(\n|\z)"
+# a run of blanks, or a tab; a single space is one already
+_BLANK_RUN = r"[ \t](?:[ \t]+|(?<=\t))"
 _LEADING_PAGE_NUMBER = rf"\A(?:((?:{WS}*\n)?){_PAGE_NUMBER}\n|(?:({WS}*)\n)?{_PAGE_NUMBER}\z)"
 _TRAILING_PAGE_NUMBER = rf"\n{_PAGE_NUMBER}((?:\n{WS}*)?)\z"
 
@@ -112,7 +114,7 @@ def _where(holds: Callable[[Column], Column], change: Callable[[Column], Column]
 
 def collapse_whitespace(text: Column) -> Column:
     runs = lambda t: F.contains(t, F.lit("  ")) | F.contains(t, F.lit("\t"))
-    spaced = _where(runs, lambda t: F.regexp_replace(t, r"[ \t]+", " "), strip(text))
+    spaced = _where(runs, lambda t: F.regexp_replace(t, _BLANK_RUN, " "), strip(text))
     gaps = lambda t: F.contains(t, F.lit("\n\n\n"))
     limited = _where(gaps, lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n"), spaced)
     trailing = lambda t: t.rlike(rf"\n(?<={WS_INLINE}\n)")
@@ -148,6 +150,17 @@ def strip_running_lines(text: Column, keys: Column) -> Column:
     """Drop edge lines whose key is in ``keys``; the same line mid-page stays."""
 
     def cut(lines: Column) -> Column:
+        def running(edges: Column) -> Column:
+            """Edges with a key in ``keys``; only lines that begin as one of them does are keyed."""
+            first = lambda i: F.substring(F.ltrim(F.get(lines, i), F.lit(WHITESPACE)), 1, 1)
+            begins = lambda heads, i: F.array_contains(heads, "#") | F.array_contains(heads, first(i))
+            return let(
+                F.transform(keys, lambda k: F.substring(k, 1, 1)),
+                lambda heads: F.filter(
+                    edges, lambda i: begins(heads, i) & F.array_contains(keys, running_key(F.get(lines, i)))
+                ),
+            )
+
         filled = F.filter(
             F.transform(lines, lambda line, i: F.when(~is_blank(line), i)),
             lambda i: i.isNotNull(),
@@ -159,11 +172,8 @@ def strip_running_lines(text: Column, keys: Column) -> Column:
                 F.slice(positions, 1, EDGE_LINES),
                 F.slice(positions, F.greatest(n - (EDGE_LINES - 1), F.lit(EDGE_LINES + 1)), EDGE_LINES),
             )
-            running = F.filter(
-                edges, lambda i: F.array_contains(keys, running_key(F.get(lines, i)))
-            )
             return let(
-                running,
+                running(edges),
                 lambda drop: F.array_join(
                     F.filter(lines, lambda _, i: ~F.array_contains(drop, i)), "\n"
                 ),
@@ -180,7 +190,13 @@ def strip_page_furniture(text: Column) -> Column:
     """Drop dot leaders on every line and a page number on the outermost lines.
     A page that holds nothing else comes back unchanged."""
     leaders = lambda t: F.contains(t, F.lit("..."))
-    trimmed = _where(leaders, lambda t: F.regexp_replace(t, _DOT_LEADER, "$1"), text)
+
+    def without_leaders(t: Column) -> Column:
+        """No leader begins before the blanks in front of the first three dots."""
+        before = F.rtrim(F.substring_index(t, "...", 1), F.lit(WHITESPACE.replace("\n", "")))
+        return let(before, lambda b: F.concat(b, F.regexp_replace(F.substring(t, F.length(b) + 1, F.length(t)), _DOT_LEADER, "$1")))
+
+    trimmed = _where(leaders, without_leaders, text)
 
     def outer(t: Column) -> Column:
         no_footer = F.regexp_replace(t, _TRAILING_PAGE_NUMBER, "$1")

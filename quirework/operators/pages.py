@@ -1,15 +1,17 @@
 """Pages of a document: pagination, running headers and footers, page normalisation."""
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from quirework.functions import text as T
 from quirework.functions.common import let
 
 
-def paginate(documents: DataFrame, lines_per_page: int) -> DataFrame:
+def paginate(documents: DataFrame, lines_per_page: int, keep: Sequence[str] = ()) -> DataFrame:
     """Cut ``text`` into pages of a fixed number of lines, within each row.
 
-    Returns (document_id, ordinal, page_number, raw_text), ordinal and number from 1.
+    Returns (document_id, ordinal, page_number, raw_text), ordinal and number from 1, and the columns of ``keep``.
     """
     pages = let(
         T.split_lines(F.col("text")),
@@ -18,11 +20,12 @@ def paginate(documents: DataFrame, lines_per_page: int) -> DataFrame:
             lambda p: F.array_join(F.slice(lines, p * lines_per_page + 1, lines_per_page), "\n"),
         ),
     )
-    return documents.select("document_id", F.posexplode(pages).alias("pos", "raw_text")).select(
+    return documents.select("document_id", *keep, F.posexplode(pages).alias("pos", "raw_text")).select(
         "document_id",
         (F.col("pos") + 1).alias("ordinal"),
         (F.col("pos") + 1).alias("page_number"),
         "raw_text",
+        *keep,
     )
 
 

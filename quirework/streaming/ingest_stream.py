@@ -75,7 +75,7 @@ def ingest_stream(
         if V.done(spark, root, source) >= batch_id:
             return
         with temporary_tables(spark):
-            inputs = extract(materialize(batch, "arrived"))
+            inputs = extract(materialize(batch.hint("rebalance"), "arrived"))  # files arrive in any size
             publish_batch(spark, root, inputs, embedder, dimension, model, at, source, batch_id, **options)
         compact_corpus(spark, root)
 
