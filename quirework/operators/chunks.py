@@ -73,13 +73,13 @@ def split_prose(text: Column, max_chars: int = tbl.MAX_CHARS, overlap: int = OVE
     return F.when(short, whole).otherwise(cut_long(F.when(~short, text)))
 
 
-def keep_first_copies(chunks: DataFrame, order: list[str]) -> DataFrame:
-    """First occurrence of each content hash within a document.
+def keep_first_copies(chunks: DataFrame, order: list[str], content: str = "content_sha256") -> DataFrame:
+    """First occurrence of each content, given as itself or its hash, within a document.
 
     A rank limit on a window is applied before the shuffle as well as after it, so a
     passage repeated on most rows leaves one row per task.
     """
-    first = Window.partitionBy("document_id", "content_sha256").orderBy(*order)
+    first = Window.partitionBy("document_id", content).orderBy(*order)
     return (
         chunks.withColumn("copy", F.row_number().over(first)).filter(F.col("copy") == 1).drop("copy")
     )
@@ -104,6 +104,8 @@ def chunk_documents(
     Tables on a page without any block are skipped.
     """
     page = ["document_id", "page_number"]
+    # a table without a page has no block beside it; said here, both readers of the tables share one exchange
+    tables = tables.filter(F.col("document_id").isNotNull() & F.col("page_number").isNotNull())
     prose = (
         layout.prose_text(blocks, tables)
         .join(running_keys_by_document(running), "document_id", "left")
@@ -115,19 +117,16 @@ def chunk_documents(
             F.lit(0).alias("position"),
             "part",
             F.lit(None).cast("string").alias("section"),
-            F.lit("prose").alias("kind"),
             "content",
         )
         .filter(~T.is_blank(F.col("content")))
     )
-    down_the_page = Window.partitionBy(*page).orderBy(F.col("bbox.y0"), "ordinal")
     # a table crosses the shuffles as its markdown alone, which is normalised once and split by its column
     rendered = tables.select(*page, "ordinal", "bbox", "markdown")
     parts = tbl.split_table(F.col("normalized"), max_chars)
     tabular = (
         layout.section_for_tables(rendered, blocks, heading)
         .join(blocks.select(*page).distinct(), page, "left_semi")
-        .withColumn("position", F.row_number().over(down_the_page))
         .withColumn("normalized", T.normalize_table(F.col("markdown"), strict))
         .select(*page, "position", "section", F.posexplode(parts).alias("part", "content"))
         .select(
@@ -136,12 +135,15 @@ def chunk_documents(
             "position",
             "part",
             "section",
-            F.lit("table").alias("kind"),
             "content",
         )
     )
-    hashed = prose.unionByName(tabular).withColumn("content_sha256", T.sha256(F.col("content")))
-    unique = keep_first_copies(hashed, _ORDER)
+    # passages are compared as they are; hash, id and kind follow from what crossed the shuffle
+    unique = keep_first_copies(prose.unionByName(tabular), _ORDER, "content").select(
+        "*",
+        T.sha256(F.col("content")).alias("content_sha256"),
+        F.when(F.col("kind_rank") == 0, "prose").otherwise("table").alias("kind"),
+    )
     return unique.select(
         chunk_id(F.col("document_id"), F.col("content_sha256")).alias("chunk_id"),
         "document_id",

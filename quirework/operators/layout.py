@@ -1,5 +1,8 @@
 """Page geometry: text outside tables, and the heading printed above a table."""
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from quirework.functions.text import strip
@@ -11,6 +14,11 @@ BAND_HEIGHT = 64.0
 _PAGE = ["document_id", "page_number"]
 
 
+def by_page(rows: DataFrame) -> DataFrame:
+    """Rows dealt by page, once: joins on the page, and windows and groupings within it, move none of them again."""
+    return rows.repartition(*_PAGE)
+
+
 def overlaps(a: Column, b: Column) -> Column:
     """True when two rectangles share area; touching edges do not count."""
     return (a["x0"] < b["x1"]) & (a["x1"] > b["x0"]) & (a["y0"] < b["y1"]) & (a["y1"] > b["y0"])
@@ -49,15 +57,32 @@ def prose_blocks(blocks: DataFrame, tables: DataFrame, band_height: float = BAND
 def prose_text(blocks: DataFrame, tables: DataFrame) -> DataFrame:
     """One row per page that has blocks: the text outside its tables in reading order.
 
-    Blocks are marked and grouped once, so the grouping also gives the pages without any prose.
+    Blocks and tables meet by page, where a page's blocks are gathered anyway: each is moved once, as it is.
+    A block inside a table takes along the blocks of its page that have its ordinal; one without an ordinal stays.
     """
-    inside = blocks_inside_tables(blocks, tables).withColumn("inside", F.lit(True))
-    line = F.struct(F.col("bbox.y0").alias("y0"), "ordinal", "text")
-    in_order = F.array_sort(F.collect_list(F.when(F.col("inside").isNull(), line)))
+    corners = ["x0", "y0", "x1", "y1"]
+
+    def named(side: str, rows: DataFrame, *columns: str) -> DataFrame:
+        """Names of its own for either side, and corners as plain columns: a page's pairs only compare numbers."""
+        return by_page(rows).select(
+            *[F.col(c).alias(f"{side}_{c}") for c in (*_PAGE, *columns)], *[F.col(f"bbox.{c}").alias(f"{side}_{c}") for c in corners]
+        )
+
+    block = {c: F.col(f"block_{c}").outer() for c in (*_PAGE, *corners)}
+    table = {c: F.col(f"table_{c}") for c in (*_PAGE, *corners)}
+    covering = named("table", tables).where(reduce(and_, [table[c] == block[c] for c in _PAGE]) & overlaps(block, table))
+    line = F.struct(F.col("block_y0").alias("y0"), F.col("block_ordinal").alias("ordinal"), F.col("block_text").alias("text"))
+    outside = F.filter("lines", lambda b: ~F.coalesce(F.array_contains("covered", b["ordinal"]), F.lit(False)))
     return (
-        blocks.join(inside, [*_PAGE, "ordinal"], "left")
-        .groupBy(*_PAGE)
-        .agg(F.array_join(F.transform(in_order, lambda b: b["text"]), "\n").alias("prose"))
+        named("block", blocks, "ordinal", "text")
+        .withColumn("inside", covering.exists())
+        .withColumn("inside", F.col("inside") & F.col("block_ordinal").isNotNull())
+        .groupBy(*[F.col(f"block_{c}").alias(c) for c in _PAGE])
+        .agg(
+            F.collect_list(F.when(~F.col("inside"), line)).alias("lines"),
+            F.collect_set(F.when(F.col("inside"), F.col("block_ordinal"))).alias("covered"),
+        )
+        .select(*_PAGE, F.array_join(F.transform(F.array_sort(outside), lambda b: b["text"]), "\n").alias("prose"))
     )
 
 
@@ -68,7 +93,8 @@ def headings(blocks: DataFrame, pattern: str = HEADING) -> DataFrame:
 
 
 def section_for_tables(tables: DataFrame, blocks: DataFrame, pattern: str = HEADING) -> DataFrame:
-    """Add ``section``: the nearest heading that ends at or above the table on the same page.
+    """Add ``section``: the nearest heading that ends at or above the table on the same page; and
+    ``position``: the table's place from the top of its page.
 
     An as-of join as one sort: headings and tables of a page are merged by height and the
     last heading is carried forward, so no heading-table pairs are formed.
@@ -84,17 +110,19 @@ def section_for_tables(tables: DataFrame, blocks: DataFrame, pattern: str = HEAD
         *_PAGE,
         F.col("bbox.y0").alias("at"),
         F.lit(1).alias("rank"),
-        F.lit(0).cast("int").alias("tie"),
+        F.col("ordinal").alias("tie"),
         F.struct(*[c for c in tables.columns if c not in _PAGE]).alias("table"),
     )
     down_the_page = (
         Window.partitionBy(*_PAGE).orderBy("at", "rank", "tie").rowsBetween(Window.unboundedPreceding, 0)
     )
     return (
-        above.unionByName(below, allowMissingColumns=True)
+        by_page(above)
+        .unionByName(by_page(below), allowMissingColumns=True)
         .withColumn("section", F.last("section", ignorenulls=True).over(down_the_page))
+        .withColumn("position", F.sum("rank").over(down_the_page).cast("int"))
         .filter(F.col("rank") == 1)
-        .select(*_PAGE, "table.*", "section")
+        .select(*_PAGE, "table.*", "section", "position")
     )
 
 
